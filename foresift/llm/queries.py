@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foresift.llm import exact_dedup, mixing, sharding
+from foresift.llm import bpe, exact_dedup, mixing, sharding
 from foresift.llm.common import table
 
 SHARD_NAMES = [f"shard-{k:02d}" for k in range(sharding.SHARDS)]
@@ -14,6 +14,13 @@ def op2_sharding(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents"), SHARD_NAMES).select(F.col("id").alias("doc_id"), F.col("slot").cast("long"), "shard")
 
 
+def op6_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    coded = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select(F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_mixing(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -24,7 +31,7 @@ def op9_exact_dedup(spark, sf_dir):
     return decided.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op7_mixing": op7_mixing, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op2_sharding": op2_sharding, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op9_exact_dedup": op9_exact_dedup}
 
 _HASH60 = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 
