@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foresift.llm import bpe, exact_dedup, mixing, sharding
+from foresift.llm import bpe, exact_dedup, lm_scoring, mixing, sharding
 from foresift.llm.common import table
 
 SHARD_NAMES = [f"shard-{k:02d}" for k in range(sharding.SHARDS)]
 
 
+def op1_lm_scoring(spark, sf_dir):
+    return lm_scoring.lm_score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op2_sharding(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents"), SHARD_NAMES).select(F.col("id").alias("doc_id"), F.col("slot").cast("long"), "shard")
 
@@ -31,7 +35,7 @@ def op9_exact_dedup(spark, sf_dir):
     return decided.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_sharding": op2_sharding, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op9_exact_dedup": op9_exact_dedup}
 
 _HASH60 = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 
