@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foresift.llm import bpe, exact_dedup, lm_scoring, mixing, sharding
+from foresift.llm import bpe, exact_dedup, fingerprints, lm_scoring, mixing, sharding
 from foresift.llm.common import table
 
 SHARD_NAMES = [f"shard-{k:02d}" for k in range(sharding.SHARDS)]
@@ -30,12 +30,17 @@ def op7_mixing(spark, sf_dir):
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op8_fingerprints(spark, sf_dir):
+    found = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op9_exact_dedup(spark, sf_dir):
     decided = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return decided.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_sharding": op2_sharding, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_sharding": op2_sharding, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op8_fingerprints": op8_fingerprints, "op9_exact_dedup": op9_exact_dedup}
 
 _HASH60 = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 
