@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foresift.llm.common import lower_ascii, persist
+from foresift.llm.common import frequent, lower_ascii, persist
 
 #: Candidates taken from the summary: the proven bound of the broadcast side, in rows.
 MAX_HEAVY = 256
@@ -29,8 +29,8 @@ def heavy_digests(digests: DataFrame, min_copies: int = 64) -> DataFrame:
 
     ``digests`` has ``id, digest``. A digest held by fewer than ``min_copies`` rows is not worth a broadcast slot.
     """
-    top = digests.agg(F.expr(f"approx_top_k(digest, {MAX_HEAVY}, {COUNTERS})").alias("top"))
-    likely = top.select(F.explode("top").alias("t")).where(F.col("t.count") >= min_copies).select(F.col("t.item").alias("digest"))
+    likely = [d for d, n in frequent(digests, "digest", MAX_HEAVY, COUNTERS) if n >= min_copies]
+    likely = digests.sparkSession.createDataFrame([(d,) for d in likely], "digest string")
     return (
         digests.join(F.broadcast(likely), "digest")
         .groupBy("digest")
