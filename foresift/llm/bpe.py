@@ -17,19 +17,22 @@ import heapq
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foresift.llm.common import checkpoint_dir
+from foresift.llm.common import checkpoint_dir, frequent
 from foresift.llm.lexicon import Lexicon, compile_lexicon
 
 #: Lexicon bounds: words, the summary's counters, bytes a word.
-WORDS, COUNTERS, WORD_BYTES = 20_000, 65_536, 48
-#: A worker's memo of merged words is emptied at this size; long words are not kept in it.
-MEMO, MEMO_BYTES = 400_000, 64
+WORDS, COUNTERS, WORD_BYTES = 10_000, 16_384, 48
+#: A worker's memo of merged words is emptied beyond this size.
+MEMO = 400_000
+#: Pieces of more bytes are merged one by one.
+LONG = 48
 #: Text handled at a time within a batch, in characters.
 SLICE = 4_000_000
 
@@ -59,27 +62,60 @@ class Vocabulary:
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
         self.byte_id = [ids[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
-        self.merges = {}
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.bytes))]
+        self.merges, made = {}, []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges.setdefault((ids[a] << 32) | ids[b], (rank, ids[a + b]))
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece of the splitting pattern."""
-        ids = [self.byte_id[b] for b in piece]
-        if len(ids) > 40:
-            return self._merge_long(ids)
-        get = self.merges.get
-        while len(ids) > 1:
-            best, at = None, -1
-            for k in range(len(ids) - 1):
-                found = get((ids[k] << 32) | ids[k + 1])
-                if found is not None and (best is None or found < best):
-                    best, at = found, k
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
-        return ids
+            made.append(ids[a + b])
+        self.none, self.made = len(made), np.array([*made, 0], np.int64)
+        self.pair_keys = np.array(sorted(self.merges), np.int64)
+        self.pair_ranks = np.array([self.merges[k][0] for k in self.pair_keys.tolist()], np.int64)
+        self.first_ids = np.array(self.byte_id, np.int64)
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Merge rank of each pair; ``none`` where there is no such merge."""
+        if not self.none:
+            return np.zeros(a.shape, np.int64)
+        keys = (a << 32) | b
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], self.none)
+
+    def merge_many(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Packed ids of pieces of the splitting pattern.
+
+        Pieces of equal length advance together: in each round every one that has a merge left does its lowest-ranked,
+        leftmost one, so that they all stay of equal length.
+        """
+        out, by_length = {}, {}
+        for p in pieces:
+            by_length.setdefault(len(p), []).append(p)
+        for n, group in by_length.items():
+            if n > LONG:
+                out |= {p: b"".join([self.packed[i] for i in self._merge_long([self.byte_id[b] for b in p])]) for p in group}
+                continue
+            ids = self.first_ids[np.frombuffer(b"".join(group), np.uint8).reshape(len(group), n)]
+            ranks, names = self._ranks(ids[:, :-1], ids[:, 1:]), np.arange(len(group))
+            while len(names):
+                width = ids.shape[1]
+                at = ranks.argmin(axis=1) if width > 1 else np.zeros(len(names), np.int64)
+                best = ranks[np.arange(len(names)), at] if width > 1 else np.full(len(names), self.none)
+                done = best == self.none
+                raw = ids[done].astype("<u4").tobytes()
+                for k, name in enumerate(names[done].tolist()):
+                    out[group[name]] = raw[4 * width * k : 4 * width * (k + 1)]
+                ids, ranks, names, at, best = ids[~done], ranks[~done], names[~done], at[~done], best[~done]
+                if not len(names):
+                    break
+                row = np.arange(len(names))
+                ids[row, at] = self.made[best]
+                cols = np.arange(width - 1)[None, :]
+                ids = np.take_along_axis(ids, cols + (cols > at[:, None]), axis=1)
+                ranks = np.take_along_axis(ranks, cols[:, :-1] + (cols[:, :-1] >= at[:, None]), axis=1)
+                left, right = at > 0, at < width - 2
+                ranks[row[left], at[left] - 1] = self._ranks(ids[row[left], at[left] - 1], ids[row[left], at[left]])
+                ranks[row[right], at[right]] = self._ranks(ids[row[right], at[right]], ids[row[right], at[right] + 1])
+        return out
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same by a heap of pairs over a linked list, for time near linear in the length."""
@@ -106,59 +142,59 @@ class Vocabulary:
         return [i for i in ids if i >= 0]
 
 
-class _Memo(dict):
-    """Word to packed ids: lexicon first, else merged piece by piece."""
-
-    def __init__(self, coder: Coder, space: str):
-        self.coder, self.space = coder, space
-
-    def __missing__(self, word: str) -> bytes:
-        raw = self.space + word
-        found = self.coder.lexicon and self.coder.lexicon.find(raw.encode())
-        if found is None:
-            found = self.coder.pieces(raw)
-        if len(raw) <= MEMO_BYTES:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = found
-        return found
-
-
 class Coder:
     """Encodes texts to packed little-endian 32-bit ids, and decodes those."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.split, self.odd = regex.compile(PATTERN).findall, regex.compile(rf" [{SPACE}]|[{SPACE}] |^[{SPACE}]|[{SPACE}]$").search
-        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
-        self.spaced, self.bare, self.piece = _Memo(self, " "), _Memo(self, ""), {}
-
-    def pieces(self, text: str) -> bytes:
-        """Split by the pattern and merge each piece."""
-        return b"".join(map(self._piece, self.split(text)))
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.piece.get(piece)
-        if found is None:
-            found = b"".join(i.to_bytes(4, "little") for i in self.vocabulary.merge(piece.encode()))
-            if len(piece) <= MEMO_BYTES:
-                if len(self.piece) >= MEMO:
-                    self.piece.clear()
-                self.piece[piece] = found
-        return found
-
-    def _plain(self, text: str) -> bytes:
-        if not text or self.odd(text):
-            return self.pieces(text)
-        first, *rest = text.split(" ")
-        return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text. Special tokens in it get their own ids."""
-        if not self.special or not self.special.search(text):
-            return self._plain(text)
-        ids = self.vocabulary.special
-        return b"".join(ids[part].to_bytes(4, "little") if k % 2 else self._plain(part) for k, part in enumerate(self.special.split(text)))
+        special = "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))
+        self.special = regex.compile(f"({special})") if special else None
+        self.word, self.piece = {}, {}
+
+    def _learn(self, words: set[str], pieces: set[str]) -> None:
+        """Put words (without the space before them) and pieces of the pattern into the memos, from the lexicon or else merged."""
+        if len(self.word) > MEMO:
+            self.word.clear()
+        if len(self.piece) > MEMO // 4:
+            self.piece.clear()
+        parts: dict[str, list[str]] = {}
+        for w in words - self.word.keys():
+            raw = " " + w
+            found = self.lexicon and self.lexicon.find(raw.encode())
+            if found is not None:
+                self.word[w] = found
+            elif w.isalpha():  # one piece
+                parts[w] = [raw]
+            elif w[:-1].isalpha() and w[-1] in ".,;:!?":  # two
+                parts[w] = [raw[:-1], w[-1]]
+            else:
+                parts[w] = self.split(raw)
+        pieces = pieces - self.piece.keys()
+        merged = self.vocabulary.merge_many([p.encode() for p in pieces.union(*parts.values())])
+        for p in pieces:
+            self.piece[p] = merged[p.encode()]
+        for w, of in parts.items():
+            self.word[w] = b"".join([merged[p.encode()] for p in of])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts. Special tokens in them get their own ids."""
+        plans, words, pieces = [], set(), set()
+        for text in texts:
+            plan = []
+            for k, part in enumerate(self.special.split(text) if self.special and self.special.search(text) else [text]):
+                if k % 2:
+                    plan.append(self.vocabulary.packed[self.vocabulary.special[part]])
+                    continue
+                first, *rest = [part] if not part or self.odd(part) else part.split(" ")
+                own = self.split(first)
+                pieces.update(own)
+                words.update(rest)
+                plan += [own, rest]
+            plans.append(plan)
+        self._learn(words, pieces)
+        word, piece = self.word.__getitem__, self.piece.__getitem__
+        return [b"".join([x if isinstance(x, bytes) else b"".join(map(word if k % 3 == 1 else piece, x)) for k, x in enumerate(plan)]) for plan in plans]
 
     def decode(self, packed: bytes) -> str:
         """The text of packed ids; bytes that are no UTF-8 become U+FFFD."""
@@ -168,8 +204,7 @@ class Coder:
 def frequent_words(docs: DataFrame, text_col: str = "text") -> list[str]:
     """The most frequent words of all texts, WORDS at most, each with the space before it."""
     words = docs.select(F.explode(F.split(text_col, " ")).alias("w")).where(F.length("w").between(1, WORD_BYTES // 4) & ~F.col("w").rlike(rf"^[{SPACE}]|[{SPACE}]$"))
-    top = words.agg(F.expr(f"approx_top_k(w, {WORDS}, {COUNTERS})").alias("top")).first()["top"]
-    return [" " + t["item"] for t in top or ()]
+    return [" " + w for w, _ in frequent(words, "w", WORDS, COUNTERS)]
 
 
 def ship(spark: SparkSession, content: bytes, kind: str) -> str:
@@ -195,8 +230,8 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
     with open(vocabulary_path, encoding="utf-8") as f:
         content = f.read()
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    coder = Coder(Vocabulary(content))
-    lexicon_name = ship(spark, compile_lexicon({w.encode(): memoryview(coder.pieces(w)).cast("I").tolist() for w in frequent_words(texts)}), "lexicon")
+    coder, words = Coder(Vocabulary(content)), frequent_words(texts)
+    lexicon_name = ship(spark, compile_lexicon({w.encode(): memoryview(ids).cast("I").tolist() for w, ids in zip(words, coder.encode(words), strict=True)}), "lexicon")
     vocabulary = spark.sparkContext.broadcast(content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +243,7 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
                 while end < batch.num_rows and held < SLICE:
                     held += len(texts[end].as_py())
                     end += 1
-                ids = [coder.encode(t) for t in texts[at:end].to_pylist()]
+                ids = coder.encode(texts[at:end].to_pylist())
                 columns = [batch.column(0)[at:end], pa.array(ids, pa.binary())]
                 if decode:
                     columns.append(pa.array([coder.decode(x) for x in ids], pa.string()))
