@@ -204,7 +204,7 @@ class Coder:
 def frequent_words(docs: DataFrame, text_col: str = "text") -> list[str]:
     """The most frequent words of all texts, WORDS at most, each with the space before it."""
     words = docs.select(F.explode(F.split(text_col, " ")).alias("w")).where(F.length("w").between(1, WORD_BYTES // 4) & ~F.col("w").rlike(rf"^[{SPACE}]|[{SPACE}]$"))
-    return [" " + w for w, _ in frequent(words, "w", WORDS, COUNTERS)]
+    return [" " + r["item"] for r in frequent(words, "w", WORDS, COUNTERS).collect()]
 
 
 def ship(spark: SparkSession, content: bytes, kind: str) -> str:

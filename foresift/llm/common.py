@@ -49,11 +49,11 @@ def hash60(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
-def frequent(df: DataFrame, col: str, k: int, counters: int) -> list:
-    """The values of a column that a mergeable frequent-items summary names, ``k`` at most, the most frequent first.
+def frequent(df: DataFrame, col: str, k: int, counters: int) -> DataFrame:
+    """``item, count`` of the values of a column that a mergeable frequent-items summary names, ``k`` rows at most.
 
     The summaries of up to 64 partitions are combined before all meet, so that no task gathers one from every partition.
     """
     some = df.groupBy(F.floor(F.spark_partition_id() / 64).alias("some")).agg(F.expr(f"approx_top_k_accumulate({col}, {counters})").alias("summary"))
-    top = some.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {counters}), {k})").alias("top")).first()["top"]
-    return [(t["item"], t["count"]) for t in top or ()]
+    top = some.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {counters}), {k})").alias("top"))
+    return top.select(F.inline("top"))

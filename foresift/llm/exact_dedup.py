@@ -29,8 +29,7 @@ def heavy_digests(digests: DataFrame, min_copies: int = 64) -> DataFrame:
 
     ``digests`` has ``id, digest``. A digest held by fewer than ``min_copies`` rows is not worth a broadcast slot.
     """
-    likely = [d for d, n in frequent(digests, "digest", MAX_HEAVY, COUNTERS) if n >= min_copies]
-    likely = digests.sparkSession.createDataFrame([(d,) for d in likely], "digest string")
+    likely = frequent(digests, "digest", MAX_HEAVY, COUNTERS).where(F.col("count") >= min_copies).select(F.col("item").alias("digest"))
     return (
         digests.join(F.broadcast(likely), "digest")
         .groupBy("digest")
