@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foresift.llm import bpe, exact_dedup, fingerprints, language_id, lm_scoring, mixing, sharding
+from foresift.llm import bpe, exact_dedup, fingerprints, language_id, lm_scoring, mixing, near_dedup, sharding
 from foresift.llm.common import table
 
 SHARD_NAMES = [f"shard-{k:02d}" for k in range(sharding.SHARDS)]
@@ -18,6 +18,10 @@ def op2_sharding(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents"), SHARD_NAMES).select(F.col("id").alias("doc_id"), F.col("slot").cast("long"), "shard")
 
 
+def op3_near_dedup(spark, sf_dir):
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.train(docs), carry=["doc_id"])
@@ -46,7 +50,7 @@ def op9_exact_dedup(spark, sf_dir):
     return decided.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_sharding": op2_sharding, "op5_language_id": op5_language_id, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op8_fingerprints": op8_fingerprints, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_sharding": op2_sharding, "op3_near_dedup": op3_near_dedup, "op5_language_id": op5_language_id, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op8_fingerprints": op8_fingerprints, "op9_exact_dedup": op9_exact_dedup}
 
 _HASH60 = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 
