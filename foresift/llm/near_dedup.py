@@ -79,8 +79,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cls.append(xxhash.xxh3_128_digest(s.tobytes()))
             nodes.append(_mix(low[ROOTS] + ROOTS.astype(np.uint64)).view(np.int64))
             sig.append(low.astype(np.uint16).tobytes())
-        columns = [batch.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.binary()), pa.array(nodes, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "cls", "nodes", "sig"])
+        columns = [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(cls, pa.binary()), pa.array(nodes, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "version", "n", "cls", "nodes", "sig"])
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,6 +251,19 @@ class _Join:
         return labels.withColumnRenamed("key", "cls")
 
 
+def _decide(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, version, n_shingles, component_id, kept`` of every row; ``version`` is a hash of the text."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = texts.schema["id"].dataType.simpleString()
+    read = texts.withColumn("version", F.xxhash64("text"))
+    features = stored(read.mapInArrow(_features, f"id {kind}, version long, n long, cls binary, nodes array<long>, sig binary"))
+    labels = _Join(texts, features).run()
+    rows = features.select("id", "version", "n", "cls").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    least = rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("id").alias("component_id"))
+    found = rows.join(least, "component", "left").withColumn("component_id", F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")))
+    return found.select("id", "version", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_shingles, component_id, kept`` of every row.
 
@@ -260,11 +273,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     the smallest is sought; a component of null ids only has a null component_id, and its rows are kept. Repeated rows
     are one class and get equal answers. An empty table gives an empty result. Other columns are not read.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = texts.schema["id"].dataType.simpleString()
-    features = stored(texts.mapInArrow(_features, f"id {kind}, n long, cls binary, nodes array<long>, sig binary"))
-    labels = _Join(texts, features).run()
-    rows = features.select("id", "n", "cls").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    least = rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("id").alias("component_id"))
-    found = rows.join(least, "component", "left").withColumn("component_id", F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")))
-    return found.select("id", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return _decide(docs, id_col, text_col).drop("version")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component those with its smallest id."""
+    lost = persist(_decide(docs, id_col, text_col).where("not kept").select(F.col("id").alias("__id"), F.col("version").alias("__version")).distinct())
+    return docs.join(lost, docs[id_col].eqNullSafe(lost["__id"]) & (F.xxhash64(docs[text_col]) == lost["__version"]), "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foresift.llm import bpe, exact_dedup, fingerprints, language_id, lm_scoring, mixing, near_dedup, sharding
+from foresift.llm import bpe, exact_dedup, fingerprints, language_id, line_dedup, lm_scoring, mixing, near_dedup, quotes, sharding
 from foresift.llm.common import table
 
 SHARD_NAMES = [f"shard-{k:02d}" for k in range(sharding.SHARDS)]
@@ -22,6 +22,11 @@ def op3_near_dedup(spark, sf_dir):
     return near_dedup.near_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_quotes(spark, sf_dir):
+    linked = quotes.link_quotes(table(spark, sf_dir, "conversations"))
+    return linked.select(F.col("conv").alias("conv_id"), "turn", "role", "text", F.col("n_quotes").cast("long"), "reply_to", "thread", F.col("depth").cast("long"))
+
+
 def op5_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.train(docs), carry=["doc_id"])
@@ -50,7 +55,12 @@ def op9_exact_dedup(spark, sf_dir):
     return decided.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_sharding": op2_sharding, "op3_near_dedup": op3_near_dedup, "op5_language_id": op5_language_id, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op8_fingerprints": op8_fingerprints, "op9_exact_dedup": op9_exact_dedup}
+def op10_line_dedup(spark, sf_dir):
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_chunks", "n_removed", "removed_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_sharding": op2_sharding, "op3_near_dedup": op3_near_dedup, "op4_quotes": op4_quotes, "op5_language_id": op5_language_id, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op8_fingerprints": op8_fingerprints, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup}
 
 _HASH60 = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 
