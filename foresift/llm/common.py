@@ -55,5 +55,6 @@ def frequent(df: DataFrame, col: str, k: int, counters: int) -> DataFrame:
     The summaries of up to 64 partitions are combined before all meet, so that no task gathers one from every partition.
     """
     some = df.groupBy(F.floor(F.spark_partition_id() / 64).alias("some")).agg(F.expr(f"approx_top_k_accumulate({col}, {counters})").alias("summary"))
-    top = some.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {counters}), {k})").alias("top"))
+    # grouped by a constant, as the combining function fails on partitions without rows
+    top = some.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {counters}), {k})").alias("top"))
     return top.select(F.inline("top"))
