@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from foresift.llm.common import persist
 
-#: A sketch has this many cells for each of three hashes; peeling rounds; larger sketches tried.
-THIRD, ROUNDS, RETRIES = 12, 12, 5
+#: A sketch has this many cells for each of three hashes; peeling rounds.
+THIRD, ROUNDS = 12, 12
 #: Bits of a digest that check the others.
 CHECK_BITS = 24
 #: Differences that a block should hold on average.
-LOAD = 14
+LOAD = 18
 #: A longer line is cut after every so many characters.
-PIECE = 256
+PIECE = 400
 #: Rows that a range of ids should hold, and the largest number of ranges.
 RANGE_ROWS, MAX_RANGES = 2000, 16_384
 
@@ -50,8 +50,8 @@ def _item(d: Column, n: Column) -> Column:
     return F.struct(d.alias("d"), n.alias("n"), cell(0).alias("c0"), cell(1).alias("c1"), cell(2).alias("c2"))
 
 
-def _items(found: Column) -> Column:
-    return F.transform(found, lambda d: _item(d, F.lit(1)))
+def _items(found: Column, n: int = 1) -> Column:
+    return F.transform(found, lambda d: _item(d, F.lit(n)))
 
 
 def sketch(items: Column) -> Column:
@@ -91,27 +91,28 @@ def peel(cells: Column) -> Column:
 
 
 def _blocked(a: Column, b: Column, blocks: Column) -> Column:
-    """``ok, found`` by a sketch for each of so many blocks."""
+    """``ok, found`` by a sketch for each of so many blocks, into which one text's digests go and the other's come out."""
     own = lambda items, k: F.filter(items, lambda x: F.pmod(F.shiftrightunsigned(x["d"], CHECK_BITS + 21), blocks) == k)
-    each = lambda a, b: F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: peel(subtract(sketch(own(a, k)), sketch(own(b, k)))))
-    both = _let(_items(a), lambda x: _let(_items(b), lambda y: each(x, y)))
+    each = lambda items: F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: peel(_let(own(items, k), sketch)))
+    both = _let(F.concat(_items(a, 1), _items(b, -1)), each)
     return _let(both, lambda e: F.struct(F.forall(e, lambda x: x["ok"]).alias("ok"), F.flatten(F.transform(e, lambda x: x["found"])).alias("found")))
 
 
+def _blocks(a: Column, b: Column, k: int) -> Column:
+    return _blocked(a, b, F.greatest(F.lit(2), F.ceil((F.size(a) + F.size(b)) * 2**k / LOAD)).cast("long"))
+
+
 def compare(rows: DataFrame, a: str, b: str, a_cells: str, b_cells: str, to: str) -> DataFrame:
     """Add ``to``: the digests that only one of the arrays ``a`` and ``b`` has.
 
-    The sketches ``a_cells`` and ``b_cells`` are tried first, then blocks by the number of digests, twice as many each
-    time. Sketches of one size that hold the same three cells' digests in pairs never peel; what is left of such
-    after all tries is compared digest by digest.
+    Their sketches are tried first, then blocks by the number of digests, and larger ones. Digests that agree in all
+    cells and blocks never peel; what still has such after all tries is compared digest by digest.
     """
-    rows = rows.withColumn(to, peel(subtract(F.col(a_cells), F.col(b_cells))))
-    ok = F.col(to)["ok"]
-    for k in range(RETRIES):
-        blocks = F.greatest(F.lit(2), F.ceil((F.size(a) + F.size(b)) * 2**k / LOAD)).cast("long")
-        rows = rows.withColumn(to, F.when(ok, F.col(to)).otherwise(_blocked(F.col(a), F.col(b), blocks)))
-    exact = F.concat(F.array_except(a, b), F.array_except(b, a))
-    return rows.withColumn(to, F.when(ok, F.col(to)["found"]).otherwise(exact))
+    x, y = F.col(a), F.col(b)
+    rows = rows.withColumn(to, _let(peel(subtract(F.col(a_cells), F.col(b_cells))), lambda r: F.when(r["ok"], r).otherwise(_blocks(x, y, 0))))
+    exact = F.concat(F.array_except(x, y), F.array_except(y, x))
+    last = _let(_blocks(x, y, 2), lambda r: F.when(r["ok"], r["found"]).otherwise(_let(_blocks(x, y, 4), lambda q: F.when(q["ok"], q["found"]).otherwise(exact))))
+    return rows.withColumn(to, F.when(F.col(to)["ok"], F.col(to)["found"]).otherwise(last))
 
 
 def likeness(n_a: Column, n_b: Column, n_different: Column) -> Column:
