@@ -56,5 +56,5 @@ def frequent(df: DataFrame, col: str, k: int, counters: int) -> DataFrame:
     """
     some = df.groupBy(F.floor(F.spark_partition_id() / 64).alias("some")).agg(F.expr(f"approx_top_k_accumulate({col}, {counters})").alias("summary"))
     # grouped by a constant, as the combining function fails on partitions without rows
-    top = some.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {counters}), {k})").alias("top"))
+    top = some.groupBy(F.isnull("some").alias("none")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {counters}), {k})").alias("top"))
     return top.select(F.inline("top"))
