@@ -206,33 +206,47 @@ class _Join:
         pairs = _distinct_pairs(self.nodes.select(F.col("low").alias("a"), F.col("cls").alias("b")))
         return persist(self.with_sketches(pairs).mapInArrow(_screen, "a binary, b binary"))
 
+    def _mixed(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """``node, cls, sig, component, size, n, main`` of nodes with several components; ``main`` is the largest, of n members."""
+        marked = rows.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        by = marked.groupBy("node", "component").agg(F.count("*").alias("n"))
+        nodes = by.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("m")).where("size > m.n").select("node", "size", "m.n", F.col("m.component").alias("main"))
+        return marked.join(nodes, "node")
+
+    @staticmethod
+    def _settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of nodes: rows to compare (``node, part, side, cls, component, sig``), and those of nodes that are too large.
+
+        A large node in which few members are not of the main component needs no branching: the main component is
+        dealt to parts, and the few meet each.
+        """
+        half = SMALL // 2
+        whole = rows.where(F.col("size") <= SMALL).withColumn("part", F.lit(0).cast("long"))
+        lean = rows.where((F.col("size") > SMALL) & (F.col("size") - F.col("n") <= half))
+        parts = F.ceil(F.col("n") / half)
+        own = F.array(F.pmod(F.xxhash64("cls"), parts))
+        lean = lean.withColumn("part", F.explode(F.when(F.col("component") == F.col("main"), own).otherwise(F.sequence(F.lit(0).cast("long"), parts - 1))))
+        ready = whole.unionByName(lean).select("node", "part", F.lit(0).alias("side"), "cls", "component", "sig")
+        return ready, rows.where((F.col("size") > SMALL) & (F.col("size") - F.col("n") > half))
+
     def small_nodes(self, labels: DataFrame) -> DataFrame:
         """``node, part, side, cls, component, sig`` of nodes with several components, branched until they are small.
 
         A node that is large at the last level is compared in pairs of parts.
         """
-        marked = self.nodes.select("node", "cls").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        mixed = marked.groupBy("node").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node", "size")
-        rows = persist(marked.join(mixed, "node").join(self.classes.select("cls", "sig"), "cls").select("node", "cls", "sig", "component", "size"))
-        done = rows.where(F.col("size") <= SMALL)
-        large = rows.where(F.col("size") > SMALL)
+        mixed = self._mixed(self.nodes.select("node", "cls"), labels)
+        done, large = self._settled(persist(mixed.join(self.classes.select("cls", "sig"), "cls")))
         for _ in range(LEVELS):
             if large.isEmpty():
-                return self._whole(done)
+                return done
             child = large.select("node", "cls", "sig").mapInArrow(_children, "node long, cls binary, sig binary").dropDuplicates(["node", "cls"])
-            child = child.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-            mixed = child.groupBy("node").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node", "size")
-            rows = persist(child.join(mixed, "node").select("node", "cls", "sig", "component", "size"))
-            done, large = done.unionByName(rows.where(F.col("size") <= SMALL)), rows.where(F.col("size") > SMALL)
+            more, large = self._settled(persist(self._mixed(child, labels)))
+            done = done.unionByName(more)
         n = F.ceil(F.col("size") * 2 / SMALL).cast("int")
-        own = F.pmod(F.xxhash64("cls"), n)
+        own = F.pmod(F.xxhash64("cls"), n).cast("int")
         cells = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct((F.least(own, k) * n + F.greatest(own, k)).cast("long").alias("part"), F.when(own == k, 0).when(own < k, 1).otherwise(2).alias("side")))
         split = large.select("node", "cls", "component", "sig", F.explode(cells).alias("at")).select("node", "at.part", "at.side", "cls", "component", "sig")
-        return self._whole(done).unionByName(split)
-
-    @staticmethod
-    def _whole(rows: DataFrame) -> DataFrame:
-        return rows.select("node", F.lit(0).cast("long").alias("part"), F.lit(0).alias("side"), "cls", "component", "sig")
+        return done.unionByName(split)
 
     def pairs(self, labels: DataFrame, nearest: int | None) -> DataFrame:
         rows = self.small_nodes(labels).repartition("node", "part").sortWithinPartitions("node", "part")
