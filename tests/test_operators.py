@@ -1,8 +1,10 @@
 """Hand fixtures and invariants."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from foresift.operators import folds, forecasters, prepare
+from foresift.operators import folds, forecasters, hierarchy, prepare
 from foresift.operators.folds import Protocol
 
 
@@ -47,3 +49,14 @@ def test_no_leakage(spark):
     after = forecasters.base_forecasts(panel(spark, values[:32] + [99] * 8).repartition(7), p).where("fold = 0")
     key = lambda df: sorted((r["model"], r["h"], r["y_pred"], r["lo"]) for r in df.collect())
     assert key(before) == key(after)
+
+
+def test_tree_reconcile_equals_dense_projection(spark):
+    nodes = [("T", None, 0), ("A", "T", 1), ("B", "T", 1), ("a1", "A", 2), ("a2", "A", 2), ("b1", "B", 2), ("b2", "B", 2), ("b3", "B", 2)]
+    y = [10.0, 3.0, 4.0, 1.0, 2.5, 2.0, 0.5, 4.0]
+    s = np.array([[1] * 5, [1, 1, 0, 0, 0], [0, 0, 1, 1, 1], *np.eye(5)])
+    base = spark.createDataFrame([(n, p, k, 0, v) for (n, p, k), v in zip(nodes, y, strict=True)], "node string, parent string, level long, ds long, y_pred double")
+    for variance, w in ((F.lit(1.0), np.ones(8)), (F.element_at(F.map_from_arrays(F.array(*[F.lit(n[0]) for n in nodes]), F.array(*[F.lit(float(x)) for x in s.sum(axis=1)])), F.col("node")), s.sum(axis=1))):
+        want = s @ np.linalg.solve(s.T @ np.diag(1 / w) @ s, s.T @ (np.array(y) / w))
+        found = {r["node"]: r["y"] for r in hierarchy.tree_reconcile(base, variance, 2).collect()}
+        assert [found[n[0]] for n in nodes] == pytest.approx(want.tolist())
