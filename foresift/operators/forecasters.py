@@ -94,3 +94,23 @@ def intermittent(panel: DataFrame, folds: DataFrame, alpha: float = 0.1, agg: in
         F.struct(F.lit("adida").alias("model"), F.coalesce("adida", F.lit(0.0)).alias("y_pred")),
     )
     return every.select("series_id", "fold", F.inline(models)).select("model", "series_id", "fold", "y_pred")
+
+
+def seasonal_ar1(panel: DataFrame, p: Protocol) -> DataFrame:
+    """``series_id, fold, h, t, y_pred``: the last season plus a first-order autoregression of the seasonal differences.
+
+    Slope and intercept are running least squares of the training rows; h steps ahead are in closed form.
+    """
+    diff = panel.withColumn("d", F.col("y") - F.lag("y", p.season).over(by_series())).withColumn("e", F.lag("d").over(by_series()))
+    train = _train(p)
+    fitted = diff.withColumns({"phi": F.regr_slope("d", "e").over(train), "c": F.regr_intercept("d", "e").over(train)})
+    ahead = _read(fitted, steps(splits(panel, p), p), F.col("te") - p.season + (F.col("h") - 1) % p.season, "y")
+    ahead = _read(fitted, ahead, F.col("te") - 1, "d", "phi", "c")
+    power = F.pow("phi", F.col("h").cast("double"))
+    return ahead.select("series_id", "fold", "h", "t", (F.col("y") + F.col("d") * power + F.col("c") * (1 - power) / (1 - F.col("phi"))).alias("y_pred"))
+
+
+def quantile_profile(panel: DataFrame, p: Protocol, levels: tuple[float, ...]) -> DataFrame:
+    """``series_id, fold, phase, quantiles``: quantiles of each phase of the season over a fold's training rows."""
+    rows = panel.join(splits(panel, p), "series_id").where((F.col("t") >= F.col("tr_lo")) & (F.col("t") < F.col("te")))
+    return rows.groupBy("series_id", "fold", (F.col("t") % p.season).alias("phase")).agg(F.percentile("y", F.array(*[F.lit(q) for q in levels])).alias("quantiles"))

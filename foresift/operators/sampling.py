@@ -52,3 +52,16 @@ def mean_shift(panel: DataFrame, penalty: float) -> DataFrame:
     gain = F.col("u") ** 2 / F.col("i") + (F.col("s") - F.col("u")) ** 2 / (F.col("n") - F.col("i")) - F.col("s") ** 2 / F.col("n")
     best = rows.withColumn("gain", gain).groupBy("series_id").agg(F.max_by("i", "gain").alias("t"), F.max("gain").alias("gain"), F.first("v").alias("v"))
     return best.where(F.col("gain") > penalty * F.col("v")).select("series_id", "t", "gain")
+
+
+def energy_score(rows: DataFrame, keys: list[str], samples: str = "samples", y: str = "y") -> DataFrame:
+    """``keys, energy``: the score of whole sample paths, one row a step; each path is paired with the one after it."""
+    s = F.col(samples)
+    pairs = F.transform(s, lambda x, k: F.struct(k.alias("path"), F.pow(x - F.col(y), 2).alias("off"), F.pow(x - F.get(s, (k + 1) % F.size(s)), 2).alias("apart")))
+    paths = rows.select(*keys, F.inline(pairs)).groupBy(*keys, "path").agg(F.sqrt(F.sum("off")).alias("off"), F.sqrt(F.sum("apart")).alias("apart"))
+    return paths.groupBy(*keys).agg((F.avg("off") - F.avg("apart") / 2).alias("energy"))
+
+
+def pit(samples: Column, y: Column) -> Column:
+    """The share of the samples that are not above the value."""
+    return F.size(F.filter(samples, lambda x: x <= y)) / F.size(samples)

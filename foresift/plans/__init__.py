@@ -1,4 +1,4 @@
 """All registered queries and their SQL."""
 
-from foresift.plans import backtests, monitoring, preparation, searches  # noqa: F401
+from foresift.plans import backtests, distributions, monitoring, preparation, searches  # noqa: F401
 from foresift.plans.common import QUERIES, SQL  # noqa: F401
