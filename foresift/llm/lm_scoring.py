@@ -1,13 +1,14 @@
 """Language-model scoring with a weighted backoff automaton.
 
-A smoothed bigram model over words. Its states are the contexts: the empty one, and each word of a bounded core
-vocabulary. An arc of a context carries the log-probability of a word that was seen after it; where there is no arc,
-the failure arc leads to the empty context at the cost of the backoff weight, and the unigram estimate applies. One
-left-to-right traversal carries the state and adds up the log-probabilities.
+A smoothed bigram model over words. Its states are the contexts: the empty one, and each word. An arc of a context
+carries the log-probability of a word that was seen after it; where there is no arc, the failure arc leads to the empty
+context at the cost of the backoff weight, and the unigram estimate applies. One left-to-right traversal carries the
+state and adds up the log-probabilities.
 
 The model grows with the corpus, so it is never gathered in one place. The rows of an input partition are cut into
 blocks of bounded text. Each block counts its own words and word pairs; the counts of all blocks meet by key, and each
-block gets back just the entries that its texts can touch, from which it compiles its part of the automaton.
+block gets back just the entries that its texts can touch, from which it compiles its part of the automaton. Pairs that
+a single block holds are not sent back to it: their count is that block's own.
 """
 
 from __future__ import annotations
@@ -24,10 +25,8 @@ from pyspark.sql import functions as F
 
 from foresift.llm.common import stored
 
-#: Words that can be a context or follow one: the most frequent, so many at most. Every word counts as a unigram.
-CORE = 65_535
-#: Pairs seen less often are left to the backoff; the discount that smoothing takes from each pair's count.
-MIN_PAIR, DISCOUNT = 2, 0.75
+#: The discount that smoothing takes from each pair's count.
+DISCOUNT = 0.75
 #: Characters of text in a block, about. Tokens that are traversed in one go; the state at a cut is that of the token before it.
 BLOCK, SEGMENT = 8_000_000, 512
 END = b" end"  # no word holds a space
@@ -77,40 +76,73 @@ class _Block:
         self.ends = np.cumsum(self.lengths)
         self.hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in number), np.uint64, len(number)).view(np.int64)
 
-    def core(self, core: np.ndarray) -> np.ndarray:
-        """Each token's number in the sorted core hashes, from 1; 0 for other words."""
-        at = np.minimum(np.searchsorted(core, self.hashes), max(len(core) - 1, 0))
-        known = core[at] == self.hashes if len(core) else np.zeros(len(at), bool)
-        return np.where(known, at + 1, 0)[self.flat]
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The positions of all tokens but each text's first, and there the predecessor and the token as one number."""
+        inner = np.ones(len(self.flat), bool)
+        inner[self.ends - self.lengths] = False
+        at = np.flatnonzero(inner)
+        return at, self.flat[at - 1].astype(np.int64) * len(self.hashes) + self.flat[at]
+
+    def pair_keys(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit hashes of pairs, and of their first words."""
+        first, second = self.hashes[pairs // len(self.hashes)], self.hashes[pairs % len(self.hashes)]
+        x = first.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.view(np.uint64)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (x ^ (x >> np.uint64(32))).view(np.int64), first
+
+    def trained(self, ids: list) -> np.ndarray:
+        """Whether the model learns from each token."""
+        return np.repeat(np.array([not held_out(i) for i in ids], bool), self.lengths)
+
+
+def _counted(values: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and how often each is a training one."""
+    uniq, inverse = np.unique(values, return_inverse=True)
+    return uniq, np.bincount(inverse, weights=train, minlength=len(uniq)).astype(np.int64)
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``block, key, n``: how often each word occurs in a block's training texts (0 if in others only)."""
+    for block, ids, rows in _blocks(batches):
+        b = _Block(rows)
+        rows.clear()  # the texts are not needed beside their numbers
+        word, n = _counted(b.flat, b.trained(ids))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), block)), pa.array(b.hashes[word]), pa.array(n)], names=["block", "key", "n"])
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``block, key, context, n``: the same of word pairs, with the hash of the first word."""
+    for block, ids, rows in _blocks(batches):
+        b = _Block(rows)
+        rows.clear()
+        at, pairs = b.pairs()
+        pair, n = _counted(pairs, b.trained(ids)[at])
+        key, context = b.pair_keys(pair)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), block)), pa.array(key), pa.array(context), pa.array(n)], names=["block", "key", "context", "n"])
+
+
+def _shared_and_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From ``block, key, context, total, shared, first``: the rows that are ``shared``, as ``block, key, total, null``; and
+    ``null, context, null, types``, partial counts of the different pairs of each context that were trained on."""
+    names, held, size = ["block", "key", "total", "types"], [], 0
+    none = lambda n: pa.nulls(n, pa.int64())
+
+    def flush() -> pa.RecordBatch:
+        context, types = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([none(len(context)), pa.array(context), none(len(context)), pa.array(types.astype(np.int64))], names=names)
 
-    def pairs(self, ids: np.ndarray) -> np.ndarray:
-        """For each token: the pair of its predecessor in the same text and itself, 0 unless both are core words."""
-        before = np.concatenate([[0], ids[:-1]])
-        before[np.concatenate([[0], self.ends[:-1]])] = 0
-        return np.where((before > 0) & (ids > 0), (before.astype(np.int64) << 16) | ids, 0)
-
-
-def _count(texts: DataFrame, keys_of, schema: str) -> DataFrame:
-    """``block, key, n``: how often each key of ``keys_of(block)`` occurs in a block's training texts (0 if in others only)."""
-
-    def run(batches):
-        for block, ids, rows in _blocks(batches):
-            b = _Block(rows)
-            rows.clear()  # the texts are not needed beside their numbers
-            keys = keys_of(b)
-            train = np.repeat([not held_out(i) for i in ids], b.lengths)
-            uniq, inverse = np.unique(keys, return_inverse=True)
-            n = np.bincount(inverse, weights=train, minlength=len(uniq)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(uniq), block)), pa.array(uniq), pa.array(n)], names=["block", "key", "n"])
-
-    return texts.mapInArrow(run, schema)
-
-
-def _totals(counts: DataFrame, least: int) -> DataFrame:
-    """``block, key, total, first``: a key's count over all blocks, at each block that has it; ``first`` marks one of its rows."""
-    same = Window.partitionBy("key")
-    total = counts.select("block", "key", F.sum("n").over(same).alias("total"), (F.col("block") == F.min("block").over(same)).alias("first"))
-    return stored(total.where(F.col("total") >= least))
+    for batch in batches:
+        block, key, context, total, shared, first = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if shared.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[shared]) for x in (block, key, total)] + [none(int(shared.sum()))], names=names)
+        held.append(context[first & (total > 0)])
+        size += len(held[-1])
+        if size >= 2_000_000:
+            yield flush()
+            size = 0
+    if size:
+        yield flush()
 
 
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,20 +154,16 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     An empty table gives an empty result. ``docs`` should be a stored table, whose partitions are the same each time
     they are read; a change is noticed and raises.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    words = _totals(_count(texts, lambda b: b.hashes[b.flat], "block long, key long, n long"), 0)
-    once = words.where("first")
-    n_train, vocabulary = once.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.when(F.col("total") > 0, 1))).first()
-    top = once.where("total > 1").orderBy(F.col("total").desc(), "key").limit(CORE).toArrow()
-    order = np.argsort(top["key"].to_numpy())
-    core, seen = top["key"].to_numpy()[order], top["total"].to_numpy()[order]
-    shared = spark.sparkContext.broadcast(core)
-    pairs = _totals(_count(texts, lambda b: b.pairs(b.core(shared.value)), "block long, key long, n long").where("key > 0"), MIN_PAIR)
-    kept = pairs.where("first").groupBy(F.shiftright("key", 16).alias("context")).agg(F.sum(F.col("total") - DISCOUNT).alias("mass")).toArrow()
-    mass = np.zeros(len(core) + 1)
-    mass[kept["context"].to_numpy()] = kept["mass"].to_numpy()
-    contexts = spark.sparkContext.broadcast((np.concatenate([[1], seen]), mass))  # by core number: CORE + 1 rows
+    same = Window.partitionBy("key")
+    total, least = F.sum("n").over(same).alias("total"), F.min("block").over(same)
+    met = texts.mapInArrow(_count_pairs, "block long, key long, context long, n long").select("block", "key", "context", total, (F.count("*").over(same) > 1).alias("shared"), (F.col("block") == least).alias("first"))
+    pairs = stored(met.mapInArrow(_shared_and_types, "block long, key long, total long, types long"))
+    types = pairs.where("block is null").select("block", "key", F.lit(0).cast("long").alias("n"), "types")
+    counted = texts.mapInArrow(_count_words, "block long, key long, n long").withColumn("types", F.lit(None).cast("long")).unionByName(types)
+    words = counted.select("block", "key", total, F.coalesce(F.sum("types").over(same), F.lit(0)).alias("types"), (F.col("block") == least).alias("first"))
+    words = stored(words.where("block is not null"))
+    n_train, vocabulary = words.where("first").agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.when(F.col("total") > 0, 1))).first()
     below = n_train + 0.5 * (vocabulary + 1)
 
     def place(batches):
@@ -144,38 +172,53 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def score(rows: pa.Table, model: pa.Table) -> pa.Table:
         ids, b = rows["id"].to_pylist(), _Block(rows["text"].to_pylist())
-        pair, key, total = (model[c].to_numpy() for c in ("pair", "key", "total"))
-        order = np.argsort(key[~pair])
-        hashes, counts = key[~pair][order], total[~pair][order]
-        at = np.minimum(np.searchsorted(hashes, b.hashes), len(hashes) - 1)
-        if (hashes[at] != b.hashes).any():
-            raise RuntimeError("the table's partitions changed between two reads; store it first")
-        count = counts[at][b.flat]
+        pair, key, total, types = (model[c].to_numpy() for c in ("pair", "key", "total", "types"))
+        seen, kinds = (_looked_up(key[~pair], x[~pair], b.hashes) for x in (total, types))
+        count = seen[b.flat]
         unigram = np.log10((count + 0.5) / below)
         starts = b.ends - b.lengths
         sums = lambda x: np.add.reduceat(x, starts)
-        logp = traverse(b, unigram, shared.value, *contexts.value, key[pair], total[pair])
+        at, numbers = b.pairs()
+        arcs, n = _counted(numbers, b.trained(ids)[at])  # right where no other block has the pair
+        own = b.pair_keys(arcs)[0]
+        by_key = np.argsort(own)
+        n[by_key[_looked_up(own[by_key], np.arange(len(own)), key[pair])]] = total[pair]
+        logp = traverse(b, unigram, seen, kinds, arcs[n > 0], n[n > 0])
         out = [rows["id"], pa.array([held_out(i) for i in ids]), pa.array(b.lengths.astype(np.int64)), pa.array(sums((count > 0).astype(np.int64)))]
         out += [pa.array(np.full(len(ids), n_train)), pa.array(sums(unigram)), pa.array(sums(logp))]
         return pa.Table.from_arrays(out, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     id_kind = dict(texts.dtypes)["id"]
     id_type = texts.select("id").limit(0).toArrow().schema.field(0).type
-    model = words.select("block", F.lit(False).alias("pair"), "key", "total").unionByName(pairs.select("block", F.lit(True).alias("pair"), "key", "total"))
+    model = words.select("block", F.lit(False).alias("pair"), "key", "total", "types")
+    model = model.unionByName(pairs.where("block is not null").select("block", F.lit(True).alias("pair"), "key", "total", F.lit(0).cast("long").alias("types")))
     placed = texts.mapInArrow(place, f"block long, id {id_kind}, text string")
     return placed.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(score, f"id {id_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def traverse(b: _Block, unigram: np.ndarray, core: np.ndarray, seen: np.ndarray, mass: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of each wanted key, all of which must be there."""
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+    if len(wanted) and (not len(keys) or (keys[at] != wanted).any()):
+        raise RuntimeError("the table's partitions changed between two reads; store it first")
+    return values[at]
+
+
+def traverse(b: _Block, unigram: np.ndarray, seen: np.ndarray, types: np.ndarray, arcs: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Log10 probability of each token.
 
-    A state is a context: 0 is the empty one, others the core word's number. Texts are cut into segments, which all
-    advance one token at a time.
+    A state is a context: 0 is the empty one, others the block's number of the word, from 1. ``seen`` is how often each
+    word occurs, ``types`` how many different words follow it, ``arcs`` the sorted pairs that were seen ``counts``
+    times. Texts are cut into segments, which all advance one token at a time.
     """
-    order = np.argsort(keys)
-    arcs, counts = keys[order], counts[order]
-    backoff = np.log10(np.maximum(1 - mass / seen, 1e-12))  # of the failure arc from each context
-    words, out = b.core(core), np.empty(len(b.flat))
+    size = len(b.hashes)
+    known = np.concatenate([[False], types > 0])  # contexts that have arcs; from the others the failure arc costs nothing
+    seen = np.concatenate([[1], np.maximum(seen, 1)])
+    backoff = np.zeros(size + 1)
+    backoff[known] = np.log10(DISCOUNT * types[known[1:]] / seen[known])  # of the failure arc from each context
+    words, out = b.flat.astype(np.int64) + 1, np.empty(len(b.flat))
     cuts = np.concatenate([np.arange(e - n, e, SEGMENT) for e, n in zip(b.ends, b.lengths, strict=True)])
     ends = np.minimum(cuts + SEGMENT, np.repeat(b.ends, -(-b.lengths // SEGMENT)))
     starts_text = np.isin(cuts, b.ends - b.lengths)
@@ -187,10 +230,10 @@ def traverse(b: _Block, unigram: np.ndarray, core: np.ndarray, seen: np.ndarray,
         running = np.searchsorted(-lengths, -step, side="left")
         at, s = cuts[:running] + step, state[:running]
         w, low = words[at], unigram[at]
-        arc = (s << 16) | w
+        arc = (s - 1) * size + w - 1
         k = np.minimum(np.searchsorted(arcs, arc), max(len(arcs) - 1, 0))
-        hit = (arcs[k] == arc) & (s > 0) & (w > 0) if len(arcs) else np.zeros(running, bool)
-        p = low + np.where(s > 0, backoff[s], 0.0)
+        hit = (arcs[k] == arc) & (s > 0) if len(arcs) else np.zeros(running, bool)
+        p = low + backoff[s]
         h, kh = s[hit], k[hit]
         p[hit] = np.log10((counts[kh] - DISCOUNT) / seen[h] + 10.0 ** p[hit])
         out[at] = p

@@ -1,6 +1,7 @@
 """The operators on small tables: brute force, nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import hashlib
+import math
 import struct
 from collections import Counter
 
@@ -88,6 +89,25 @@ def test_lm_score(docs, empty):
     assert all(r["score"] < 0 and r["base_score"] < 0 for r in found)
 
 
+def test_lm_score_by_brute_force(docs, spark):
+    """Every pair counts, whatever the rank of its words and however rare it is; some are in one partition, some in several."""
+    more = [(100 + k, f"common words and then rare{k} once more rare{k} once", k % 3) for k in range(12)]
+    rows = [r[:2] for r in ROWS] + [r[:2] for r in more]
+    table = persist(docs.select("doc_id", "text").union(spark.createDataFrame([r[:2] for r in more], "doc_id long, text string").repartition(3)))
+    train = [lm_scoring.tokens(t or "") for i, t in rows if not lm_scoring.held_out(i)]
+    seen, arcs = Counter(w for x in train for w in x), Counter(p for x in train for p in zip(x, x[1:], strict=False))
+    types, below = Counter(a for a, _ in arcs), sum(seen.values()) + 0.5 * (len(seen) + 1)
+    uni = lambda w: (seen[w] + 0.5) / below
+
+    def follows(a, w):
+        return max(arcs[a, w] - 0.75, 0) / seen[a] + 0.75 * types[a] / seen[a] * uni(w) if types[a] else uni(w)
+
+    want = sorted((str(i), *(round(sum(map(math.log10, p)), 6) for p in ([uni(w) for w in x], [uni(x[0])] + [follows(*p) for p in zip(x, x[1:], strict=False)]))) for i, t in rows for x in [lm_scoring.tokens(t or "")])
+    got = sorted((str(r["id"]), r["base_score"], r["score"]) for r in lm_scoring.lm_score(table).collect())
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [v for g in got for v in g[1:]] == pytest.approx([v for w in want for v in w[1:]], abs=1e-5)
+
+
 def test_language_id(docs, empty):
     model = language_id.train(docs)
     found = {r["row"]["doc_id"]: r for r in language_id.identify(docs, model, carry=["doc_id"]).collect()}
