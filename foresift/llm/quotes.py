@@ -1,8 +1,9 @@
 """Quotation linking: conversations in reply order, without the quotes.
 
 A line's quote level is the number of ``>`` marks before it. Neighbouring lines of one level are a passage. Quoted
-passages and what each message says itself are normalised and hashed; a quote's hash finds the message that said it
-first in the same conversation. The message replies to what it quotes at the lowest level.
+passages and what each message says itself, whole and in runs of as many lines as the conversation's quotes have, are
+normalised and hashed; a quote's hash finds the message that said it first in the same conversation. The message
+replies to what it quotes at the lowest level.
 """
 
 from __future__ import annotations
@@ -41,11 +42,33 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+def _digest(text: Column) -> Column:
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
+def _lines(text: Column) -> Column:
+    """The normalised lines that are not empty."""
+    return F.filter(F.transform(F.split(text, "\n"), normalised), lambda x: x != "")
+
+
+def _runs(lines: Column, lengths: Column) -> Column:
+    """Digests of all runs of neighbouring lines of the given lengths."""
+
+    def of(lines: Column) -> Column:
+        def run(n: Column) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.size(lines) - n + 1), lambda at: _digest(F.array_join(F.slice(lines, at, n), " ")))
+
+        return F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.size(lines)), run))
+
+    return _let(lines, of)
+
+
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``conv, turn, role, text, n_quotes, reply_to, thread, depth`` of every message.
 
     ``text`` is what the message says itself. A quote belongs to the earliest message before it in its conversation
-    whose own text, or a passage or line of that, is the same after normalising; ``reply_to`` is the turn of the message that is quoted at the
+    whose own text, or a passage or neighbouring lines of that, is the same after normalising (lines of white space do
+    not count; equal 128-bit hashes are the same); a quote that ends within a line finds nothing; ``reply_to`` is the turn of the message that is quoted at the
     lowest level that finds one (of several, the latest turn), else null. ``thread`` is the turns from the first
     message that is reached by replies to this one: its order is the reply order. ``depth`` is its length less one.
     Quotes that find nothing are taken out too. Null texts say nothing. Messages whose conversation or turn is null
@@ -57,13 +80,12 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     )
     own = F.array_join(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["text"]), "\n")
     said = persist(said.select("conv", "turn", "role", F.trim(own).alias("text"), F.filter("passages", lambda p: p["level"] > 0).alias("quotes"), F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["text"]).alias("own")))
-    digest = lambda x: F.xxhash64(normalised(x))
-    asked = said.select("conv", "turn", F.explode("quotes").alias("q")).where(normalised(F.col("q.text")) != "").select("conv", "turn", "q.level", digest(F.col("q.text")).alias("key"), normalised(F.col("q.text")).alias("norm"))
-    parts = F.array_distinct(F.concat(F.array("text"), F.col("own"), F.split("text", "\n")))
-    wanted = asked.select("conv").distinct()
-    stated = said.join(wanted, "conv", "left_semi").select("conv", "turn", F.explode(parts).alias("part"))
-    stated = stated.select("conv", "turn", normalised(F.col("part")).alias("norm")).where("norm <> ''").groupBy("conv", "norm").agg(F.min("turn").alias("origin")).withColumn("key", F.xxhash64("norm"))
-    found = asked.alias("q").join(stated.alias("s"), ["conv", "key"]).where("q.norm = s.norm and origin < turn")
+    asked = said.select("conv", "turn", F.explode("quotes").alias("q")).where(normalised(F.col("q.text")) != "").select("conv", "turn", "q.level", _digest(normalised(F.col("q.text"))).alias("key"), F.size(_lines(F.col("q.text"))).alias("n"))
+    wanted = asked.groupBy("conv").agg(F.collect_set("n").alias("lengths"))
+    whole = F.transform(F.concat(F.array("text"), F.col("own")), lambda x: _digest(normalised(x)))
+    stated = said.join(wanted, "conv").select("conv", "turn", F.explode(F.array_distinct(F.concat(whole, _runs(_lines(F.col("text")), F.col("lengths"))))).alias("key"))
+    stated = stated.groupBy("conv", "key").agg(F.min("turn").alias("origin"))
+    found = asked.join(stated, ["conv", "key"]).where("origin < turn")
     replies = persist(found.groupBy("conv", "turn").agg(F.min(F.struct("level", (-F.col("origin")).alias("less"))).alias("m")).select("conv", "turn", (-F.col("m.less")).alias("reply_to")))
     kept = persist(said.select("conv", "turn", "role", "text", F.size("quotes").alias("n_quotes")))
     return kept.join(_threads(replies), ["conv", "turn"], "left").select("conv", "turn", "role", "text", "n_quotes", "reply_to", F.coalesce("thread", F.array("turn")).alias("thread"), F.coalesce(F.size("thread") - 1, F.lit(0)).alias("depth"))

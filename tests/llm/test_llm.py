@@ -179,3 +179,13 @@ def test_quotes(spark):
     found = [(r["conv"], r["turn"], r["text"], r["reply_to"], r["thread"]) for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()]
     assert (1, 2, "Good", 1, [0, 1, 2]) in found and found.count((1, 1, "Fine.", 0, [0, 1])) == 2 and (2, 0, "", None, [0]) in found
     assert quotes.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_quotes_of_some_lines(spark):
+    """Two of four lines, with a line of white space between; lines that are no neighbours, or in another order, are no quote."""
+    said = "First one.\nSecond  one.\n \nThird one.\nFourth one."
+    rows = [(1, 0, "u", said), (1, 1, "b", "> second one.\n>\n> Third one.\nYes."), (1, 2, "u", "> First one.\n> Third one.\nNo."), (1, 3, "u", "> Third one.\n> Second one.\nNo.")]
+    rows += [(1, 4, "b", "> Third one.\n> Fourth one.\n>> First one.\n>> Second one.\n>> Third one.\nSo"), (2, 0, "u", "x"), (2, 1, "b", "> second one.\n> Third one.\nYes.")]
+    found = {(r["conv"], r["turn"]): (r["text"], r["reply_to"], r["thread"], r["depth"]) for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert found[1, 1] == ("Yes.", 0, [0, 1], 1) and found[1, 4] == ("So", 0, [0, 4], 1)
+    assert found[1, 2] == ("No.", None, [2], 0) and found[1, 3] == ("No.", None, [3], 0) and found[2, 1][1] is None
