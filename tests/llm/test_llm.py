@@ -174,6 +174,24 @@ def test_line_dedup(docs, empty, spark):
     assert line_dedup.line_dedup(docs).count() == len(ROWS) - 1 and line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    """Passages of 2 to 7 short lines, 51 words or more together, between other lines; one that repeats itself; one of 49 words."""
+    split = [(26, 25), (24, 29, 7), (49, 1, 10), (13, 13, 13, 13), (1, 49, 1, 1, 20), (11, 0, 11, 11, 11, 11), (9,) * 6, (3, 48, 3), (17,) * 7]
+    passages = ["\n".join(" ".join(f"p{j}l{k}w{w}" for w in range(n)) for k, n in enumerate(sizes)) for j, sizes in enumerate(split)]
+    around = lambda i, p: f"start of text {i}\n{p}\nend of text {i}"
+    rows = [(i, around(i, passages[i % len(split)])) for i in range(3 * len(split))]
+    one = "\n".join(" ".join(f"once{k}w{w}" for w in range(17)) for k in range(4))
+    rows += [(100, f"{one}\nbetween\n{one}\nat the end"), (101, around(101, "the same seventeen words of a line again and again in one text without any other thing\n" * 9))]
+    few = " ".join(f"few{w}" for w in range(49))
+    rows += [(102, f"{few}\nown words"), (103, f"{few}\nothers")]
+    found = {r["id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows[: 3 * len(split)]:
+        want = (text, 0, 0) if i < len(split) else (f"start of text {i}\nend of text {i}", 1, len(passages[i % len(split)]))
+        assert (found[i]["text"], found[i]["n_removed"], found[i]["removed_chars"]) == want, i
+    assert found[100]["text"] == f"{one}\nbetween\nat the end" and found[101]["text"].count("seventeen") < 9
+    assert found[102]["text"] == rows[-2][1] and found[103]["text"] == rows[-1][1]
+
+
 def test_quotes(spark):
     rows = [(1, 0, "u", "Hello there.\nHow are you?"), (1, 1, "b", "> Hello  there.\n> how are you?\nFine."), (1, 2, "u", ">> Hello there.\n> Fine.\nGood"), (2, 0, "u", None), (2, None, "u", "> hi"), (1, 1, "b", "> Hello  there.\n> how are you?\nFine.")]
     found = [(r["conv"], r["turn"], r["text"], r["reply_to"], r["thread"]) for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()]
