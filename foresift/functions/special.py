@@ -1,4 +1,4 @@
-"""Normal distribution functions as columns."""
+"""Normal distribution functions and the tails of Student's t as columns."""
 
 from __future__ import annotations
 
@@ -29,3 +29,12 @@ def norm_cdf(x: Column) -> Column:
 
 def norm_pdf(x: Column) -> Column:
     return F.exp(-x * x / 2) / F.lit(2.5066282746310002)
+
+
+def t_two_sided(x: Column, df: Column) -> Column:
+    """Probability of a Student t beyond -|x| or |x|, by Hill's normal deviate: within 1e-5 from five degrees of freedom on."""
+    a = df - 0.5
+    b = 48 * a * a
+    u = F.sqrt(a * F.log1p(x * x / df))
+    cubic, seventh = F.pow(u, 3), 4 * F.pow(u, 7) + 33 * F.pow(u, 5) + 240 * F.pow(u, 3) + 855 * u
+    return 2 * norm_cdf(-(u + (cubic + 3 * u) / b - seventh / (10 * b * (b + 0.8 * F.pow(u, 4) + 100))))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foresift.functions import metrics as M
-from foresift.functions.special import z
+from foresift.functions.special import t_two_sided, z
 
 
 def sigma(alpha: float) -> Column:
@@ -33,7 +33,9 @@ def _losses(fc: DataFrame, baseline: str) -> DataFrame:
 
 
 def diebold_mariano(fc: DataFrame, baseline: str, h: int = 1) -> DataFrame:
-    """``model, dm, better, n``: the statistic with the small-sample correction; negative if the model is better.
+    """``model, dm, better, n, p``: the statistic with the small-sample correction; negative if the model is better.
+
+    ``p`` is two-sided, by Student's t with n - 1 degrees of freedom; null for a single row.
 
     Beyond h = 1 the variance takes the covariances with up to h - 1 steps before, within each series.
     """
@@ -47,7 +49,8 @@ def diebold_mariano(fc: DataFrame, baseline: str, h: int = 1) -> DataFrame:
         var = var + 2 * F.covar_pop("d", name)
     factor = F.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n)
     dm = F.avg("d") / F.sqrt(F.greatest(var, F.lit(1e-12)) / n) * factor
-    return d.groupBy("model").agg(dm.alias("dm"), F.when(F.avg("d") < 0, F.first("model")).otherwise(baseline).alias("better"), n.alias("n"))
+    found = d.groupBy("model").agg(dm.alias("dm"), F.when(F.avg("d") < 0, F.first("model")).otherwise(baseline).alias("better"), n.alias("n"))
+    return found.withColumn("p", F.when(F.col("n") > 1, t_two_sided(F.col("dm"), F.col("n") - 1)))
 
 
 def giacomini_white(fc: DataFrame, baseline: str) -> DataFrame:
@@ -70,6 +73,20 @@ def leaderboard(fc: DataFrame, baseline: str, alpha: float) -> DataFrame:
     return board.select("model", "mae", "rmse", "coverage", "width", "winkler", "nv_cost", "skill").orderBy("mae", "model")
 
 
+def significance(board: DataFrame, fc: DataFrame, baseline: str) -> DataFrame:
+    """A leaderboard with ``dm_p``, null for the baseline, and ``sig``: a star each for p below 0.1, 0.05 and 0.01."""
+    p = F.col("dm_p")
+    stars = F.when(p < 0.01, "***").when(p < 0.05, "**").when(p < 0.1, "*").when(F.col("model") == baseline, "—").otherwise("")
+    found = diebold_mariano(fc, baseline).select("model", F.col("p").alias("dm_p"))
+    return board.join(found, "model", "left").withColumn("sig", stars).orderBy("mae", "model")
+
+
+def verdict(board: DataFrame, baseline: str) -> DataFrame:
+    """``verdict``, one row: the models of a leaderboard with ``significance`` that beat the baseline at p < 0.05."""
+    better = board.where("skill > 0 and dm_p < 0.05").agg(F.array_join(F.array_sort(F.collect_list("model")), ", ").alias("v"))
+    return better.select(F.when(F.col("v") != "", F.col("v")).otherwise(f"nothing beats {baseline}").alias("verdict"))
+
+
 def normalise(board: DataFrame, up: dict[str, bool]) -> DataFrame:
     """Columns scaled to [0, 1], 1 the best; a constant column is 1. ``up`` says of each whether larger is better."""
     every = Window.partitionBy()  # a row a model

@@ -238,6 +238,18 @@ def leaderboard(spark, sf_dir):
     return compare.leaderboard(forecasts(spark, sf_dir), "seasonal_naive", 0.1)
 
 
+_DEVIATE = """u + (u ^ 3 + 3 * u) / (48 * a * a) - (4 * u ^ 7 + 33 * u ^ 5 + 240 * u ^ 3 + 855 * u) / (480 * a * a * (48 * a * a + 0.8::DOUBLE * u ^ 4 + 100))"""
+_DM_P = f"""SELECT 'trend_profile' AS model, 2 * {sql_norm_cdf("(-v)")} AS p FROM (SELECT {_DEVIATE} AS v FROM (SELECT n - 1.5::DOUBLE AS a, sqrt((n - 1.5::DOUBLE) * ln(1 + dm * dm / (n - 1))) AS u
+  FROM (SELECT count(*) AS n, avg(d) / sqrt(greatest(var_pop(d), 1e-12) / count(*)) * sqrt((count(*) - 1.0) / count(*)) AS dm FROM ({_D}))))"""
+
+
+@query("leaderboard_dm", f"""SELECT b.*, round(p, 6) AS dm_p, CASE WHEN p < 0.01 THEN '***' WHEN p < 0.05 THEN '**' WHEN p < 0.1 THEN '*' WHEN model = 'seasonal_naive' THEN '—' ELSE '' END AS sig
+FROM ({_BOARD}) b LEFT JOIN ({_DM_P}) USING (model)""")
+def leaderboard_dm(spark, sf_dir):
+    """The leaderboard with the p-value of the Diebold-Mariano test against the baseline, and stars."""
+    return compare.significance(leaderboard(spark, sf_dir), forecasts(spark, sf_dir), "seasonal_naive").withColumn("dm_p", R6("dm_p"))
+
+
 @query("normalized_scores", f"""SELECT model, CASE WHEN max(mae) OVER () = min(mae) OVER () THEN 1 ELSE round((max(mae) OVER () - mae) / (max(mae) OVER () - min(mae) OVER ()), 6) END AS mae,
   CASE WHEN max(coverage) OVER () = min(coverage) OVER () THEN 1 ELSE round((coverage - min(coverage) OVER ()) / (max(coverage) OVER () - min(coverage) OVER ()), 6) END AS coverage FROM ({_BOARD})""")
 def normalized_scores(spark, sf_dir):
@@ -314,10 +326,17 @@ def conformal(spark, sf_dir):
 
 @query("verdict", f"""SELECT coalesce(string_agg(model, ', ' ORDER BY model), 'nothing beats seasonal_naive') AS verdict FROM ({_BOARD}) WHERE skill > 0""")
 def verdict(spark, sf_dir):
+    """Models with a lower error than the baseline's, by chance or not; ``verdict_dm`` asks for significance too."""
     better = leaderboard(spark, sf_dir).where("skill > 0").agg(F.array_join(F.array_sort(F.collect_list("model")), ", ").alias("v"))
     return better.select(F.when(F.col("v") != "", F.col("v")).otherwise("nothing beats seasonal_naive").alias("verdict"))
 
 
+@query("verdict_dm", f"""SELECT coalesce(string_agg(model, ', ' ORDER BY model), 'nothing beats seasonal_naive') AS verdict FROM ({_BOARD}) JOIN ({_DM_P}) USING (model) WHERE skill > 0 AND p < 0.05""")
+def verdict_dm(spark, sf_dir):
+    """Models that beat the baseline at p < 0.05."""
+    return compare.verdict(compare.significance(leaderboard(spark, sf_dir), forecasts(spark, sf_dir), "seasonal_naive"), "seasonal_naive")
+
+
 _SIGMA = "((hi - lo) / 3.289707253902943::DOUBLE)"
 
 
