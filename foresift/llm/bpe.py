@@ -24,17 +24,17 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foresift.llm.common import checkpoint_dir, frequent
+from foresift.llm.common import checkpoint_dir, frequent, lean, slices
 from foresift.llm.lexicon import Lexicon, compile_lexicon
 
 #: Lexicon bounds: words, the summary's counters, bytes a word.
 WORDS, COUNTERS, WORD_BYTES = 10_000, 16_384, 48
-#: A worker's memo of merged words is emptied beyond this size.
-MEMO = 400_000
+#: A worker's memos of merged words are emptied beyond so many bytes.
+MEMO = 32_000_000
 #: Pieces of more bytes are merged one by one.
 LONG = 48
-#: Text handled at a time within a batch, in characters.
-SLICE = 4_000_000
+#: Text handled at a time within a batch, in bytes.
+SLICE = 1_000_000
 
 # Fixed values of the public vocabulary format: white space by the Unicode property, and the splitting pattern.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -150,20 +150,19 @@ class Coder:
         self.split, self.odd = regex.compile(PATTERN).findall, regex.compile(rf" [{SPACE}]|[{SPACE}] |^[{SPACE}]|[{SPACE}]$").search
         special = "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))
         self.special = regex.compile(f"({special})") if special else None
-        self.word, self.piece = {}, {}
+        self.word, self.piece, self.held = {}, {}, 0
 
     def _learn(self, words: set[str], pieces: set[str]) -> None:
         """Put words (without the space before them) and pieces of the pattern into the memos, from the lexicon or else merged."""
-        if len(self.word) > MEMO:
-            self.word.clear()
-        if len(self.piece) > MEMO // 4:
-            self.piece.clear()
+        if self.held > MEMO:
+            self.word.clear(), self.piece.clear()
+            self.held = 0
         parts: dict[str, list[str]] = {}
         for w in words - self.word.keys():
             raw = " " + w
             found = self.lexicon and self.lexicon.find(raw.encode())
             if found is not None:
-                self.word[w] = found
+                self._keep(self.word, w, found)
             elif w.isalpha():  # one piece
                 parts[w] = [raw]
             elif w[:-1].isalpha() and w[-1] in ".,;:!?":  # two
@@ -173,9 +172,13 @@ class Coder:
         pieces = pieces - self.piece.keys()
         merged = self.vocabulary.merge_many([p.encode() for p in pieces.union(*parts.values())])
         for p in pieces:
-            self.piece[p] = merged[p.encode()]
+            self._keep(self.piece, p, merged[p.encode()])
         for w, of in parts.items():
-            self.word[w] = b"".join([merged[p.encode()] for p in of])
+            self._keep(self.word, w, b"".join([merged[p.encode()] for p in of]))
+
+    def _keep(self, memo: dict[str, bytes], key: str, ids: bytes) -> None:
+        memo[key] = ids
+        self.held += len(key) + len(ids) + 200  # what two objects and an entry take besides
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts. Special tokens in them get their own ids."""
@@ -237,18 +240,12 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(Vocabulary(vocabulary.value), Lexicon(SparkFiles.get(lexicon_name)))
         for batch in batches:
-            texts, at = batch.column(1), 0
-            while at < batch.num_rows:
-                end, held = at, 0
-                while end < batch.num_rows and held < SLICE:
-                    held += len(texts[end].as_py())
-                    end += 1
-                ids = coder.encode(texts[at:end].to_pylist())
-                columns = [batch.column(0)[at:end], pa.array(ids, pa.binary())]
+            for at, texts in slices(batch.column(1), SLICE):
+                ids = coder.encode(texts)
+                columns = [batch.column(0)[at : at + len(texts)], pa.array(ids, pa.binary())]
                 if decode:
                     columns.append(pa.array([coder.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "decoded"][: len(columns)])
-                at = end
 
     kind = dict(texts.dtypes)["id"]
-    return texts.mapInArrow(run, f"id {kind}, ids binary" + ", decoded string" * decode)
+    return texts.mapInArrow(lean(run), f"id {kind}, ids binary" + ", decoded string" * decode)

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only in local mode, for tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return sc.getCheckpointDir()
 
 
@@ -32,13 +44,53 @@ def persist(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder: smaller than a checkpoint for wide or many rows."""
     path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``stored`` wrote, once nothing will read them again."""
+    for df in tables:
+        spark = df.sparkSession
+        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def give_back() -> None:
+    """Return to the system what a Python worker has freed: Spark keeps workers for the tasks of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(texts: pa.Array, size: int) -> Iterator[tuple[int, list[str]]]:
+    """A column's texts (null: empty) in runs of about ``size`` bytes, each with the row at which it starts."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 100)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(upto, size + (upto[at - 1] if at else 0), "right")))
+        yield at, [t or "" for t in texts[at:end].to_pylist()]
+        at = end
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task function for mapInArrow that gives memory back at its end."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else; plain ``lower`` is the same for texts of ASCII only, and faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -49,12 +101,17 @@ def hash60(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
+#: Summaries that one task combines at most, and levels of combining: enough for FAN_IN ** LEVELS partitions.
+FAN_IN, LEVELS = 64, 4
+
+
 def frequent(df: DataFrame, col: str, k: int, counters: int) -> DataFrame:
     """``item, count`` of the values of a column that a mergeable frequent-items summary names, ``k`` rows at most.
 
-    The summaries of up to 64 partitions are combined before all meet, so that no task gathers one from every partition.
+    The partitions' summaries are combined in a tree: each task takes ``FAN_IN`` of them, whatever the number of partitions.
     """
-    some = df.groupBy(F.floor(F.spark_partition_id() / 64).alias("some")).agg(F.expr(f"approx_top_k_accumulate({col}, {counters})").alias("summary"))
-    # grouped by a constant, as the combining function fails on partitions without rows
-    top = some.groupBy(F.isnull("some").alias("none")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {counters}), {k})").alias("top"))
-    return top.select(F.inline("top"))
+    many = df.withColumn("part", F.spark_partition_id())
+    summed = many.groupBy(F.floor(F.col("part") / FAN_IN).alias("at")).agg(F.expr(f"approx_top_k_accumulate({col}, {counters})").alias("summary"))
+    for _ in range(LEVELS - 1):  # the last level leaves one
+        summed = summed.groupBy(F.floor(F.col("at") / FAN_IN).alias("at")).agg(F.expr(f"approx_top_k_combine(summary, {counters})").alias("summary"))
+    return summed.select(F.inline(F.expr(f"approx_top_k_estimate(summary, {k})")))

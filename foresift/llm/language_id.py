@@ -12,17 +12,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foresift.llm.common import hash60
+from foresift.llm.common import hash60, lean, slices
 
 #: Training rows a language: a larger number of labelled rows is sampled by the hash of the id to about this many.
 TRAIN_ROWS = 20_000
 #: Strength of the smoothing toward the shorter context; iterations of the first estimate and of those after a drop.
 SMOOTH, FIRST, NEXT = 4.0, 10, 4
-#: Characters of text handled at a time.
-SLICE = 4_000_000
+#: Text handled at a time, in bytes.
+SLICE = 1_000_000
 EDGES = ".,;:!?\"'()[]{}<>|/\\-_*#%&+=~`$^@0123456789«»„“”’‘…–—¿¡"
 
 
@@ -70,7 +71,7 @@ def _counts(labelled: DataFrame) -> DataFrame:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
-                for part in _slices(texts):
+                for _, part in slices(pa.array(texts, pa.string()), SLICE):
                     w = _Words(part)
                     if w.words:
                         grams, word = w.trigrams()
@@ -79,19 +80,7 @@ def _counts(labelled: DataFrame) -> DataFrame:
                         n = np.bincount(inverse, weights=uses[word]).astype(np.int64)
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(n)], names=["lang", "gram", "n"])
 
-    return labelled.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def _slices(texts: list[str]) -> Iterator[list[str]]:
-    part, held = [], 0
-    for t in texts:
-        part.append(t)
-        held += len(t) + 100
-        if held >= SLICE:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
+    return labelled.mapInArrow(lean(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -191,15 +180,17 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: list[
     Repeated rows get equal answers. Names of other columns do not matter.
     """
     names = docs.columns if carry is None else carry
-    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[text_col].alias("text"))
+    row = F.struct(*[docs[c] for c in names]).alias("row")
+    inside = names.index(text_col) if text_col in names else None  # the text goes to the workers once
+    rows = docs.select(row) if inside is not None else docs.select(row, docs[text_col].alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            at = 0
-            for part in _slices([t or "" for t in batch.column(1).to_pylist()]):
+            texts = batch.column(1) if inside is None else pc.struct_field(batch.column(0), [inside])
+            for at, part in slices(texts, SLICE):
                 share = proportions(model, part)
                 best = share.argmax(axis=1) if share.shape[1] else np.zeros(len(part), int)
                 score = share[np.arange(len(part)), best] if share.shape[1] else np.zeros(len(part))
@@ -212,6 +203,5 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: list[
                     pa.array([s[r].tolist() for s, r in zip(share, ranks, strict=True)], pa.list_(pa.float64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "lang_pred", "score", "languages", "shares"])
-                at += len(part)
 
-    return rows.mapInArrow(run, f"row {kind}, lang_pred string, score double, languages array<string>, shares array<double>")
+    return rows.mapInArrow(lean(run), f"row {kind}, lang_pred string, score double, languages array<string>, shares array<double>")

@@ -2,9 +2,12 @@
 
 import hashlib
 import math
+import random
 import struct
+import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -78,34 +81,47 @@ def test_components(spark):
     assert found == {k: 0 for k in range(21)} | {30: 30, 31: 30}
 
 
-def test_lm_score(docs, empty):
-    found = lm_scoring.lm_score(docs).collect()
-    assert len(found) == len(ROWS) and lm_scoring.lm_score(empty).count() == 0
-    train = [w for r in ROWS if not lm_scoring.held_out(r[0]) for w in lm_scoring.tokens(r[1] or "")]
-    assert {r["train_tokens"] for r in found} == {len(train)}
-    known = set(train)
-    want = Counter((r[0], len(words(r[1])) + 1, sum(w in known for w in lm_scoring.tokens(r[1] or ""))) for r in ROWS)
-    assert Counter((r["id"], r["n_tokens"], r["n_known"]) for r in found) == want
-    assert all(r["score"] < 0 and r["base_score"] < 0 for r in found)
+def trained_on(doc_id):
+    return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 5 != 1
 
 
-def test_lm_score_by_brute_force(docs, spark):
-    """Every pair counts, whatever the rank of its words and however rare it is; some are in one partition, some in several."""
-    more = [(100 + k, f"common words and then rare{k} once more rare{k} once", k % 3) for k in range(12)]
+@pytest.mark.parametrize("bucket", [lm_scoring.BUCKET, 40])
+def test_lm_score_by_brute_force(docs, empty, spark, monkeypatch, bucket):
+    """Every run of words counts, however rare; some are in one partition, some in several; one bucket or thousands."""
+    monkeypatch.setattr(lm_scoring, "BUCKET", bucket)
+    monkeypatch.setattr(lm_scoring, "SEGMENT", 7)
+    more = [(100 + k, f"common words and then rare{k} once more rare{k} once", k % 3) for k in range(12)] + [(200 + k, "the " * 300, 0) for k in range(3)]
     rows = [r[:2] for r in ROWS] + [r[:2] for r in more]
     table = persist(docs.select("doc_id", "text").union(spark.createDataFrame([r[:2] for r in more], "doc_id long, text string").repartition(3)))
-    train = [lm_scoring.tokens(t or "") for i, t in rows if not lm_scoring.held_out(i)]
-    seen, arcs = Counter(w for x in train for w in x), Counter(p for x in train for p in zip(x, x[1:], strict=False))
-    types, below = Counter(a for a, _ in arcs), sum(seen.values()) + 0.5 * (len(seen) + 1)
-    uni = lambda w: (seen[w] + 0.5) / below
-
-    def follows(a, w):
-        return max(arcs[a, w] - 0.75, 0) / seen[a] + 0.75 * types[a] / seen[a] * uni(w) if types[a] else uni(w)
-
-    want = sorted((str(i), *(round(sum(map(math.log10, p)), 6) for p in ([uni(w) for w in x], [uni(x[0])] + [follows(*p) for p in zip(x, x[1:], strict=False)]))) for i, t in rows for x in [lm_scoring.tokens(t or "")])
-    got = sorted((str(r["id"]), r["base_score"], r["score"]) for r in lm_scoring.lm_score(table).collect())
-    assert [g[0] for g in got] == [w[0] for w in want]
-    assert [v for g in got for v in g[1:]] == pytest.approx([v for w in want for v in w[1:]], abs=1e-5)
+    train = [lm_scoring.tokens(t or "") for i, t in rows if trained_on(i)]
+    n = [Counter(tuple(x[k : k + size]) for x in train for k in range(len(x) - size + 1)) for size in (1, 2, 3)]
+    total, different = sum(n[0].values()), len(n[0])
+
+    def p(context, w):
+        if not context:
+            return (n[0][w,] + 0.5) / (total + 0.5 * (different + 1))
+        prior = lm_scoring.PRIOR[len(context) - 1]
+        return (n[len(context)][*context, w] + prior * p(context[1:], w)) / (n[len(context) - 1][context] + prior)
+
+    want = []
+    for i, t in rows:
+        x = lm_scoring.tokens(t or "")
+        base, score = (sum(math.log10(p(tuple(x[max(0, k - most) : k]), w)) for k, w in enumerate(x)) for most in (0, 2))
+        want.append((str(i), not trained_on(i), len(x), sum(n[0][w,] > 0 for w in x), total, base, score))
+    got = [(str(r["id"]), *r[1:]) for r in lm_scoring.lm_score(table).collect()]
+    want.sort(), got.sort()
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert [v for g in got for v in g[5:]] == pytest.approx([v for w in want for v in w[5:]], rel=1e-9)
+    for context in ((), (b"rare1",), (b"and", b"then"), (b"not", b"there")):
+        assert sum(p(context, w) for w, in n[0]) + p(context, b"unknown") == pytest.approx(1)
+    assert lm_scoring.lm_score(empty).count() == 0
+
+
+def test_lm_packing():
+    values = np.array(sorted(random.Random(1).getrandbits(48) for _ in range(1000)), np.uint64)
+    assert (lm_scoring.unpack_sorted(lm_scoring.pack_sorted(values)) == values).all()
+    counts = np.array([0, 1, 254, 255, 256, 2**40])
+    assert lm_scoring.unpack_counts(lm_scoring.pack_counts(counts), len(counts)).tolist() == counts.tolist()
 
 
 def test_language_id(docs, empty):
