@@ -3,11 +3,12 @@
 A document is the set of its five-word shingles; equal sets are one class. Each class has 128 minwise values. Several
 independent trees branch all classes by a few of these: a node's children hold the classes that agree on the minwise
 token at one chosen coordinate. Branching stops at nodes small enough to compare their members with one another.
-Sketches of the minwise values screen the comparisons; what passes is confirmed on the full sets of the texts.
 
-Only connected components are wanted, so not every pair has to be compared. First each node's members meet its
-smallest member alone; then, between different components of what that linked, each member its nearest ones; last, all
-pairs of different components that are left. A group of near copies of any size shrinks in the first two steps.
+Only connected components are wanted, so no step lists the pairs of a group. Sketches of the minwise values find
+candidate clusters: each node's members meet its smallest member, then each small node gives a spanning forest of the
+candidate pairs among its members. A cluster's full sets meet in one group and are compared there, which gives a
+spanning forest of the links. A cluster that is too large for one group has its stars confirmed first; then only
+members that may link different components meet again, the largest component dealt to parts.
 """
 
 from __future__ import annotations
@@ -21,16 +22,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foresift.llm.common import persist, stored
+from foresift.llm.common import lean, persist, removed, slices, stored
 from foresift.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.75
 #: Minwise values of a class; independent trees; members up to which a node is compared as a whole; levels below the first.
 MINHASHES, TREES, SMALL, LEVELS = 128, 12, 1024, 4
-#: A pair whose sketches agree less is not confirmed: four standard deviations below the similarity.
-SCREEN = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / MINHASHES) ** 0.5
-#: Neighbours that each member meets in the second step. The third step has no limit.
-NEAREST = 3
+#: A pair whose sketches agree less is no candidate: five standard deviations below the similarity.
+SCREEN = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / MINHASHES) ** 0.5
+#: Text handled at a time, in bytes.
+SLICE = 1_000_000
+#: Members of a star that are confirmed in one group; shingles for which a member counts once more toward a group's size.
+STAR, HEAVY = 128, 512
 
 _RNG = random.Random(7)
 _MULTIPLY = np.array([_RNG.getrandbits(64) | 1 for _ in range(MINHASHES)], np.uint64)
@@ -64,23 +67,25 @@ def shingles(text: str | None, memo: dict[bytes, int] | None = None) -> np.ndarr
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo: dict[bytes, int] = {}
     for batch in batches:
-        size, cls, nodes, sig = [], [], [], []
-        for text in batch.column(1).to_pylist():
-            s = shingles(text, memo)
-            size.append(len(s))
-            if len(memo) > 300_000:
-                memo.clear()
-            if not len(s):
-                cls.append(None), nodes.append(None), sig.append(None)
-                continue
-            low = np.full(MINHASHES, 2**64 - 1, np.uint64)
-            for k in range(0, len(s), 2048):
-                low = np.minimum(low, (s[None, k : k + 2048] * _MULTIPLY[:, None] + _ADD[:, None]).min(axis=1))
-            cls.append(xxhash.xxh3_128_digest(s.tobytes()))
-            nodes.append(_mix(low[ROOTS] + ROOTS.astype(np.uint64)).view(np.int64))
-            sig.append(low.astype(np.uint16).tobytes())
-        columns = [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(cls, pa.binary()), pa.array(nodes, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "version", "n", "cls", "nodes", "sig"])
+        for at, texts in slices(batch.column(1), SLICE):
+            size, cls, nodes, sig = [], [], [], []
+            for text in texts:
+                s = shingles(text, memo)
+                size.append(len(s))
+                if len(memo) > 100_000:
+                    memo.clear()
+                if not len(s):
+                    cls.append(None), nodes.append(None), sig.append(None)
+                    continue
+                low = np.full(MINHASHES, 2**64 - 1, np.uint64)
+                for k in range(0, len(s), 2048):
+                    low = np.minimum(low, (s[None, k : k + 2048] * _MULTIPLY[:, None] + _ADD[:, None]).min(axis=1))
+                cls.append(xxhash.xxh3_128_digest(s.tobytes()))
+                nodes.append(_mix(low[ROOTS] + ROOTS.astype(np.uint64)).view(np.int64))
+                sig.append(low.astype(np.uint16).tobytes())
+            given = [batch.column(c)[at : at + len(texts)] for c in (0, 2)]
+            columns = [*given, pa.array(size, pa.int64()), pa.array(cls, pa.binary()), pa.array(nodes, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "version", "n", "cls", "nodes", "sig"])
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,30 +96,6 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of texts whose sets are similar enough."""
-    words: dict[bytes, int] = {}
-    sets: dict[bytes, np.ndarray] = {}
-
-    def of(key: bytes, text: str) -> np.ndarray:
-        if key not in sets:
-            if len(sets) > 200:
-                sets.clear()
-            if len(words) > 300_000:
-                words.clear()
-            sets[key] = shingles(text, words)
-        return sets[key]
-
-    for batch in batches:
-        ok = []
-        for a, b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x, y = of(a, text_a), of(b, text_b)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(100 * both >= 75 * (len(x) + len(y) - both))
-        ok = pa.array(ok, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
-
-
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each node, from batches sorted by their first two columns."""
     held: pa.Table | None = None
@@ -130,27 +111,67 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held
 
 
-def _compare(nearest: int | None):
-    """Screen the pairs of different components in each node: each member's nearest ones, or all."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches):
-            cls, comp, side = rows["cls"].to_pylist(), np.unique(np.array(rows["component"].to_pylist(), object), return_inverse=True)[1], rows["side"].to_numpy()
-            sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint16).reshape(-1, MINHASHES)
-            found: set[tuple[bytes, bytes]] = set()
-            for i in range(len(cls)):
-                agree = (sig[i + 1 :] == sig[i]).mean(axis=1) if nearest is None else (sig == sig[i]).mean(axis=1)
-                at = slice(i + 1, None) if nearest is None else slice(None)
-                other = (comp[at] != comp[i]) & ((side[at] != side[i]) | (side[i] == 0)) & (agree >= SCREEN)
-                mates = np.flatnonzero(other)
-                if nearest is not None and len(mates) > nearest:
-                    mates = mates[np.argsort(-agree[mates], kind="stable")[:nearest]]
-                for j in mates + (i + 1 if nearest is None else 0):
-                    found.add((min(cls[i], cls[j]), max(cls[i], cls[j])))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
-
-    return run
+class _Group:
+    """A group's members in order of their sets' sizes, and which of them are joined already."""
+
+    def __init__(self, rows: pa.Table, label: np.ndarray):
+        size = rows["n"].to_numpy()
+        self.order = np.argsort(size, kind="stable")
+        self.cls, self.size, self.side, self.label = rows["cls"].to_pylist(), size[self.order], rows["side"].to_numpy()[self.order], label[self.order]
+        self.found: list[tuple[bytes, bytes]] = []
+
+    def others(self, i: int) -> tuple[int, np.ndarray]:
+        """The end of the members after i whose size allows a link with it, and which of them are to be compared with it."""
+        end = int(np.searchsorted(self.size, self.size[i] * 100 // 75, "right"))
+        at = slice(i + 1, end)
+        return end, (self.label[at] != self.label[i]) & ((self.side[at] != self.side[i]) | (self.side[i] == 0))
+
+    def join(self, i: int, mates: np.ndarray) -> None:
+        """Join i with members, one of each part that is joined already."""
+        for j in mates[np.unique(self.label[mates], return_index=True)[1]]:
+            self.found.append((self.cls[self.order[i]], self.cls[self.order[j]]))
+        self.label[np.isin(self.label, self.label[mates])] = self.label[i]
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in self.found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the candidate pairs of different components in each node."""
+    for rows in _groups(batches):
+        group = _Group(rows, np.arange(rows.num_rows))
+        component = np.unique(np.array(rows["component"].to_pylist(), object), return_inverse=True)[1][group.order]
+        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint16).reshape(-1, MINHASHES)[group.order]
+        for i in range(rows.num_rows):
+            end, differ = group.others(i)
+            at = np.flatnonzero(differ & (component[i + 1 : end] != component[i])) + i + 1
+            if len(at):
+                group.join(i, at[np.count_nonzero(sig[at] == sig[i], axis=1) >= SCREEN * MINHASHES])
+        if group.found:
+            yield group.batch()
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links between different components in each group, from the full sets."""
+    for rows in _groups(batches):
+        label = np.unique(np.array(rows["component"].to_pylist(), object), return_inverse=True)[1]
+        group = _Group(rows, label)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["set"]]
+        token = np.unique(np.concatenate([sets[k] for k in group.order]), return_inverse=True)[1]
+        start = np.concatenate([[0], np.cumsum(group.size)])
+        held = np.zeros(len(token), np.int64)
+        for i in range(rows.num_rows):
+            end, differ = group.others(i)
+            if not differ.any():
+                continue
+            own = token[start[i] : start[i + 1]]
+            held[own] = 1
+            both = np.add.reduceat(held[token[start[i + 1] : start[end]]], start[i + 1 : end] - start[i + 1])
+            held[own] = 0
+            alike = 100 * both >= 75 * (group.size[i] + group.size[i + 1 : end] - both)
+            group.join(i, np.flatnonzero(differ & alike) + i + 1)
+        if group.found:
+            yield group.batch()
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +183,7 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dice = _mix(node[:, None] + _mix(coordinates + np.uint64(1))[None, :])
         row, k = np.nonzero(dice < np.uint64(int(2**64 / (SIMILARITY * MINHASHES))))
         child = _mix(dice[row, k] + sig[row, k].astype(np.uint64)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(child), batch.column(1).take(pa.array(row)), batch.column(2).take(pa.array(row))], names=["node", "cls", "sig"])
+        yield pa.RecordBatch.from_arrays([pa.array(child), *[batch.column(c).take(pa.array(row)) for c in (1, 2, 3)]], names=["node", "cls", "sig", "n"])
 
 
 def _distinct_pairs(pairs: DataFrame) -> DataFrame:
@@ -170,99 +191,132 @@ def _distinct_pairs(pairs: DataFrame) -> DataFrame:
 
 
 class _Join:
-    """The state of one join: classes with their sketches, nodes, and texts to confirm on."""
+    """The state of one join: classes with their sketches, nodes, and the texts that their sets come from."""
 
     def __init__(self, docs: DataFrame, features: DataFrame):
-        self.texts, self.features = docs, features
-        some = features.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min(F.struct("id", "sig", "nodes")).alias("m"))
-        self.classes = stored(some.select("cls", F.col("m.id").alias("id"), F.col("m.sig").alias("sig"), F.col("m.nodes").alias("nodes")))
+        self.texts = docs
+        some = features.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min(F.struct("id", "n", "sig", "nodes")).alias("m"))
+        self.classes = stored(some.select("cls", "m.*"))
         rows = self.classes.select("cls", F.explode("nodes").alias("node"))
         shared = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("cls").alias("low")).where("size > 1")
-        self.nodes = persist(rows.join(shared, "node"))
-
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (``a, b`` classes) that are links."""
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.classes.select("cls", "id"), "cls")
-        own = self.texts.join(needed.select("id").distinct().withColumnRenamed("id", "wanted"), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
-        kind = self.texts.schema["id"].dataType.simpleString()
-
-        def classed(batches):
-            for batch in batches:
-                cls = [xxhash.xxh3_128_digest(shingles(t).tobytes()) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls, pa.binary())], names=["id", "text", "cls"])
-
-        # rows that share an id may be of other classes; copies of one class and id are equal as sets
-        own = own.mapInArrow(classed, f"id {kind}, text string, cls binary").join(needed.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("text").alias("text"))
-        own = stored(own)
-        a, b = own.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), own.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
-        return persist(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a binary, b binary"))
-
-    def with_sketches(self, pairs: DataFrame) -> DataFrame:
-        a, b = self.classes.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a")), self.classes.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b")
+        self.nodes = persist(rows.join(shared, "node").select("node", "cls", "low"))
 
     def stars(self) -> DataFrame:
-        """Each node's members with its smallest."""
+        """Candidate pairs (``a, b``) of each node's members with its smallest."""
         pairs = _distinct_pairs(self.nodes.select(F.col("low").alias("a"), F.col("cls").alias("b")))
-        return persist(self.with_sketches(pairs).mapInArrow(_screen, "a binary, b binary"))
+        a, b = self.classes.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a")), self.classes.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b"))
+        return persist(pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(lean(_screen), "a binary, b binary"))
 
-    def _mixed(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
-        """``node, cls, sig, component, size, n, main`` of nodes with several components; ``main`` is the largest, of n members."""
-        marked = rows.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        by = marked.groupBy("node", "component").agg(F.count("*").alias("n"))
-        nodes = by.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("m")).where("size > m.n").select("node", "size", "m.n", F.col("m.component").alias("main"))
-        return marked.join(nodes, "node")
+    @staticmethod
+    def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """Rows of the nodes with several components, with ``component, size, main_size, main``; ``main`` is the largest.
+
+        ``rows`` has ``node, cls, weight`` and others, ``labels`` the component of a ``key``.
+        """
+        marked = rows.join(labels.select(F.col("key").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        by = marked.groupBy("node", "component").agg(F.sum("weight").alias("n"))
+        nodes = by.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("m")).where("size > m.n")
+        return marked.join(nodes.select("node", "size", F.col("m.n").alias("main_size"), F.col("m.component").alias("main")), "node")
 
     @staticmethod
     def _settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Of nodes: rows to compare (``node, part, side, cls, component, sig``), and those of nodes that are too large.
+        """The rows of nodes that can be compared, with ``part`` and ``side``, and those of nodes that are too large.
 
-        A large node in which few members are not of the main component needs no branching: the main component is
-        dealt to parts, and the few meet each.
+        A large node in which few members are not of the main component is not too large: the main component is dealt
+        to parts, and the few meet each.
         """
         half = SMALL // 2
+        few = F.col("size") - F.col("main_size") <= half
         whole = rows.where(F.col("size") <= SMALL).withColumn("part", F.lit(0).cast("long"))
-        lean = rows.where((F.col("size") > SMALL) & (F.col("size") - F.col("n") <= half))
-        parts = F.ceil(F.col("n") / half)
+        parts = F.ceil(F.col("main_size") / half)
         own = F.array(F.pmod(F.xxhash64("cls"), parts))
-        lean = lean.withColumn("part", F.explode(F.when(F.col("component") == F.col("main"), own).otherwise(F.sequence(F.lit(0).cast("long"), parts - 1))))
-        ready = whole.unionByName(lean).select("node", "part", F.lit(0).alias("side"), "cls", "component", "sig")
-        return ready, rows.where((F.col("size") > SMALL) & (F.col("size") - F.col("n") > half))
+        dealt = rows.where((F.col("size") > SMALL) & few).withColumn("part", F.explode(F.when(F.col("component") == F.col("main"), own).otherwise(F.sequence(F.lit(0).cast("long"), parts - 1))))
+        return whole.unionByName(dealt).withColumn("side", F.lit(0)), rows.where((F.col("size") > SMALL) & ~few)
 
-    def small_nodes(self, labels: DataFrame) -> DataFrame:
-        """``node, part, side, cls, component, sig`` of nodes with several components, branched until they are small.
+    def small_nodes(self, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+        """``node, part, side, cls, component, n, sig`` of the nodes with several components, branched until they are small.
 
         A node that is large at the last level is compared in pairs of parts.
         """
-        mixed = self._mixed(self.nodes.select("node", "cls"), labels)
-        done, large = self._settled(persist(mixed.join(self.classes.select("cls", "sig"), "cls")))
+        columns = ["node", "part", "side", "cls", "component", "n", "sig"]
+        one = F.lit(1).alias("weight")
+        mixed = self._mixed(nodes.select("node", "cls", one), labels)
+        done, large = self._settled(persist(mixed.join(self.classes.select("cls", "sig", "n"), "cls")))
+        done = done.select(columns)
         for _ in range(LEVELS):
             if large.isEmpty():
                 return done
-            child = large.select("node", "cls", "sig").mapInArrow(_children, "node long, cls binary, sig binary").dropDuplicates(["node", "cls"])
-            more, large = self._settled(persist(self._mixed(child, labels)))
-            done = done.unionByName(more)
+            child = large.select("node", "cls", "sig", "n").mapInArrow(lean(_children), "node long, cls binary, sig binary, n long").dropDuplicates(["node", "cls"])
+            more, large = self._settled(persist(self._mixed(child.withColumn("weight", one), labels)))
+            done = done.unionByName(more.select(columns))
         n = F.ceil(F.col("size") * 2 / SMALL).cast("int")
         own = F.pmod(F.xxhash64("cls"), n).cast("int")
         cells = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct((F.least(own, k) * n + F.greatest(own, k)).cast("long").alias("part"), F.when(own == k, 0).when(own < k, 1).otherwise(2).alias("side")))
-        split = large.select("node", "cls", "component", "sig", F.explode(cells).alias("at")).select("node", "at.part", "at.side", "cls", "component", "sig")
-        return done.unionByName(split)
+        return done.unionByName(large.withColumn("at", F.explode(cells)).withColumns({"part": F.col("at.part"), "side": F.col("at.side")}).select(columns))
+
+    @staticmethod
+    def _grouped(rows: DataFrame, run) -> DataFrame:
+        return persist(rows.repartition("node", "part").sortWithinPartitions("node", "part").mapInArrow(lean(run), "a binary, b binary"))
+
+    def clusters(self, nodes: DataFrame, labels: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``key, component``: clusters of classes that candidate pairs of different components join, beside those that ``base`` joins; and the nodes' rows."""
+        rows = persist(self.small_nodes(nodes, labels))
+        return persist(components(self._grouped(rows, _candidates).union(base))), rows
+
+    def sets(self, clusters: DataFrame) -> DataFrame:
+        """``cls, n, set`` (the sorted shingles, eight bytes each) of the classes in clusters."""
+        needed = clusters.select(F.col("key").alias("cls")).join(self.classes.select("cls", "id"), "cls")
+        own = self.texts.join(needed.select(F.col("id").alias("wanted")).distinct(), F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, texts in slices(batch.column(0), SLICE):
+                    found = [shingles(t) for t in texts]
+                    columns = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary()), pa.array(list(map(len, found)), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["cls", "n", "set"])
+
+        # rows that share an id may be of other classes
+        found = own.mapInArrow(lean(run), "cls binary, n long, set binary").join(needed.select("cls"), "cls", "left_semi")
+        return stored(found.groupBy("cls").agg(F.first("n").alias("n"), F.first("set").alias("set")))
 
-    def pairs(self, labels: DataFrame, nearest: int | None) -> DataFrame:
-        rows = self.small_nodes(labels).repartition("node", "part").sortWithinPartitions("node", "part")
-        return persist(_distinct_pairs(rows.mapInArrow(_compare(nearest), "a binary, b binary")))
+    def links(self, groups: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links (``a, b``) in groups (``node, part, side, cls, component``)."""
+        return self._grouped(groups.select("node", "part", "side", "cls", "component").join(sets, "cls"), _links)
 
     def run(self) -> DataFrame:
-        """``cls, component`` of the classes that are linked with another."""
-        links = self.confirm(self.stars())
-        labels = persist(components(links))
-        for nearest in (NEAREST, None):
-            pairs = self.pairs(labels.withColumnRenamed("key", "cls"), nearest)
-            if pairs.isEmpty():
-                break
-            links = self.confirm(pairs).union(labels.select("key", "component"))
-            labels = persist(components(links))
-        return labels.withColumnRenamed("key", "cls")
+        """``key, component`` of the classes that are linked with another."""
+        stars = self.stars()
+        likely = persist(components(stars))
+        clusters, _ = self.clusters(self.nodes, likely, likely)
+        sets = self.sets(clusters)
+        weighed = clusters.select(F.xxhash64("component").alias("node"), F.col("key").alias("cls")).join(self.classes.select("cls", (1 + F.floor(F.col("n") / HEAVY)).alias("weight")), "cls")
+        sized = persist(weighed.join(weighed.groupBy("node").agg(F.sum("weight").alias("size")), "node"))
+        alone = sized.where(F.col("size") <= SMALL).select("node", F.lit(0).cast("long").alias("part"), F.lit(0).alias("side"), "cls", F.col("cls").alias("component"))
+        large = sized.where(F.col("size") > SMALL).select("cls", "weight")
+        if large.isEmpty():
+            labels = persist(components(self.links(alone, sets)))
+        else:
+            labels = self._large(large, persist(components(self.links(alone.unionByName(self._star_groups(stars, large)), sets))), sets)
+        removed(sets, self.classes)
+        return labels
+
+    def _star_groups(self, stars: DataFrame, large: DataFrame) -> DataFrame:
+        """The stars of classes in large clusters, each in groups of about ``STAR`` members and the star's centre."""
+        some = stars.join(large.select(F.col("cls").alias("b")), "b", "left_semi")
+        sizes = some.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("parts"))
+        dealt = some.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+        members = dealt.select("a", "part", F.col("b").alias("cls")).union(dealt.select("a", "part", "a").distinct())
+        return members.select(F.xxhash64(F.lit("star"), F.col("a")).alias("node"), "part", F.lit(0).alias("side"), "cls", F.col("cls").alias("component"))
+
+    def _large(self, large: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+        """Find the links between the components that the stars of large clusters have left."""
+        nodes = self.nodes.join(large, "cls", "left_semi")
+        nothing = labels.limit(0)
+        clusters, rows = self.clusters(nodes, labels, nothing)
+        members = clusters.select(F.xxhash64("component").alias("node"), F.col("key").alias("cls")).join(large, "cls")
+        ready, beyond = self._settled(persist(self._mixed(members, labels)))
+        groups = ready.select("node", "part", "side", "cls", "component").unionByName(rows.join(beyond.select("cls"), "cls", "left_semi").select("node", "part", "side", "cls", "component"))
+        return persist(components(self.links(groups, sets).union(labels)))
 
 
 def _decide(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -270,8 +324,8 @@ def _decide(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     read = texts.withColumn("version", F.xxhash64("text"))
-    features = stored(read.mapInArrow(_features, f"id {kind}, version long, n long, cls binary, nodes array<long>, sig binary"))
-    labels = _Join(texts, features).run()
+    features = stored(read.mapInArrow(lean(_features), f"id {kind}, version long, n long, cls binary, nodes array<long>, sig binary"))
+    labels = _Join(texts, features).run().withColumnRenamed("key", "cls")
     rows = features.select("id", "version", "n", "cls").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("id").alias("component_id"))
     found = rows.join(least, "component", "left").withColumn("component_id", F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")))
