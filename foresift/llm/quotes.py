@@ -28,13 +28,16 @@ def passages(text: Column) -> Column:
         level = F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 1), "[^>]", ""))
         return F.struct(level.alias("level"), F.regexp_replace(x, MARKS, "").alias("text"))
 
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.struct(x["level"].alias("level"), F.concat(last["text"], F.lit("\n"), x["text"]).alias("text"))
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["level"] == x["level"]), grown).otherwise(F.concat(done, F.array(x)))
+    def runs(lines: Column) -> Column:
+        begins = lambda k: (k == 0) | ~F.get(lines, k)["level"].eqNullSafe(F.get(lines, k - 1)["level"])
+        starts = F.concat(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), begins), F.array(F.size(lines)))
 
-    return F.aggregate(F.transform(F.split(text, "\n"), line), F.array().cast("array<struct<level:int,text:string>>"), add)
+        def run(s: Column, e: Column) -> Column:
+            return F.struct(F.get(lines, s)["level"].alias("level"), F.array_join(F.transform(F.slice(lines, s + 1, e - s), lambda x: x["text"]), "\n").alias("text"))
+
+        return _let(starts, lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 2), lambda k: run(F.get(s, k), F.get(s, k + 1))))
+
+    return _let(F.transform(F.split(text, "\n"), line), runs)
 
 
 def normalised(text: Column) -> Column:
@@ -51,16 +54,31 @@ def _lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), normalised), lambda x: x != "")
 
 
+def _windows(lines: Column) -> Column:
+    """Hashes of all windows of 1, 2, 4, ... neighbouring lines, an array for each size: each from two of half its size."""
+
+    def longer(found: Column, half: Column) -> Column:
+        last = F.element_at(found, -1)
+        double = F.transform(F.slice(last, 1, F.size(last) - half), lambda h, at: F.xxhash64(h, F.get(last, at + half)))
+        return F.concat(found, F.array(double))
+
+    sizes = lambda x: F.filter(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda k: F.call_function("shiftleft", F.lit(1), k)), lambda half: 2 * half <= F.size(x))
+    return _let(F.transform(lines, lambda x: F.xxhash64(x)), lambda h: F.aggregate(sizes(h), F.array(h), longer))
+
+
 def _runs(lines: Column, lengths: Column) -> Column:
-    """Digests of all runs of neighbouring lines of the given lengths."""
+    """Digests of all runs of neighbouring lines of the given lengths; each covered by two windows, whatever its length."""
 
-    def of(lines: Column) -> Column:
-        def run(n: Column) -> Column:
-            return F.transform(F.sequence(F.lit(1), F.size(lines) - n + 1), lambda at: _digest(F.array_join(F.slice(lines, at, n), " ")))
+    def run(windows: Column, n: Column, at: Column) -> Column:
+        size = F.length(F.bin(n)) - 1
+        of = F.get(windows, size)
+        return F.struct(F.get(of, at).alias("a"), F.xxhash64(n, F.get(of, at + n - F.call_function("shiftleft", F.lit(1), size))).alias("b"))
 
-        return F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.size(lines)), run))
+    def of(windows: Column) -> Column:
+        n_lines = F.size(F.get(windows, F.lit(0)))
+        return F.flatten(F.transform(F.filter(lengths, lambda n: (n > 0) & (n <= n_lines)), lambda n: F.transform(F.sequence(F.lit(0), n_lines - n), lambda at: run(windows, n, at))))
 
-    return _let(lines, of)
+    return _let(_windows(lines), of)
 
 
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -68,11 +86,12 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
     ``text`` is what the message says itself. A quote belongs to the earliest message before it in its conversation
     whose own text, or a passage or neighbouring lines of that, is the same after normalising (lines of white space do
-    not count; equal 128-bit hashes are the same); a quote that ends within a line finds nothing; ``reply_to`` is the turn of the message that is quoted at the
-    lowest level that finds one (of several, the latest turn), else null. ``thread`` is the turns from the first
-    message that is reached by replies to this one: its order is the reply order. ``depth`` is its length less one.
+    not count; equal 128-bit hashes are the same); a quote that ends within a line finds nothing. ``reply_to`` is the
+    turn of the message that is quoted at the lowest level that finds one (of several, the latest turn), else null.
+    ``thread`` is the turn of the first message that replies lead to, ``depth`` the number of replies up to it; order by
+    conversation, ``thread``, ``depth`` and turn is reply order: a message comes after what it replies to.
     Quotes that find nothing are taken out too. Null texts say nothing. Messages whose conversation or turn is null
-    link with nothing, and their thread holds their turn alone. Rows that share a conversation and turn are quoted as
+    link with nothing and are their own thread. Rows that share a conversation and turn are quoted as
     one and answered alike; each stays a row. An empty table gives an empty result. Other columns are not read.
     """
     said = messages.select(
@@ -80,24 +99,27 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     )
     own = F.array_join(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["text"]), "\n")
     said = persist(said.select("conv", "turn", "role", F.trim(own).alias("text"), F.filter("passages", lambda p: p["level"] > 0).alias("quotes"), F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["text"]).alias("own")))
-    asked = said.select("conv", "turn", F.explode("quotes").alias("q")).where(normalised(F.col("q.text")) != "").select("conv", "turn", "q.level", _digest(normalised(F.col("q.text"))).alias("key"), F.size(_lines(F.col("q.text"))).alias("n"))
-    wanted = asked.groupBy("conv").agg(F.collect_set("n").alias("lengths"))
+    quoted = said.select("conv", "turn", F.explode("quotes").alias("q")).select("conv", "turn", "q.level", normalised(F.col("q.text")).alias("whole"), _lines(F.col("q.text")).alias("lines")).where("whole <> ''")
+    quoted = quoted.withColumn("n", F.size("lines"))
+    asked = quoted.select("conv", "turn", "level", F.explode(F.concat(F.array(_digest(F.col("whole"))), _runs(F.col("lines"), F.array("n")))).alias("key"))
+    wanted = quoted.groupBy("conv").agg(F.collect_set("n").alias("lengths"))
     whole = F.transform(F.concat(F.array("text"), F.col("own")), lambda x: _digest(normalised(x)))
-    stated = said.join(wanted, "conv").select("conv", "turn", F.explode(F.array_distinct(F.concat(whole, _runs(_lines(F.col("text")), F.col("lengths"))))).alias("key"))
+    stated = said.join(wanted, "conv").select("conv", "turn", F.explode(F.concat(whole, _runs(_lines(F.col("text")), F.col("lengths")))).alias("key"))
     stated = stated.groupBy("conv", "key").agg(F.min("turn").alias("origin"))
     found = asked.join(stated, ["conv", "key"]).where("origin < turn")
     replies = persist(found.groupBy("conv", "turn").agg(F.min(F.struct("level", (-F.col("origin")).alias("less"))).alias("m")).select("conv", "turn", (-F.col("m.less")).alias("reply_to")))
-    kept = persist(said.select("conv", "turn", "role", "text", F.size("quotes").alias("n_quotes")))
-    return kept.join(_threads(replies), ["conv", "turn"], "left").select("conv", "turn", "role", "text", "n_quotes", "reply_to", F.coalesce("thread", F.array("turn")).alias("thread"), F.coalesce(F.size("thread") - 1, F.lit(0)).alias("depth"))
+    kept = said.select("conv", "turn", "role", "text", F.size("quotes").alias("n_quotes"))
+    found = kept.join(_threads(replies), ["conv", "turn"], "left")
+    return found.select("conv", "turn", "role", "text", "n_quotes", "reply_to", F.coalesce("root", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def _threads(replies: DataFrame) -> DataFrame:
-    """``conv, turn, reply_to, thread``: the path from the first message, by doubling the part of it that is known."""
-    now = replies.select("conv", "turn", "reply_to", F.col("reply_to").alias("up"), F.array("reply_to", "turn").alias("thread"))
+    """``conv, turn, reply_to, root, depth``: the first message and the steps to it, by doubling the part of the way that is known."""
+    now = replies.select("conv", "turn", "reply_to", F.col("reply_to").alias("root"), F.lit(1).alias("depth"))
     while True:
         now = persist(now)
-        above = now.select("conv", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("thread").alias("thread2"))
-        if now.join(above, ["conv", "up"], "left_semi").isEmpty():
-            return now.select("conv", "turn", "reply_to", "thread")
-        longer = F.concat("thread2", F.slice("thread", F.lit(2), F.size("thread") - 1))
-        now = now.join(above, ["conv", "up"], "left").select("conv", "turn", "reply_to", F.col("up2").alias("up"), F.when(F.col("thread2").isNotNull(), longer).otherwise(F.col("thread")).alias("thread"))
+        above = now.select("conv", F.col("turn").alias("root"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
+        if now.join(above, ["conv", "root"], "left_semi").isEmpty():
+            return now
+        far = F.coalesce("depth2", F.lit(0))
+        now = now.join(above, ["conv", "root"], "left").select("conv", "turn", "reply_to", F.coalesce("root2", "root").alias("root"), (F.col("depth") + far).alias("depth"))
