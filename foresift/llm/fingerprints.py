@@ -1,10 +1,10 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text's paragraphs (lines; long ones in pieces) are digested to 64 bits, of which some check the others. Each digest
+A text's paragraphs (lines, and pieces of longer ones that end at punctuation) are digested to 64 bits, of which some check the others. Each digest
 goes into three cells of a sketch; a cell keeps how many it holds and the XOR of the digests. Subtracting two sketches
 leaves the digests that only one text has. A cell that is left with one digest names it; taking it out of its other
 cells exposes more. If cells remain in the end, larger sketches are tried: the digests are dealt to blocks, each a
-sketch of its own, so that work stays proportional to the text's length.
+sketch of its own: sorted by block once and cut there, so that work stays near proportional to the text's length.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ THIRD, ROUNDS = 12, 12
 CHECK_BITS = 24
 #: Differences that a block should hold on average.
 LOAD = 18
-#: A longer line is cut after every so many characters.
-PIECE = 400
+#: A longer line is cut at the first punctuation from so many characters on, or else after as many as the second says.
+PIECE = (40, 120)
 #: Rows that a range of ids should hold, and the largest number of ranges.
 RANGE_ROWS, MAX_RANGES = 2000, 16_384
 
@@ -41,7 +41,7 @@ def digests(text: Column) -> Column:
     def digest(piece: Column) -> Column:
         return _let(F.xxhash64(piece), lambda h: h.bitwiseAND(F.lit(-(2**CHECK_BITS))).bitwiseOR(_check(h)))
 
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{PIECE}}}"), F.lit(0)), digest))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"[^\n]{{{PIECE[0]},{PIECE[1] - 1}}}?[.,;:!?](?=\s|$)|[^\n]{{1,{PIECE[1]}}}"), F.lit(0)), digest))
 
 
 def _item(d: Column, n: Column) -> Column:
@@ -92,9 +92,16 @@ def peel(cells: Column) -> Column:
 
 def _blocked(a: Column, b: Column, blocks: Column) -> Column:
     """``ok, found`` by a sketch for each of so many blocks, into which one text's digests go and the other's come out."""
-    own = lambda items, k: F.filter(items, lambda x: F.pmod(F.shiftrightunsigned(x["d"], CHECK_BITS + 21), blocks) == k)
-    each = lambda items: F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: peel(_let(own(items, k), sketch)))
-    both = _let(F.concat(_items(a, 1), _items(b, -1)), each)
+    dealt = F.transform(F.concat(_items(a, 1), _items(b, -1)), lambda x: F.struct(F.pmod(F.shiftrightunsigned(x["d"], CHECK_BITS + 21), blocks).alias("block"), x.alias("item")))
+
+    def each(items: Column) -> Column:
+        """The blocks that have items, from items in order of block."""
+        begins = lambda k: (k == 0) | ~F.get(items, k)["block"].eqNullSafe(F.get(items, k - 1)["block"])
+        starts = F.concat(F.filter(F.sequence(F.lit(0), F.size(items) - 1), begins), F.array(F.size(items)))
+        part = lambda s, e: F.transform(F.slice(items, s + 1, e - s), lambda x: x["item"])
+        return _let(starts, lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 2), lambda k: peel(_let(part(F.get(s, k), F.get(s, k + 1)), sketch))))
+
+    both = F.when(F.size(a) + F.size(b) > 0, _let(F.array_sort(dealt), each)).otherwise(F.array())
     return _let(both, lambda e: F.struct(F.forall(e, lambda x: x["ok"]).alias("ok"), F.flatten(F.transform(e, lambda x: x["found"])).alias("found")))
 
 
