@@ -72,8 +72,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_copies: int = 64) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rules as in exact_dedup."""
-    narrow = docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"))
-    heavy = persist(heavy_digests(persist(narrow), min_copies))
-    whole = docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    return decide(whole, heavy).where("kept").select("row.*")
+    """The rows of ``docs`` that stay, with all their columns; rules as in exact_dedup.
+
+    Decided on ids and digests alone. Then the rows that lose are taken out by id and digest, which no hot text
+    gathers in one task; rows that share even those are aggregated where they lie before they meet.
+    """
+    narrow = persist(docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest")))
+    decided = decide(narrow, persist(heavy_digests(narrow, min_copies)))
+    keys = decided.groupBy("id", "digest").agg(F.first(F.col("id").eqNullSafe(F.col("keep_id"))).alias("stays"), F.count("*").alias("n"))
+    marked = persist(keys.where("not stays or n > 1"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"))
+    here = lambda some: rows["id"].eqNullSafe(some["id"]) & (rows["digest"] == some["digest"])
+    kept, again = rows.join(marked, here(marked), "left_anti").select("row.*"), marked.where("stays")
+    if again.isEmpty():
+        return kept
+    return kept.union(rows.join(again, here(again), "left_semi").groupBy("id", "digest").agg(F.first("row").alias("row")).select("row.*"))
