@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from foresift.llm.common import persist
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every larger end has one smaller neighbour, which has none itself."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up")).union(edges.select("b", F.lit(0)))
+    by = ends.groupBy("v").agg(F.sum("up").alias("n"), F.min("up").alias("least"))
+    return by.where((F.col("n") > 1) | ((F.col("n") == 1) & (F.col("least") == 0))).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,12 +22,11 @@ def components(edges: DataFrame) -> DataFrame:
     they meet the edges, so a key with many neighbours is split like any skewed join. Null and self edges join nothing.
     """
     now = persist(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while (mark := _mark(now)) != before:
+    while not _is_stars(now):
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
-        now, before = persist(small.union(low.select("a", F.col("low").alias("b"))).distinct()), mark
+        now = persist(small.union(low.select("a", F.col("low").alias("b"))).distinct())
     return now.select(F.col("a").alias("key"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

@@ -133,6 +133,18 @@ class _Group:
         self.label[np.isin(self.label, self.label[mates])] = self.label[i]
 
     def batch(self) -> pa.RecordBatch:
+        """What was found, each tree as a star around its smallest class: it joins the same, in one step."""
+        low: dict[bytes, bytes] = {}
+
+        def top(x: bytes) -> bytes:
+            while (up := low.setdefault(x, x)) != x:
+                low[x] = x = low.setdefault(up, up)
+            return x
+
+        for x, y in self.found:
+            x, y = top(x), top(y)
+            low[max(x, y)] = min(x, y)
+        self.found = [(top(x), x) for x in list(low) if top(x) != x]
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in self.found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
 
