@@ -21,6 +21,7 @@ class Protocol:
 
 
 HOURLY = Protocol(24, 24, 8, 24, 240)
+ROLLING = Protocol(24, 24, 8, 24, 240, "rolling")
 DAILY = Protocol(7, 14, 6, 14, 365)
 WEEKLY = Protocol(1, 8, 4, 8, 104)
 REVENUE = Protocol(4, 4, 4, 4, 104)

@@ -17,10 +17,13 @@ def by_series():
     return Window.partitionBy("series_id").orderBy("t")
 
 
-def _train(p: Protocol, season: int = 1) -> Window:
-    """The training rows of a fold that ends after the current row; ``season`` counts rows of one phase only."""
+def _train(p: Protocol, season: int = 1, skip: int = 0) -> Window:
+    """The training rows of a fold that ends after the current row; ``season`` counts rows of one phase only.
+
+    ``skip`` leaves out the first so many, whose differences reach before the training rows.
+    """
     upto = Window.partitionBy("series_id").orderBy("t") if season == 1 else Window.partitionBy("series_id", F.col("t") % season).orderBy("t")
-    return upto.rowsBetween(-(p.min_train // season) + 1 if p.mode == "rolling" else Window.unboundedPreceding, 0)
+    return upto.rowsBetween(-((p.min_train - skip) // season) + 1 if p.mode == "rolling" else Window.unboundedPreceding, 0)
 
 
 def _read(panel: DataFrame, at: DataFrame, t: Column, *columns: str) -> DataFrame:
@@ -42,7 +45,7 @@ def base_forecasts(panel: DataFrame, p: Protocol, alpha: float = 0.1, folds: Dat
     known = panel.withColumn("d", F.col("y") - F.lag("y", m).over(by_series()))
     known = known.withColumns(
         {
-            "sigma": F.stddev_pop("d").over(train), "slope": F.regr_slope("y", "t").over(train), "mid_y": F.avg("y").over(train), "mid_t": F.avg("t").over(train),
+            "sigma": F.stddev_pop("d").over(_train(p, skip=m)), "slope": F.regr_slope("y", "t").over(train), "mid_y": F.avg("y").over(train), "mid_t": F.avg("t").over(train),
             "phase_y": F.avg("y").over(_train(p, m)), "phase_t": F.avg("t").over(_train(p, m)), "spread": F.sqrt(F.var_pop("y").over(train)),
         }
     )
@@ -102,7 +105,7 @@ def seasonal_ar1(panel: DataFrame, p: Protocol) -> DataFrame:
     Slope and intercept are running least squares of the training rows; h steps ahead are in closed form.
     """
     diff = panel.withColumn("d", F.col("y") - F.lag("y", p.season).over(by_series())).withColumn("e", F.lag("d").over(by_series()))
-    train = _train(p)
+    train = _train(p, skip=p.season + 1)
     fitted = diff.withColumns({"phi": F.regr_slope("d", "e").over(train), "c": F.regr_intercept("d", "e").over(train)})
     ahead = _read(fitted, steps(splits(panel, p), p), F.col("te") - p.season + (F.col("h") - 1) % p.season, "y")
     ahead = _read(fitted, ahead, F.col("te") - 1, "d", "phi", "c")

@@ -35,6 +35,35 @@ def interpolate(panel: DataFrame) -> DataFrame:
     return known.withColumn("y", F.coalesce("y", blend, "y0", "y1")).drop("t0", "y0", "t1", "y1")
 
 
+def _uniform(text, start: int):
+    """A number in (0, 1) from 15 hex digits of a hash, the same in any partitioning."""
+    return (F.conv(F.substring(F.md5(text), start, 15), 16, 10).cast("double") + 0.5) / float(16**15)
+
+
+def inject(panel: DataFrame, kind: str, n: int = 5, magnitude: float = 5.0, seed: int = 42) -> DataFrame:
+    """Corrupt ``n`` points of each series and mark them in ``injected``.
+
+    ``spike`` adds or takes ``magnitude`` standard deviations, ``gaussian`` adds normal noise of that deviation,
+    ``dropout`` leaves nulls, ``level_shift`` adds it to n neighbouring points. Points and signs are chosen by hashes
+    of seed, series and position; a constant series counts as one of deviation 1.
+    """
+    every = Window.partitionBy("series_id")
+    name = F.concat(F.lit(f"{seed}/"), F.col("series_id"))
+    point = F.concat(name, F.lit("/"), F.col("t").cast("string"))
+    scale, size = F.stddev_samp("y").over(every), F.count("*").over(every)
+    rows = panel.withColumns({"step": F.coalesce(F.nullif(scale, F.lit(0.0)), F.lit(1.0)) * magnitude, "size": size})
+    if kind == "level_shift":
+        start = 1 + F.floor(_uniform(name, 1) * F.greatest(F.lit(1), F.col("size") - n - 1))
+        rows = rows.withColumn("injected", (F.col("t") >= start) & (F.col("t") < start + n))
+    else:
+        rank = F.row_number().over(every.orderBy(_uniform(point, 1), "t"))
+        rows = rows.withColumn("injected", rank <= n)
+    sign = F.when(_uniform(point, 16) < 0.5, -1.0).otherwise(1.0)
+    normal = F.sqrt(-2 * F.log(_uniform(F.concat(point, F.lit("/a")), 1))) * F.cos(2 * F.pi() * _uniform(F.concat(point, F.lit("/b")), 1))
+    put = {"spike": F.col("y") + sign * F.col("step"), "level_shift": F.col("y") + F.col("step"), "dropout": F.lit(None).cast("double"), "gaussian": F.col("y") + normal * F.col("step")}[kind]
+    return rows.withColumn("y", F.when(F.col("injected"), put).otherwise(F.col("y"))).drop("step", "size")
+
+
 def fill_seasonal(panel: DataFrame, season: int) -> DataFrame:
     """The value one, two or three seasons before, then interpolation."""
     return interpolate(panel.withColumn("y", F.coalesce("y", *[F.lag("y", k * season).over(_by()) for k in (1, 2, 3)])))

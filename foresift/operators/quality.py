@@ -7,20 +7,30 @@ from pyspark.sql import functions as F
 
 
 def violations(rows: DataFrame, spec: dict[str, dict]) -> DataFrame:
-    """``column, rule, n_bad`` of declared rules (nonnull, min, max, in), all counted in one pass; a missing column is a violation."""
-    found = []
+    """``column, rule, n_bad`` of declared rules (dtype, nonnull, min, max, in), all counted in one pass; a missing column or another type is one violation."""
+    found, known = [], {"dtype", "nonnull", "min", "max", "in"}
     for name, rules in spec.items():
+        if odd := set(rules) - known:
+            raise ValueError(f"unknown rules for {name}: {sorted(odd)}")
         if name not in rows.columns:
             found.append((name, "missing", F.lit(1).cast("long")))
             continue
         c = F.col(name)
         tests: dict[str, Column] = {"nonnull": c.isNull(), "min": c < rules.get("min"), "max": c > rules.get("max"), "in": ~c.isin(*rules.get("in", ()))}
-        found += [(name, rule, F.count_if(tests[rule])) for rule in rules if rule in tests]
+        if "dtype" in rules:
+            found.append((name, "dtype", F.lit(int(rows.schema[name].dataType.simpleString() != rules["dtype"])).cast("long")))
+        found += [(name, rule, F.count_if(tests[rule])) for rule in rules if rule in tests and (rule != "nonnull" or rules[rule])]
     return rows.agg(F.array(*[F.struct(F.lit(n).alias("column"), F.lit(r).alias("rule"), x.alias("n_bad")) for n, r, x in found]).alias("x")).select(F.inline("x"))
 
 
+def _values(rows: DataFrame) -> DataFrame:
+    """Nulls and NaN are no values."""
+    return rows.where(F.col("x").isNotNull() & ~F.isnan(F.col("x").cast("double")))
+
+
 def psi(ref: DataFrame, cur: DataFrame, bins: int = 10) -> DataFrame:
-    """``feature, psi`` of long tables ``feature, x``: bins by the reference's quantiles, open at the ends, shares of at least 1e-6."""
+    """``feature, psi`` of long tables ``feature, x``: bins by the reference's quantiles, open at the ends, shares of at least 1e-6. Nulls and NaN do not count."""
+    ref, cur = _values(ref), _values(cur)
     edges = ref.groupBy("feature").agg(F.percentile("x", [k / bins for k in range(1, bins)]).alias("edges"))
 
     def share(rows: DataFrame, name: str) -> DataFrame:
@@ -35,7 +45,8 @@ def psi(ref: DataFrame, cur: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def ks(ref: DataFrame, cur: DataFrame) -> DataFrame:
-    """``feature, ks, p``: the largest distance of the two distribution functions, and its asymptotic significance."""
+    """``feature, ks, p``: the largest distance of the two distribution functions, and its asymptotic significance (1 where the series, which converges slowly there, is within 1e-9 of it). Nulls and NaN do not count."""
+    ref, cur = _values(ref), _values(cur)
     n = ref.withColumn("a", F.lit(1)).withColumn("b", F.lit(0)).unionByName(cur.withColumn("a", F.lit(0)).withColumn("b", F.lit(1)))
     steps = n.groupBy("feature", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     upto, every = Window.partitionBy("feature").orderBy("x"), Window.partitionBy("feature")
@@ -43,7 +54,7 @@ def ks(ref: DataFrame, cur: DataFrame) -> DataFrame:
     d = steps.select("feature", gap.alias("gap"), "a", "b").groupBy("feature").agg(F.max("gap").alias("ks"), F.sum("a").alias("n"), F.sum("b").alias("m"))
     z = F.col("ks") * F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m")))
     tail = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * F.col("z") * F.col("z")))
-    return d.withColumn("z", z).select("feature", "ks", F.greatest(F.least(tail, F.lit(1.0)), F.lit(0.0)).alias("p"))
+    return d.withColumn("z", z).select("feature", "ks", F.when(F.col("z") < 0.2, 1.0).otherwise(F.greatest(F.least(tail, F.lit(1.0)), F.lit(0.0))).alias("p"))
 
 
 def drift_report(ref: DataFrame, cur: DataFrame) -> DataFrame:

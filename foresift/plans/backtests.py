@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from foresift.functions import metrics as M
 from foresift.functions.special import norm_cdf, norm_pdf
-from foresift.operators import compare, folds, forecasters
-from foresift.operators.folds import HOURLY, WEEKLY
+from foresift.operators import compare, features, folds, forecasters
+from foresift.operators.folds import HOURLY, ROLLING, WEEKLY
 from foresift.plans.common import query, sql_norm_cdf
 from foresift.sources import panels
 
@@ -36,6 +36,43 @@ def fold_assignment(spark, sf_dir):
     return rows.groupBy("series_id", "fold", "part").agg(F.count("*").alias("n"), F.round(F.sum("y"), 3).alias("total"))
 
 
+@query(
+    "fold_assignment_rolling",
+    """SELECT f.series_id, fold, CASE WHEN p.t < te THEN 'train' ELSE 'test' END AS part, count(*) AS n, round(sum(y), 3) AS total
+FROM ehour p JOIN splits f ON f.series_id = p.series_id AND p.t >= te - 240 AND p.t < ee GROUP BY 1, 2, 3""",
+)
+def fold_assignment_rolling(spark, sf_dir):
+    panel = panels.filled_hourly(spark, sf_dir)
+    rows = folds.assign(panel, folds.splits(panel, ROLLING))
+    return rows.groupBy("series_id", "fold", "part").agg(F.count("*").alias("n"), F.round(F.sum("y"), 3).alias("total"))
+
+
+def _counts(spark, sf_dir) -> DataFrame:
+    """The hourly panel with ``x``, the number of events: a covariate that is known only after its hour."""
+    events = panels.table(spark, sf_dir, "events")
+    n = events.groupBy(F.col("event_type").alias("series_id"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ds")).agg(F.count("*").alias("x"))
+    return panels.filled_hourly(spark, sf_dir).join(n, ["series_id", "ds"], "left").withColumn("x", F.coalesce("x", F.lit(0)))
+
+
+_X = "SELECT e.*, coalesce(n.x, 0) AS x FROM ehour e LEFT JOIN (SELECT event_type AS series_id, date_trunc('hour', ts) AS ds, count(*) AS x FROM events GROUP BY 1, 2) n USING (series_id, ds)"
+
+
+@query("observed_lags", f"SELECT series_id, t, y, lag(x, 1) OVER w AS x_lag1, lag(x, 24) OVER w AS x_lag24 FROM ({_X}) WINDOW w AS (PARTITION BY series_id ORDER BY t)")
+def observed_lags(spark, sf_dir):
+    """An observed covariate enters by its past only."""
+    return features.lags(_counts(spark, sf_dir), (1, 24), "x").select("series_id", "t", "y", "x_lag1", "x_lag24")
+
+
+@query("fold_covariates", f"""SELECT f.series_id, fold, x.t, CASE WHEN x.t < te THEN 'train' ELSE 'test' END AS part, hour, x_lag24 FROM splits f JOIN (
+  SELECT series_id, t, extract(hour FROM ds)::BIGINT AS hour, lag(x, 24) OVER (PARTITION BY series_id ORDER BY t) AS x_lag24 FROM ({_X})) x ON x.series_id = f.series_id AND x.t >= tr_lo AND x.t < ee""")
+def fold_covariates(spark, sf_dir):
+    """Covariates of each fold's rows without a look ahead: calendar ones as they are, an observed one lagged by the horizon."""
+    panel = _counts(spark, sf_dir)
+    known = features.lags(panel, (HOURLY.horizon,), "x").withColumn("hour", F.hour("ds").cast("long"))
+    rows = folds.assign(panel.select("series_id", "t", "y"), folds.splits(panel, HOURLY))
+    return rows.join(known.select("series_id", "t", "hour", "x_lag24"), ["series_id", "t"]).select("series_id", "fold", "t", "part", "hour", "x_lag24")
+
+
 def _model(name: str) -> str:
     return f"SELECT series_id, fold, h, t, round(y_true, 6) AS y_true, round(y_pred, 6) AS y_pred, round(lo, 4) AS lo, round(hi, 4) AS hi FROM fc WHERE model = '{name}'"
 
@@ -50,6 +87,15 @@ def seasonal_naive(spark, sf_dir):
     return _of_model(forecasts(spark, sf_dir), "seasonal_naive")
 
 
+@query("seasonal_naive_rolling", """SELECT series_id, fold, h, t, round(last_y, 6) AS y_pred, round(last_y - 1.6448536269514715::DOUBLE * s * sqrt(ceil(h / 24)), 4) AS lo, round(last_y + 1.6448536269514715::DOUBLE * s * sqrt(ceil(h / 24)), 4) AS hi
+FROM at_phase JOIN (SELECT f.series_id, f.fold, stddev_pop(k.y - l.y) AS s FROM splits f JOIN ehour k ON k.series_id = f.series_id AND k.t >= f.te - 240 + 24 AND k.t < f.te
+  JOIN ehour l ON l.series_id = k.series_id AND l.t = k.t - 24 GROUP BY 1, 2) USING (series_id, fold)""")
+def seasonal_naive_rolling(spark, sf_dir):
+    """Rolling training windows: differences that reach before the window do not count."""
+    out = forecasters.base_forecasts(panels.filled_hourly(spark, sf_dir), ROLLING).where("model = 'seasonal_naive'")
+    return out.select("series_id", "fold", "h", "t", R6("y_pred").alias("y_pred"), F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+
+
 @query("trend_profile", _model("trend_profile"))
 def trend_profile(spark, sf_dir):
     return _of_model(forecasts(spark, sf_dir), "trend_profile")
@@ -324,17 +370,17 @@ def conformal(spark, sf_dir):
     return out.select("model", "series_id", "fold", "h", F.round(F.col("y_pred") - F.col("r"), 5).alias("lo"), F.round(F.col("y_pred") + F.col("r"), 5).alias("hi"))
 
 
-@query("verdict", f"""SELECT coalesce(string_agg(model, ', ' ORDER BY model), 'nothing beats seasonal_naive') AS verdict FROM ({_BOARD}) WHERE skill > 0""")
+@query("verdict", f"""SELECT coalesce(string_agg(model, ', ' ORDER BY model), 'nothing beats seasonal_naive') AS verdict FROM ({_BOARD}) JOIN ({_DM_P}) USING (model) WHERE skill > 0 AND p < 0.05""")
 def verdict(spark, sf_dir):
-    """Models with a lower error than the baseline's, by chance or not; ``verdict_dm`` asks for significance too."""
-    better = leaderboard(spark, sf_dir).where("skill > 0").agg(F.array_join(F.array_sort(F.collect_list("model")), ", ").alias("v"))
-    return better.select(F.when(F.col("v") != "", F.col("v")).otherwise("nothing beats seasonal_naive").alias("verdict"))
+    """Models with a lower error than the baseline's at p < 0.05."""
+    return compare.verdict(compare.significance(leaderboard(spark, sf_dir), forecasts(spark, sf_dir), "seasonal_naive"), "seasonal_naive")
 
 
-@query("verdict_dm", f"""SELECT coalesce(string_agg(model, ', ' ORDER BY model), 'nothing beats seasonal_naive') AS verdict FROM ({_BOARD}) JOIN ({_DM_P}) USING (model) WHERE skill > 0 AND p < 0.05""")
+@query("verdict_dm", f"""SELECT model, skill, round(p, 6) AS dm_p, coalesce(skill > 0 AND p < 0.05, false) AS beats FROM ({_BOARD}) LEFT JOIN ({_DM_P}) USING (model)""")
 def verdict_dm(spark, sf_dir):
-    """Models that beat the baseline at p < 0.05."""
-    return compare.verdict(compare.significance(leaderboard(spark, sf_dir), forecasts(spark, sf_dir), "seasonal_naive"), "seasonal_naive")
+    """Of each model, what the verdict rests on."""
+    board = compare.significance(leaderboard(spark, sf_dir), forecasts(spark, sf_dir), "seasonal_naive")
+    return board.select("model", "skill", R6("dm_p").alias("dm_p"), F.coalesce((F.col("skill") > 0) & (F.col("dm_p") < 0.05), F.lit(False)).alias("beats"))
 
 
 _SIGMA = "((hi - lo) / 3.289707253902943::DOUBLE)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foresift.functions import distributions
-from foresift.operators import forecasters, sampling
+from foresift.operators import folds, forecasters, sampling
 from foresift.operators.folds import HOURLY
 from foresift.plans.common import query
 from foresift.plans.searches import _SAMPLES
@@ -61,3 +61,12 @@ def energy_score(spark, sf_dir):
 @query("pit_samples", f"SELECT series_id, fold, h, len(list_filter(samples, lambda x: x <= y)) / 8::DOUBLE AS pit FROM ({_SCORED})")
 def pit_samples(spark, sf_dir):
     return _scored(spark, sf_dir).select("series_id", "fold", "h", sampling.pit(F.col("samples"), F.col("y")).alias("pit"))
+
+
+@query("pit_quantiles", f"""SELECT s.series_id, s.fold, s.h, round(CASE WHEN y <= q[1] THEN 0.05 WHEN y >= q[3] THEN 0.95 WHEN y < q[2] THEN 0.1 + 0.4::DOUBLE * (y - q[1]) / (q[2] - q[1]) ELSE 0.5 + 0.4::DOUBLE * (y - q[2]) / (q[3] - q[2]) END, 5) AS pit
+FROM steps s JOIN ({_PROFILE}) p ON p.series_id = s.series_id AND p.fold = s.fold AND p.phase = s.t % 24 JOIN ehour e ON e.series_id = s.series_id AND e.t = s.t""")
+def pit_quantiles(spark, sf_dir):
+    panel = panels.filled_hourly(spark, sf_dir)
+    tested = folds.steps(folds.splits(panel, HOURLY), HOURLY).withColumn("phase", F.col("t") % HOURLY.season)
+    both = tested.join(_profile(spark, sf_dir), ["series_id", "fold", "phase"]).join(panel.select("series_id", "t", "y"), ["series_id", "t"])
+    return both.select("series_id", "fold", "h", F.round(distributions.pit(LEVELS, F.col("quantiles"), F.col("y")), 5).alias("pit"))

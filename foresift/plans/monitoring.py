@@ -122,7 +122,7 @@ _PSI = f"""SELECT feature, sum((q - p) * ln(q / p)) AS psi FROM (SELECT g.featur
   WINDOW w AS (PARTITION BY g.feature)) GROUP BY 1"""
 _KS = f"""SELECT feature, max(abs(a - b)) AS ks, any_value(n) AS n, any_value(m) AS m FROM (SELECT feature, sum(na) OVER u / sum(na) OVER w AS a, sum(nb) OVER u / sum(nb) OVER w AS b, sum(na) OVER w AS n, sum(nb) OVER w AS m FROM (
   SELECT feature, x, count(*) FILTER (ref) AS na, count(*) FILTER (NOT ref) AS nb FROM {_SIDES} GROUP BY 1, 2) WINDOW u AS (PARTITION BY feature ORDER BY x), w AS (PARTITION BY feature)) GROUP BY 1"""
-_KSP = f"SELECT feature, ks, greatest(least(list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0::DOUBLE * k * k * ks * ks * n * m / (n + m)))), 1), 0) AS p FROM ({_KS})"
+_KSP = f"SELECT feature, ks, CASE WHEN ks * sqrt(n * m / (n + m)) < 0.2 THEN 1 ELSE greatest(least(list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0::DOUBLE * k * k * ks * ks * n * m / (n + m)))), 1), 0) END AS p FROM ({_KS})"
 
 
 @query("psi", f"SELECT feature, round(psi, 6) AS psi FROM ({_PSI})")

@@ -115,7 +115,6 @@ _CAL = "hour(ds) AS hour, isodow(ds) - 1 AS dow, month(ds) AS month, week(ds) AS
 
 
 @query("lag_features", f"SELECT series_id, t, y, {_LAGS} FROM ehour")
-@query("observed_lags", f"SELECT series_id, t, y, {_LAGS} FROM ehour")
 def lag_features(spark, sf_dir):
     return features.lags(panels.filled_hourly(spark, sf_dir), (1, 24, 168)).drop("ds")
 
@@ -196,3 +195,31 @@ def patchify(spark, sf_dir):
     rows = features.patches(features.training_windows(panels.filled_hourly(spark, sf_dir), 24, 6), 8, 4, 24)
     parts = rows.select("series_id", "t", F.posexplode("patches").alias("k", "patch"))
     return parts.select("series_id", "t", F.col("k").cast("long").alias("k"), F.round(F.aggregate("patch", F.lit(0.0), lambda a, x: a + x), 4).alias("patch_sum"))
+
+
+def _u(text: str, start: int) -> str:
+    return f"((('0x' || substr(md5({text}), {start}, 15))::BIGINT::DOUBLE + 0.5::DOUBLE) / {float(16**15)!r}::DOUBLE)"
+
+
+_POINT = "('42/' || series_id || '/' || t::VARCHAR)"
+_PUT = {
+    "spike": f"y + CASE WHEN {_u(_POINT, 16)} < 0.5::DOUBLE THEN -1 ELSE 1 END * step",
+    "level_shift": "y + step",
+    "dropout": "NULL",
+    "gaussian": f"y + sqrt(-2 * ln({_u(_POINT + " || '/a'", 1)})) * cos(2 * pi() * {_u(_POINT + " || '/b'", 1)}) * step",
+}
+
+
+def _inject(kind: str) -> None:
+    """Five points of each series, five standard deviations."""
+    start = f"(1 + floor({_u("('42/' || series_id)", 1)} * greatest(1, size - 6)))"
+    hit = f"t >= {start} AND t < {start} + 5" if kind == "level_shift" else f"row_number() OVER (PARTITION BY series_id ORDER BY {_u(_POINT, 1)}, t) <= 5"
+
+    @query(f"inject_{kind}", f"""SELECT series_id, t, round(CASE WHEN injected THEN {_PUT[kind]} ELSE y END, 5) AS y, injected FROM (SELECT *, {hit} AS injected FROM (
+  SELECT *, coalesce(nullif(stddev_samp(y) OVER (PARTITION BY series_id), 0), 1) * 5 AS step, count(*) OVER (PARTITION BY series_id) AS size FROM ehour))""")
+    def run(spark, sf_dir):
+        return prepare.inject(panels.filled_hourly(spark, sf_dir), kind).select("series_id", "t", F.round("y", 5).alias("y"), "injected")
+
+
+for _kind in _PUT:
+    _inject(_kind)

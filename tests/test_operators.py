@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foresift.operators import folds, forecasters, hierarchy, prepare
+from foresift.operators import folds, forecasters, hierarchy, prepare, quality
 from foresift.operators.folds import Protocol
 
 
@@ -60,3 +60,32 @@ def test_tree_reconcile_equals_dense_projection(spark):
         want = s @ np.linalg.solve(s.T @ np.diag(1 / w) @ s, s.T @ (np.array(y) / w))
         found = {r["node"]: r["y"] for r in hierarchy.tree_reconcile(base, variance, 2).collect()}
         assert [found[n[0]] for n in nodes] == pytest.approx(want.tolist())
+
+
+def test_rolling_folds_read_their_window_only(spark):
+    """What happened before a rolling window changes no forecast and no band."""
+    p = Protocol(2, 2, 3, 2, 12, "rolling")
+    rows = [("a", t, float(t % 5 + t * t % 3)) for t in range(24)]
+    before = [("a", t, y + (1000.0 * (t % 3) if t < 6 else 0.0)) for _, t, y in rows]
+    one, two = (spark.createDataFrame(x, "series_id string, t long, y double") for x in (rows, before))
+    assert min(r["tr_lo"] for r in folds.splits(one, p).collect()) >= 6
+    key = ("model", "series_id", "fold", "h")
+    for model in (forecasters.base_forecasts, forecasters.seasonal_ar1):
+        a, b = (sorted(([str(r[k]) for k in key if k in r], [r[c] for c in ("y_pred", "lo", "hi") if c in r]) for r in (r.asDict() for r in model(x, p).collect())) for x in (one, two))
+        assert a == b
+
+
+def test_drift_passes_over_nulls(spark):
+    ref = [("f", float(k)) for k in range(100)]
+    cur = ref + [("f", None)] * 50 + [("f", float("nan"))] * 10
+    a, b = (spark.createDataFrame(x, "feature string, x double") for x in (ref, cur))
+    found = quality.drift_report(a, b).first()
+    assert (round(found["psi"], 9), found["ks"], found["p"], found["status"]) == (0, 0, 1, "ok")
+
+
+def test_schema_rules(spark):
+    rows = spark.createDataFrame([(1, None), (2, "x")], "a long, b string")
+    found = {(r["column"], r["rule"]): r["n_bad"] for r in quality.violations(rows, {"a": {"dtype": "int", "min": 2}, "b": {"dtype": "string", "nonnull": False}}).collect()}
+    assert found == {("a", "dtype"): 1, ("a", "min"): 1, ("b", "dtype"): 0}
+    with pytest.raises(ValueError, match="minimum"):
+        quality.violations(rows, {"a": {"minimum": 1}})
