@@ -60,6 +60,12 @@ def removed(*tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints that nothing refers to any more: it does so as the driver collects garbage, which a driver of small objects seldom does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def give_back() -> None:
     """Return to the system what a Python worker has freed: Spark keeps workers for the tasks of later stages."""
     gc.collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foresift.llm.common import persist
+from foresift.llm.common import persist, tidy
 
 
 def _is_stars(edges: DataFrame) -> bool:
@@ -29,4 +29,6 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
         now = persist(small.union(low.select("a", F.col("low").alias("b"))).distinct())
+        del both, low, large, small
+        tidy(now.sparkSession)
     return now.select(F.col("a").alias("key"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

@@ -272,7 +272,7 @@ class _Join:
 
     def clusters(self, nodes: DataFrame, labels: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
         """``key, component``: clusters of classes that candidate pairs of different components join, beside those that ``base`` joins; and the nodes' rows."""
-        rows = persist(self.small_nodes(nodes, labels))
+        rows = self.small_nodes(nodes, labels)
         return persist(components(self._grouped(rows, _candidates).union(base))), rows
 
     def sets(self, clusters: DataFrame) -> DataFrame:
