@@ -20,8 +20,9 @@ THIRD, ROUNDS = 12, 12
 CHECK_BITS = 24
 #: Differences that a block should hold on average.
 LOAD = 18
-#: A longer line is cut at the first punctuation from so many characters on, or else after as many as the second says.
-PIECE = (40, 120)
+#: A longer line is cut at the first punctuation from so many characters on, or else after as many as the second says:
+#: in texts below so many characters, and in others. The first kind keeps a short text's likeness from being all or nothing.
+SHORT, SHORT_PIECE, PIECE = 600, (40, 120), (240, 400)
 #: Rows that a range of ids should hold, and the largest number of ranges.
 RANGE_ROWS, MAX_RANGES = 2000, 16_384
 
@@ -41,7 +42,8 @@ def digests(text: Column) -> Column:
     def digest(piece: Column) -> Column:
         return _let(F.xxhash64(piece), lambda h: h.bitwiseAND(F.lit(-(2**CHECK_BITS))).bitwiseOR(_check(h)))
 
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"[^\n]{{{PIECE[0]},{PIECE[1] - 1}}}?[.,;:!?](?=\s|$)|[^\n]{{1,{PIECE[1]}}}"), F.lit(0)), digest))
+    pieces = lambda low, high: F.regexp_extract_all(text, F.lit(rf"[^\n]{{{low},{high - 1}}}?[.,;:!?](?=\s|$)|[^\n]{{1,{high}}}"), F.lit(0))
+    return F.array_distinct(F.transform(F.when(F.char_length(text) < SHORT, pieces(*SHORT_PIECE)).otherwise(pieces(*PIECE)), digest))
 
 
 def _item(d: Column, n: Column) -> Column:

@@ -37,7 +37,8 @@ def passages(text: Column) -> Column:
 
         return _let(starts, lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 2), lambda k: run(F.get(s, k), F.get(s, k + 1))))
 
-    return _let(F.transform(F.split(text, "\n"), line), runs)
+    plain = F.array(F.struct(F.lit(0).alias("level"), text.alias("text")))  # no line begins with a mark
+    return F.when(text.rlike(r"(?m)^[ \t]*>"), _let(F.transform(F.split(text, "\n"), line), runs)).otherwise(plain)
 
 
 def normalised(text: Column) -> Column:

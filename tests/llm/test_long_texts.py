@@ -7,12 +7,13 @@ import pytest
 
 from foresift.llm import fingerprints, quotes
 
-LOW, HIGH = fingerprints.PIECE
-PIECES = re.compile(rf"[^\n]{{{LOW},{HIGH - 1}}}?[.,;:!?](?=\s|$)|[^\n]{{1,{HIGH}}}")
+def pieces(text):
+    low, high = fingerprints.SHORT_PIECE if len(text) < fingerprints.SHORT else fingerprints.PIECE
+    return set(re.findall(rf"[^\n]{{{low},{high - 1}}}?[.,;:!?](?=\s|$)|[^\n]{{1,{high}}}", text))
 
 
 def likeness(a, b):
-    a, b = set(PIECES.findall(a)), set(PIECES.findall(b))
+    a, b = pieces(a), pieces(b)
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
@@ -23,7 +24,7 @@ def prose(rng, n):
 def test_fingerprints_by_brute_force(spark):
     """The edited text, the order of the next one, and the sets' likeness; with null and empty texts, a null id, one line, and many differences."""
     rng = random.Random(5)
-    rows = [(k * 3, prose(rng, rng.choice([0, 3, 30, 200, 900]))) for k in range(40)] + [(500, None), (501, "same"), (502, "same"), (503, "é" * 7), (None, "last of all"), (504, prose(rng, 200).replace("\n", " "))]
+    rows = [(k * 3, prose(rng, rng.choice([0, 3, 30, 200, 900]))) for k in range(40)] + [(500, None), (501, "same"), (502, "same"), (503, "é" * 7), (None, "last of all"), (504, prose(rng, 30).replace("\n", " "))]
     found = {r["id"]: r for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
     for (i, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
