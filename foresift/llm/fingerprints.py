@@ -22,7 +22,7 @@ CHECK_BITS = 24
 LOAD = 18
 #: A longer line is cut at the first punctuation from so many characters on, or else after as many as the second says:
 #: in texts below so many characters, and in others. The first kind keeps a short text's likeness from being all or nothing.
-SHORT, SHORT_PIECE, PIECE = 600, (40, 120), (240, 400)
+SHORT, SHORT_PIECE, PIECE = 600, (40, 120), (320, 480)
 #: Rows that a range of ids should hold, and the largest number of ranges.
 RANGE_ROWS, MAX_RANGES = 2000, 16_384
 

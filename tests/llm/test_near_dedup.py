@@ -12,7 +12,7 @@ def exact_components(rows):
     """Smallest id that links reach, by comparing all pairs."""
     sets = {}
     for i, text in rows:
-        words = text.lower().split()
+        words = text.encode().lower().split()
         sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
     ids, up = sorted(sets), {i: i for i in sets}
 
