@@ -13,26 +13,41 @@ from foresift.llm.common import stored
 
 
 def in_some_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the others (no text, no letter) go."""
+    """Documents whose language can be told, as they are; those with null or empty text, or without a letter, go.
+
+    Repeated rows stay, ties of languages keep the document, and an empty table stays empty. Only documents, text and
+    language columns are looked at; others are carried, whatever their names.
+    """
     found = language_id.identify(docs, language_id.train(docs))
     return found.where("lang_pred <> 'und'").select("row.*")
 
 
 def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (after lower-casing A-Z) the row with the largest id; of rows that repeat it, one.
+
+    Null and empty texts are one text; null ids rank below all others. An empty table stays empty.
+    """
     return exact_dedup.keep_one(docs)
 
 
 def one_of_each_near_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, similarity 0.75) the rows with the smallest id.
+
+    Texts without words are copies of nothing and stay; repeated rows of the smallest id stay. An empty table stays empty.
+    """
     return near_dedup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in the proportions wanted: a document may go, or come twice."""
+    """Sources in the proportions wanted: a document may go, or come twice. A null source is one; texts without words add nothing. An empty table stays empty."""
     return mixing.mixed_rows(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids`` (packed little-endian 32-bit) and digests of the ids and of the text they decode to."""
+    """``doc_id, n_tokens, ids`` (packed little-endian 32-bit) and digests of the ids and of the text they decode to.
+
+    A row a row, repeated or not; null text counts as empty and has no ids; null ids stay null.
+    """
     import public_tokenizers
 
     coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
