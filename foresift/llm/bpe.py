@@ -30,11 +30,11 @@ from foresift.llm.lexicon import Lexicon, compile_lexicon
 #: Lexicon bounds: words, the summary's counters, bytes a word.
 WORDS, COUNTERS, WORD_BYTES = 10_000, 16_384, 48
 #: A worker's memos of merged words are emptied beyond so many bytes.
-MEMO = 32_000_000
+MEMO = 72_000_000
 #: Pieces of more bytes are merged one by one.
 LONG = 48
 #: Text handled at a time within a batch, in bytes.
-SLICE = 1_000_000
+SLICE = 2_500_000
 
 # Fixed values of the public vocabulary format: white space by the Unicode property, and the splitting pattern.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
