@@ -63,6 +63,12 @@ def base_forecasts(panel: DataFrame, p: Protocol, alpha: float = 0.1, folds: Dat
     return out.select("model", "series_id", "fold", "te", "h", "t", "y_pred", (F.col("y_pred") - F.col("band")).alias("lo"), (F.col("y_pred") + F.col("band")).alias("hi"))
 
 
+def recent_median(panel: DataFrame, p: Protocol, rows: int = 8) -> DataFrame:
+    """``series_id, fold, te, h, t, y_pred``: the median of the last rows before the fold, for every step."""
+    by = by_series().rowsBetween(-rows + 1, 0)
+    return _read(panel.withColumn("y_pred", F.percentile("y", 0.5).over(by)), steps(splits(panel, p), p), F.col("te") - 1, "y_pred").select("series_id", "fold", "te", "h", "t", "y_pred")
+
+
 def backtest(panel: DataFrame, p: Protocol, alpha: float = 0.1) -> DataFrame:
     """Base forecasts with the actual value ``y_true``."""
     return _read(panel, base_forecasts(panel, p, alpha), F.col("t"), "y").withColumnRenamed("y", "y_true")

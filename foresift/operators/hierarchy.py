@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,7 +40,7 @@ def top_down(base: DataFrame, tree: DataFrame, history: DataFrame) -> DataFrame:
     share = share.join(F.broadcast(every)).select("bottom", F.when(F.col("all") > 0, F.col("s") / F.col("all")).otherwise(1 / F.col("n")).alias("p"))
     nodes = tree.join(share, "bottom").groupBy("node").agg(F.sum("p").alias("p"))
     total = base.where("node = 'TOTAL'").select("ds", "y_pred")
-    return nodes.join(F.broadcast(total)).select("node", "ds", (F.col("p") * F.col("y_pred")).alias("y"))
+    return nodes.join(total).select("node", "ds", (F.col("p") * F.col("y_pred")).alias("y"))
 
 
 def coherence_gap(values: DataFrame, tree: DataFrame) -> DataFrame:
@@ -50,16 +50,24 @@ def coherence_gap(values: DataFrame, tree: DataFrame) -> DataFrame:
     return own.join(sums, ["node", "ds"]).groupBy("ds").agg(F.max(F.abs(F.col("own") - F.col("s"))).alias("gap"))
 
 
-def tree_reconcile(base: DataFrame, variance: Column, depth: int) -> DataFrame:
+def parents(tree: DataFrame) -> DataFrame:
+    """``node, parent, level, n_bottom`` of each node; the total has no parent."""
+    path = Window.partitionBy("bottom").orderBy("level")
+    above = tree.withColumn("parent", F.lag("node").over(path))
+    return above.groupBy("node", "level").agg(F.min("parent").alias("parent"), F.count("*").alias("n_bottom"))
+
+
+def tree_reconcile(base: DataFrame, variance: Column, depth: int, ridge: float = 0.0) -> DataFrame:
     """``node, ds, y``: the coherent values nearest to the base forecasts, weighted by the inverse of ``variance``.
 
     ``base`` has ``node, parent, level, ds, y_pred`` of a tree with levels 0 to ``depth``. Equal variances give ordinary
     least squares, the number of bottoms weighted ones. Upward, each node's own forecast is combined with the sum of
     its children by precision; downward, what a node's final value differs from that sum is dealt to the children in
-    proportion to their variances. One join a level each way: the same result as the dense projection.
+    proportion to their variances. One join a level each way: the same result as the dense projection. ``ridge``
+    penalises the bottoms' squares: it acts as one more forecast of 0 for each bottom, of variance 1 / ridge.
     """
     base = base.withColumn("v", variance.cast("double"))
-    up = {depth: base.where(F.col("level") == depth).select("node", "parent", "ds", F.col("y_pred").alias("m"), F.col("v").alias("var"), F.lit(None).cast("double").alias("c"), F.lit(None).cast("double").alias("vc"))}
+    up = {depth: base.where(F.col("level") == depth).select("node", "parent", "ds", (F.col("y_pred") / (1 + ridge * F.col("v"))).alias("m"), (F.col("v") / (1 + ridge * F.col("v"))).alias("var"), F.lit(None).cast("double").alias("c"), F.lit(None).cast("double").alias("vc"))}
     for k in range(depth - 1, -1, -1):
         below = up[k + 1].groupBy(F.col("parent").alias("node"), "ds").agg(F.sum("m").alias("c"), F.sum("var").alias("vc"))
         own = base.where(F.col("level") == k).join(below, ["node", "ds"])

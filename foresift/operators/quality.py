@@ -70,3 +70,47 @@ def page_hinkley(rows: DataFrame, delta: float = 0.005, most: float = 50.0) -> D
     rows = rows.withColumn("mean", F.avg("x").over(by)).withColumn("sum", F.sum(F.col("x") - F.col("mean") - delta).over(by))
     rows = rows.withColumn("excess", F.col("sum") - F.least(F.min("sum").over(by), F.lit(0.0)))
     return rows.withColumn("fired", F.col("excess") > most).drop("sum")
+
+
+def adwin_first_alarm(rows: DataFrame, delta: float = 0.002, reach: int | None = None) -> DataFrame:
+    """``key, t, cut`` of ``key, t, x``: the first row where the mean before some cut and that after it differ too much.
+
+    With n rows so far and parts of n0 and n1 rows, at least two each, the bound is
+    sqrt((1 / (2 n0) + 1 / (2 n1)) ln(4 n / delta)). Keys without an alarm have no row. Every row meets all cuts before
+    it; ``reach`` keeps to cuts that many rows back, for long streams.
+    """
+    by = Window.partitionBy("key").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.select("key", "t", F.count("*").over(by).alias("n"), F.sum("x").over(by).alias("s"))
+    cuts = sums.select(F.col("key").alias("k"), F.col("n").alias("n0"), F.col("s").alias("s0"))
+    near = (F.col("k") == F.col("key")) & (F.col("n0") >= 2) & (F.col("n0") <= F.col("n") - 2)
+    both = sums.join(cuts, near if reach is None else near & (F.col("n0") >= F.col("n") - reach))
+    n1 = F.nullif(F.col("n") - F.col("n0"), F.lit(0))  # the bound may be evaluated before the join's condition
+    eps = F.sqrt((1 / (2 * F.col("n0")) + 1 / (2 * n1)) * F.log(4 * F.col("n") / delta))
+    hits = both.where(F.abs(F.col("s0") / F.col("n0") - (F.col("s") - F.col("s0")) / n1) >= eps)
+    return hits.groupBy("key").agg(F.min(F.struct("t", F.col("n0").alias("cut"))).alias("x")).select("key", "x.t", "x.cut")
+
+
+def evaluate(ref: DataFrame, cur: DataFrame, nominal: float, most_mae: float | None = None, tolerance: float = 0.05, serious: float = 0.25, delta: float = 0.005, most: float = 50.0, adwin: float = 0.002, covariates: DataFrame | None = None) -> DataFrame:
+    """``feature, psi, mae, coverage, ph_drift, adwin_drift, alerts, retrain`` of a window of forecasts.
+
+    ``ref`` and ``cur`` have ``feature, t, x, inside``: the residual in order of t and whether the value was inside its
+    interval. Alerts: PSI above 0.10 (``serious``: retrain), coverage off by more than ``tolerance`` (twice that:
+    retrain), a mean error above ``most_mae``, Page-Hinkley or ADWIN on absolute errors, and the ``covariates`` (rows of
+    drift by ks, ``feature`` being the same as here, ``name``, ``p``) with p < 0.01; the last four retrain.
+    """
+    absolute = cur.select(F.col("feature").alias("key"), "t", F.abs("x").alias("x"))
+    level = cur.groupBy("feature").agg(F.avg(F.abs("x")).alias("mae"), F.avg(F.col("inside").cast("double")).alias("coverage"))
+    ph = page_hinkley(absolute, delta, most).groupBy(F.col("key").alias("feature")).agg(F.bool_or("fired").alias("ph_drift"))
+    alarms = adwin_first_alarm(absolute, adwin).select(F.col("key").alias("feature"), F.lit(True).alias("adwin_drift"))
+    all_ = level.join(psi(ref, cur), "feature", "left").join(ph, "feature").join(alarms, "feature", "left").withColumn("adwin_drift", F.coalesce("adwin_drift", F.lit(False)))
+    moved = F.lit(False)
+    if covariates is not None:
+        shifted = covariates.where("p < 0.01").groupBy("feature").agg(F.array_sort(F.collect_set("name")).alias("shifted"))
+        all_ = all_.join(shifted, "feature", "left")
+        moved = F.col("shifted").isNotNull()
+    off = F.abs(F.col("coverage") - nominal)
+    late = F.lit(False) if most_mae is None else F.col("mae") > most_mae
+    tests = [(F.col("psi") > serious, "psi"), ((F.col("psi") > 0.10) & (F.col("psi") <= serious), "psi_warn"), (off > tolerance, "coverage"), (late, "mae"), (F.col("ph_drift"), "page_hinkley"), (F.col("adwin_drift"), "adwin"), (moved, "covariates")]
+    alerts = F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in tests]))
+    retrain = F.coalesce(F.col("psi") > serious, F.lit(False)) | (off > 2 * tolerance) | late | F.col("ph_drift") | F.col("adwin_drift") | moved
+    return all_.select("feature", "psi", "mae", "coverage", "ph_drift", "adwin_drift", alerts.alias("alerts"), retrain.alias("retrain"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foresift.operators import hierarchy, quality
 from foresift.plans.common import query
-from foresift.sources import panels
+from foresift.sources import panels, store
 
 LEVELS = ["region", "nation", "segment"]
 _TREE = """SELECT 'TOTAL' AS node, 0::BIGINT AS level, 'region=' || region || '/nation=' || nation || '/segment=' || segment AS bottom FROM (SELECT DISTINCT region, nation, segment FROM revenue)
@@ -66,15 +66,15 @@ def coherence_gap(spark, sf_dir):
     return hierarchy.coherence_gap(base.withColumnRenamed("y_pred", "y"), _tree(spark, sf_dir)).withColumn("gap", F.round("gap", 3))
 
 
-def _passes(variance: str) -> str:
+def _passes(variance: str, forecasts: str = _BASE, ridge: str = "0.0::DOUBLE", digits: int = 1) -> str:
     """The two passes of hierarchy.tree_reconcile in SQL, for three levels below the total."""
-    base = f"SELECT b.*, n_bottom, CASE WHEN b.level = 0 THEN NULL WHEN b.level = 1 THEN 'TOTAL' ELSE regexp_replace(b.node, '/[^/]*$', '') END AS parent, {variance} AS v FROM ({_BASE}) b JOIN (SELECT node, count(*) AS n_bottom FROM ({_TREE}) GROUP BY 1) USING (node)"
-    up = [f"base AS MATERIALIZED ({base})", "l3 AS MATERIALIZED (SELECT node, parent, ds, y_pred AS m, v AS var, NULL::DOUBLE AS c, NULL::DOUBLE AS vc FROM base WHERE level = 3)"]
+    base = f"SELECT b.*, n_bottom, CASE WHEN b.level = 0 THEN NULL WHEN b.level = 1 THEN 'TOTAL' ELSE regexp_replace(b.node, '/[^/]*$', '') END AS parent, {variance} AS v FROM ({forecasts}) b JOIN (SELECT node, count(*) AS n_bottom FROM ({_TREE}) GROUP BY 1) USING (node)"
+    up = [f"base AS MATERIALIZED ({base})", f"l3 AS MATERIALIZED (SELECT node, parent, ds, y_pred / (1 + {ridge} * v) AS m, v / (1 + {ridge} * v) AS var, NULL::DOUBLE AS c, NULL::DOUBLE AS vc FROM base WHERE level = 3)"]
     for k in (2, 1, 0):
         up.append(f"l{k} AS MATERIALIZED (SELECT b.node, b.parent, b.ds, (c / vc + y_pred / v) / (1 / vc + 1 / v) AS m, 1 / (1 / vc + 1 / v) AS var, c, vc FROM base b JOIN (SELECT parent AS node, ds, sum(m) AS c, sum(var) AS vc FROM l{k + 1} GROUP BY 1, 2) x USING (node, ds) WHERE level = {k})")
     down = ["f0 AS MATERIALIZED (SELECT node, ds, m AS y, c, vc FROM l0)"]
     down += [f"f{k} AS MATERIALIZED (SELECT l.node, l.ds, l.m + (p.y - p.c) / p.vc * l.var AS y, l.c, l.vc FROM l{k} l JOIN f{k - 1} p ON p.node = l.parent AND p.ds = l.ds)" for k in (1, 2, 3)]
-    every = " UNION ALL ".join(f"SELECT node, ds, round(y, 1) AS y FROM f{k}" for k in range(4))
+    every = " UNION ALL ".join(f"SELECT node, ds, round(y, {digits}) AS y FROM f{k}" for k in range(4))
     return f"SELECT * FROM (WITH {', '.join(up + down)} {every})"
 
 
@@ -82,7 +82,7 @@ def _reconciled(spark, sf_dir, variance):
     _, base = _base(spark, sf_dir)
     tree = _tree(spark, sf_dir).groupBy("node", "level").agg(F.count("*").alias("n_bottom"))
     parent = F.when(F.col("level") == 1, "TOTAL").when(F.col("level") > 1, F.regexp_replace("node", "/[^/]*$", ""))
-    rows = base.join(tree, "node").withColumn("parent", parent)
+    rows = store.kept(base.join(tree, "node").withColumn("parent", parent))  # the passes read it twice a level
     return hierarchy.tree_reconcile(rows, variance(), 3).withColumn("y", F.round("y", 1))
 
 
