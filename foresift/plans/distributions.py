@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foresift.functions import distributions
-from foresift.operators import folds, forecasters, sampling
+from foresift.operators import folds, forecasters, regressors, sampling
 from foresift.operators.folds import HOURLY
 from foresift.plans.common import query
 from foresift.plans.searches import _SAMPLES
@@ -22,6 +22,20 @@ def seasonal_ar1(spark, sf_dir):
     return forecasters.seasonal_ar1(panels.filled_hourly(spark, sf_dir), HOURLY).select("series_id", "fold", "h", F.round("y_pred", 4).alias("y_pred"))
 
 
+def _banded(df):
+    return df.select("series_id", "fold", "h", "t", *[F.round(c, 4).alias(c) for c in ("y_pred", "lo", "hi")])
+
+
+@query("trend_fourier")
+def trend_fourier(spark, sf_dir):
+    return _banded(regressors.trend_fourier(panels.filled_hourly(spark, sf_dir), HOURLY))
+
+
+@query("gbt_direct")
+def gbt_direct(spark, sf_dir):
+    return _banded(regressors.gbt_direct(panels.filled_hourly(spark, sf_dir), HOURLY))
+
+
 _PROFILE = "SELECT p.series_id, fold, t % 24 AS phase, quantile_cont(y, [0.1, 0.5, 0.9]) AS q FROM ehour p JOIN splits s ON s.series_id = p.series_id AND t < te GROUP BY 1, 2, 3"
 
 
