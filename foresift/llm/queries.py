@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foresift.llm import bpe, exact_dedup, fingerprints, language_id, line_dedup, lm_scoring, mixing, near_dedup, quotes, repair, sharding
+from foresift.llm import bpe, exact_dedup, fingerprints, language_id, line_dedup, lm_scoring, mixing, near_dedup, quotes, repair, sharding, token_alignment
 from foresift.llm.common import table
 
 SHARD_NAMES = [f"shard-{k:02d}" for k in range(sharding.SHARDS)]
@@ -60,11 +60,19 @@ def op10_line_dedup(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), "n_chunks", "n_removed", "removed_chars", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_token_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    found = token_alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN, with_groups=False)
+    return found.withColumnsRenamed({"id": "doc_id", "groups": "groups_sha256"})
+
+
 def op13_conversation_repair(spark, sf_dir):
     return repair.audit(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_sharding": op2_sharding, "op3_near_dedup": op3_near_dedup, "op4_quotes": op4_quotes, "op5_language_id": op5_language_id, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op8_fingerprints": op8_fingerprints, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup, "op13_conversation_repair": op13_conversation_repair}
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_sharding": op2_sharding, "op3_near_dedup": op3_near_dedup, "op4_quotes": op4_quotes, "op5_language_id": op5_language_id, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op8_fingerprints": op8_fingerprints, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup, "op11_token_alignment": op11_token_alignment, "op13_conversation_repair": op13_conversation_repair}
 
 _HASH60 = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 
