@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foresift.llm import bpe, exact_dedup, fingerprints, language_id, line_dedup, lm_scoring, mixing, near_dedup, quotes, repair, sharding, token_alignment
+from foresift.llm import bpe, exact_dedup, fingerprints, language_id, line_dedup, lm_scoring, mixing, near_dedup, nearest, quotes, repair, sharding, token_alignment
 from foresift.llm.common import table
 
 SHARD_NAMES = [f"shard-{k:02d}" for k in range(sharding.SHARDS)]
@@ -68,11 +68,15 @@ def op11_token_alignment(spark, sf_dir):
     return found.withColumnsRenamed({"id": "doc_id", "groups": "groups_sha256"})
 
 
+def op12_nearest(spark, sf_dir):
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversation_repair(spark, sf_dir):
     return repair.audit(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_sharding": op2_sharding, "op3_near_dedup": op3_near_dedup, "op4_quotes": op4_quotes, "op5_language_id": op5_language_id, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op8_fingerprints": op8_fingerprints, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup, "op11_token_alignment": op11_token_alignment, "op13_conversation_repair": op13_conversation_repair}
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_sharding": op2_sharding, "op3_near_dedup": op3_near_dedup, "op4_quotes": op4_quotes, "op5_language_id": op5_language_id, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op8_fingerprints": op8_fingerprints, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup, "op11_token_alignment": op11_token_alignment, "op12_nearest": op12_nearest, "op13_conversation_repair": op13_conversation_repair}
 
 _HASH60 = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 
