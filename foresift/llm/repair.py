@@ -68,6 +68,7 @@ def _runs(rows: DataFrame) -> DataFrame:
     schema = f"conv {kinds['conv']}, turn {kinds['turn']}, role string, digest binary, run long, at long, copies long, symbols binary, ahead binary, cost binary, states binary, pairs long, first string, last string"
     order = [F.col(k).asc_nulls_first() for k in KEYS]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id().cast("long"))
+    most = RUN
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, held, number = _tables(), None, 0
@@ -84,11 +85,11 @@ def _runs(rows: DataFrame) -> DataFrame:
                 symbol = GONE if gone else 2 + 4 * row["open_end"] + (INITIALS.find(row["initial"]) if row["initial"] and row["initial"] in INITIALS else 3)
                 left, at_first = row["copies"], True
                 while left:
-                    if held is None or held["conv"] != row["conv"] or held["length"] >= RUN:
+                    if held is None or held["conv"] != row["conv"] or held["length"] >= most:
                         if held:
                             out.append(closed(held))
                         held, number = {"conv": row["conv"], "run": (row["part"] << 32) | number, "length": 0, "symbols": [], "pairs": 0, "first": row["initial"], "last": None}, number + 1
-                    take = min(left, RUN - held["length"])
+                    take = min(left, most - held["length"])
                     symbols = np.full(take, GONE, np.uint8)
                     if at_first:
                         symbols[0] = symbol
@@ -117,8 +118,7 @@ def _composed(runs: DataFrame) -> DataFrame:
     schema = f"conv {dict(runs.dtypes)['conv']}, run long, after long, state long, cost long, pairs long, ending string"
     types = _arrow(runs.sparkSession, schema)
 
-    def compose(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: r["run"])
+    def compose(rows: list[dict]) -> list[dict]:
         vectors = _tables().vectors
         cost, after = 0, 0
         for r in reversed(rows):
@@ -136,9 +136,22 @@ def _composed(runs: DataFrame) -> DataFrame:
         while vectors[0][state]:
             ending += MADE[state]
             state = NEXT[state, MADE[state]]
-        return pa.Table.from_pylist([*out, {"conv": rows[0]["conv"], "cost": cost, "pairs": pairs, "ending": ending}], schema=types)
+        return [*out, {"conv": rows[0]["conv"], "cost": cost, "pairs": pairs, "ending": ending}]
 
-    return runs.groupBy("conv").applyInArrow(compose, schema)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if held and held[0]["conv"] != row["conv"]:
+                    out += compose(held)
+                    held = []
+                held.append(row)
+            yield pa.RecordBatch.from_pylist(out, schema=types)
+        if held:
+            yield pa.RecordBatch.from_pylist(compose(held), schema=types)
+
+    return runs.repartition("conv").sortWithinPartitions("conv", "run").mapInArrow(lean(each), schema)
 
 
 @functools.cache

@@ -115,12 +115,12 @@ def _blocks(docs: DataFrame, a: str, b: str, pattern: str, id_col: str, text_col
     """A row a block: ids, counts and groups (or their digests) of its documents, and a run of records for each radix."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"ids array<{dict(rows.dtypes)['id']}>, n_a array<long>, n_b array<long>, n_groups array<long>, groups array<string>, runs array<binary>"
-    shared = docs.sparkSession.sparkContext.broadcast((a, b, pattern))
+    shared, size = docs.sparkSession.sparkContext.broadcast((a, b, pattern)), BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(*shared.value)
         for batch in batches:
-            for at, texts in slices(batch.column(1), BLOCK):
+            for at, texts in slices(batch.column(1), size):
                 counts, groups, keys, places, n = aligned(pair, texts)
                 if not with_groups:
                     groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
@@ -135,7 +135,7 @@ def _blocks(docs: DataFrame, a: str, b: str, pattern: str, id_col: str, text_col
 
 def _counts(blocks: DataFrame) -> DataFrame:
     """``radix, run``: the counts of all pairs, one run a radix, merged where the records lie and then in a tree."""
-    schema = "part long, radix int, run binary"
+    schema, most = "part long, radix int, run binary", HELD
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[bytes]] = [[] for _ in range(RADIX)]
