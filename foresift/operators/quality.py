@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foresift.operators import adaptive_window
 
 def violations(rows: DataFrame, spec: dict[str, dict]) -> DataFrame:
     """``column, rule, n_bad`` of declared rules (dtype, nonnull, min, max, in), all counted in one pass; a missing column or another type is one violation."""
@@ -72,22 +73,9 @@ def page_hinkley(rows: DataFrame, delta: float = 0.005, most: float = 50.0) -> D
     return rows.withColumn("fired", F.col("excess") > most).drop("sum")
 
 
-def adwin_first_alarm(rows: DataFrame, delta: float = 0.002, reach: int | None = None) -> DataFrame:
-    """``key, t, cut`` of ``key, t, x``: the first row where the mean before some cut and that after it differ too much.
-
-    With n rows so far and parts of n0 and n1 rows, at least two each, the bound is
-    sqrt((1 / (2 n0) + 1 / (2 n1)) ln(4 n / delta)). Keys without an alarm have no row. Every row meets all cuts before
-    it; ``reach`` keeps to cuts that many rows back, for long streams.
-    """
-    by = Window.partitionBy("key").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    sums = rows.select("key", "t", F.count("*").over(by).alias("n"), F.sum("x").over(by).alias("s"))
-    cuts = sums.select(F.col("key").alias("k"), F.col("n").alias("n0"), F.col("s").alias("s0"))
-    near = (F.col("k") == F.col("key")) & (F.col("n0") >= 2) & (F.col("n0") <= F.col("n") - 2)
-    both = sums.join(cuts, near if reach is None else near & (F.col("n0") >= F.col("n") - reach))
-    n1 = F.nullif(F.col("n") - F.col("n0"), F.lit(0))  # the bound may be evaluated before the join's condition
-    eps = F.sqrt((1 / (2 * F.col("n0")) + 1 / (2 * n1)) * F.log(4 * F.col("n") / delta))
-    hits = both.where(F.abs(F.col("s0") / F.col("n0") - (F.col("s") - F.col("s0")) / n1) >= eps)
-    return hits.groupBy("key").agg(F.min(F.struct("t", F.col("n0").alias("cut"))).alias("x")).select("key", "x.t", "x.cut")
+def adwin_first_alarm(rows: DataFrame, delta: float = 0.002) -> DataFrame:
+    """``key, t, cut`` of ``key, t, x``: the first row at which the adaptive window drops values, and how many (see ``adaptive_window``). Keys without an alarm have no row."""
+    return adaptive_window.first_alarm(rows, delta)
 
 
 def evaluate(ref: DataFrame, cur: DataFrame, nominal: float, most_mae: float | None = None, tolerance: float = 0.05, serious: float = 0.25, delta: float = 0.005, most: float = 50.0, adwin: float = 0.002, covariates: DataFrame | None = None) -> DataFrame:

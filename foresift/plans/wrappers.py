@@ -51,8 +51,14 @@ def stacking_ridge2(spark, sf_dir):
 
 
 _ERR = """SELECT model || '/' || series_id AS feature, row_number() OVER (PARTITION BY model, series_id ORDER BY fold, h) AS t, y_true - y_pred AS x, y_true BETWEEN lo AND hi AS inside, fold < 4 AS ref FROM fc"""
-_FIRST = f"""SELECT a.feature AS key, min(a.n)::BIGINT AS t FROM (SELECT *, sum(x) OVER w AS s, count(*) OVER w AS n FROM (SELECT feature, t, abs(x) AS x FROM ({_ERR}) WHERE NOT ref) WINDOW w AS (PARTITION BY feature ORDER BY t)) a
-  JOIN (SELECT *, sum(x) OVER w AS s, count(*) OVER w AS n FROM (SELECT feature, t, abs(x) AS x FROM ({_ERR}) WHERE NOT ref) WINDOW w AS (PARTITION BY feature ORDER BY t)) b ON a.feature = b.feature AND b.n >= 2 AND b.n <= a.n - 2
+_SUMS = f"SELECT *, sum(x) OVER w AS s, count(*) OVER w AS n FROM (SELECT feature, t, abs(x) AS x FROM ({_ERR}) WHERE NOT ref) WINDOW w AS (PARTITION BY feature ORDER BY t)"
+# Until the first alarm the number of values alone tells where the buckets end: level j has a_j = max(0, (a_{j-1} - 4) // 2) merges of level j - 1, and as many buckets fewer twice over.
+_FIRST = f"""SELECT a.feature AS key, min(a.n)::BIGINT AS t FROM ({_SUMS}) a JOIN (
+  SELECT n, n - base - i * (1 << j) AS n0 FROM (WITH RECURSIVE levels AS (
+    SELECT DISTINCT n, 0 AS j, n AS a, 0::BIGINT AS base FROM ({_SUMS}) UNION ALL
+    SELECT n, j + 1, (a - 4) // 2, base + (a - 2 * ((a - 4) // 2)) * (1 << j) FROM levels WHERE a >= 6) SELECT * FROM levels) l,
+    range(1, 7) r(i) WHERE i <= a - 2 * greatest((a - 4) // 2, 0)) c ON c.n = a.n AND c.n0 >= 2 AND c.n0 <= a.n - 2
+  JOIN ({_SUMS}) b ON a.feature = b.feature AND b.n = c.n0
   WHERE abs(b.s / b.n - (a.s - b.s) / (a.n - b.n)) >= sqrt((1 / (2 * b.n) + 1 / (2 * (a.n - b.n))) * ln(4 * a.n / 0.002::DOUBLE)) GROUP BY 1"""
 
 

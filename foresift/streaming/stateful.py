@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from foresift.operators.adaptive_window import Buckets, advance
+
 
 def _fold(rows: DataFrame, keys: list[str], adds: str, state: str, start: tuple, step: Callable[[tuple, dict], tuple[tuple, tuple]]) -> DataFrame:
     """Runs ``step(state, row) -> state, added values`` over each key's rows."""
@@ -55,30 +57,17 @@ def page_hinkley(rows: DataFrame, delta: float = 0.005, most: float = 50.0) -> D
     return _fold(rows, ["key"], "excess double, fired boolean", "n long, total double, drift double, least double", (0, 0.0, 0.0, 0.0), step)
 
 
-def adwin(rows: DataFrame, delta: float = 0.002, most: int = 512) -> DataFrame:
-    """Adds ``drift`` to ``key, t, x``: some cut of the window has means too far apart on its sides; the older part goes.
-
-    The window keeps the last ``most`` values. Null x changes nothing.
-    """
+def adwin(rows: DataFrame, delta: float = 0.002) -> DataFrame:
+    """Adds ``drift`` to ``key, t, x``: the adaptive window dropped its older part, as adaptive_window.adwin does; the state is its buckets. Null x changes nothing."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", drift boolean"
 
-    def step(s, row):
-        import numpy as np
+    def run(_key: tuple, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        state = Buckets(*held.get) if held.exists else Buckets()
+        batch = pd.concat(list(parts)).sort_values("t", kind="stable")
+        yield batch.assign(drift=advance(state, batch["x"].to_numpy(float, na_value=float("nan")), delta) > 0)
+        held.update((state.sizes, state.sums))
 
-        window = list(s[0])
-        if pd.isna(row["x"]):
-            return (window,), (False,)
-        window = [*window, float(row["x"])][-most:]
-        n = len(window)
-        if n >= 4:
-            n0 = np.arange(2, n - 1)
-            before = np.cumsum(window)[n0 - 1]
-            apart = np.abs(before / n0 - (sum(window) - before) / (n - n0))
-            hits = np.flatnonzero(apart >= np.sqrt((1 / (2 * n0) + 1 / (2 * (n - n0))) * np.log(4 * n / delta)))
-            if len(hits):
-                return (window[n0[hits[0]] :],), (True,)
-        return (window,), (False,)
-
-    return _fold(rows, ["key"], "drift boolean", "window array<double>", ([],), step)
+    return rows.groupBy("key").applyInPandasWithState(run, schema, "sizes array<long>, sums array<double>", "append", "NoTimeout")
 
 
 def champion(rows: DataFrame, window: int = 168, burn_in: int = 24) -> DataFrame:
