@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from foresift.functions.special import z
 from foresift.operators.folds import Protocol, splits, steps
+from foresift.operators.intermittent import smoothed
 
 
 def by_series():
@@ -75,34 +76,9 @@ def backtest(panel: DataFrame, p: Protocol, alpha: float = 0.1) -> DataFrame:
 
 
 def intermittent(panel: DataFrame, folds: DataFrame, alpha: float = 0.1, agg: int = 7, alpha_agg: float = 0.2) -> DataFrame:
-    """Croston, its bias-corrected variant, TSB and ADIDA: ``model, series_id, fold, y_pred``, flat over the horizon.
-
-    Exponential smoothing has closed-form weights: the k-th of K values weighs a(1-a)^(K-k), the start (1-a)^K. So each
-    is a sum over the training rows of each fold.
-    """
-    rows = panel.join(folds, "series_id").where((F.col("t") >= F.col("tr_lo")) & (F.col("t") < F.col("te"))).withColumn("i", F.col("t") - F.col("tr_lo"))
-    key = Window.partitionBy("series_id", "fold")
-    hits = rows.where("y > 0").withColumns({"k": F.row_number().over(key.orderBy("i")) - 1, "n": F.count("*").over(key), "gap": F.col("i") - F.lag("i", 1, -1).over(key.orderBy("i"))})
-    w = lambda a, k, n: F.when(k == 0, F.pow(F.lit(1 - a), n.cast("double"))).otherwise(a * F.pow(F.lit(1 - a), (n - k).cast("double")))
-    weight = w(alpha, F.col("k"), F.col("n") - 1)
-    smooth = hits.groupBy("series_id", "fold").agg(F.sum(weight * F.col("y")).alias("size"), F.sum(weight * F.col("gap")).alias("gap"), F.min("i").alias("first"))
-    # TSB: the probability starts at the first demand with 1 and moves at every step, the size at demands only
-    since = rows.join(smooth.select("series_id", "fold", "first"), ["series_id", "fold"]).where("i >= first")
-    n_all = F.col("te") - F.col("tr_lo") - F.col("first") - 1
-    chance = since.groupBy("series_id", "fold").agg(F.sum(F.when(F.col("y") > 0, w(alpha, F.col("i") - F.col("first"), n_all)).otherwise(0.0)).alias("p"))
-    pad = (agg - (F.col("te") - F.col("tr_lo")) % agg) % agg
-    buckets = rows.groupBy("series_id", "fold", "te", "tr_lo", F.floor((F.col("i") + pad) / agg).alias("b")).agg(F.sum("y").alias("v"))
-    n_b = F.ceil((F.col("te") - F.col("tr_lo")) / agg)
-    adida = buckets.groupBy("series_id", "fold").agg((F.sum(w(alpha_agg, F.col("b"), n_b - 1) * F.col("v")) / agg).alias("adida"))
-    every = folds.select("series_id", "fold").join(smooth, ["series_id", "fold"], "left").join(chance, ["series_id", "fold"], "left").join(adida, ["series_id", "fold"], "left")
-    croston = F.coalesce(F.col("size") / F.greatest(F.col("gap"), F.lit(1.0)), F.lit(0.0))
-    models = F.array(
-        F.struct(F.lit("croston").alias("model"), croston.alias("y_pred")),
-        F.struct(F.lit("croston_sba").alias("model"), (croston * (1 - alpha / 2)).alias("y_pred")),
-        F.struct(F.lit("tsb").alias("model"), F.coalesce(F.col("p") * F.col("size"), F.lit(0.0)).alias("y_pred")),
-        F.struct(F.lit("adida").alias("model"), F.coalesce("adida", F.lit(0.0)).alias("y_pred")),
-    )
-    return every.select("series_id", "fold", F.inline(models)).select("model", "series_id", "fold", "y_pred")
+    """Croston, its bias-corrected variant, TSB and ADIDA: ``model, series_id, fold, y_pred``, flat over the horizon (see ``operators.intermittent``)."""
+    found = smoothed(panel, folds, alpha, agg, alpha_agg)
+    return found.select("series_id", "fold", F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("y_pred")) for m in ("croston", "croston_sba", "tsb", "adida")]))).select("model", "series_id", "fold", "y_pred")
 
 
 def seasonal_ar1(panel: DataFrame, p: Protocol) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foresift.functions import metrics as M
 from foresift.functions.special import norm_cdf, norm_pdf
-from foresift.operators import compare, features, folds, forecasters
+from foresift.operators import compare, features, folds, forecasters, intermittent
 from foresift.operators.folds import HOURLY, ROLLING, WEEKLY
 from foresift.plans.common import query, sql_norm_cdf
 from foresift.sources import panels
@@ -137,6 +137,20 @@ def _intermittent(name: str, expr: str) -> None:
         return out.where(F.col("model") == name).select("series_id", "fold", R6("y_pred").alias("y_pred"))
 
 
+_ALL = " UNION ALL ".join(f"SELECT '{m}' AS model, series_id, fold, te, coalesce({e}, 0.0::DOUBLE) AS p, sigma FROM every" for m, e in (("croston", "size / greatest(gap, 1)"), ("croston_sba", "size / greatest(gap, 1) * 0.95::DOUBLE"), ("tsb", "p * size"), ("adida", "adida")))
+
+
+@query("intermittent_bands", _intermittent_sql("0").split(" SELECT f.series_id, f.fold, round(")[0] + f""", every AS (
+  SELECT f.series_id, f.fold, f.te, size, gap, p, adida, coalesce(sigma, 0) AS sigma FROM wsplits f LEFT JOIN smooth USING (series_id, fold) LEFT JOIN chance USING (series_id, fold) LEFT JOIN ad USING (series_id, fold)
+  LEFT JOIN (SELECT series_id, fold, stddev_pop(y) AS sigma FROM rows GROUP BY 1, 2) USING (series_id, fold))
+SELECT model, series_id, fold, h::BIGINT AS h, round(p, 5) AS y_pred, round(greatest(p - 1.6448536269514715::DOUBLE * sigma * sqrt(h), 0), 5) AS lo, round(p + 1.6448536269514715::DOUBLE * sigma * sqrt(h), 5) AS hi FROM ({_ALL}), range(1, 9) r(h))""")
+def intermittent_bands(spark, sf_dir):
+    """All four models with their bands at each step, from one pass over the panel."""
+    panel = panels.weekly_parts(spark, sf_dir)
+    out = intermittent.intermittent(panel, folds.splits(panel, WEEKLY), WEEKLY.horizon)
+    return out.select("model", "series_id", "fold", "h", *[F.round(c, 5).alias(c) for c in ("y_pred", "lo", "hi")])
+
+
 for _name, _expr in (("croston", "size / greatest(gap, 1)"), ("croston_sba", "size / greatest(gap, 1) * 0.95::DOUBLE"), ("tsb", "p * size"), ("adida", "adida")):
     _intermittent(_name, _expr)
 
