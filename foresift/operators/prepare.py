@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foresift.operators import local_level
+
 
 def _by():
     return Window.partitionBy("series_id").orderBy("t")
@@ -115,55 +117,16 @@ def since_changepoint(panel: DataFrame, points: DataFrame) -> DataFrame:
     return marked.withColumn("since_changepoint", F.coalesce(F.floor(F.timestamp_diff("SECOND", last, F.col("ds")) / 86400), F.lit(0)).cast("long")).drop("cp")
 
 
-def _smoothed(y, ratios):
-    """The smoothed local level of one series: random walk plus noise, the ratio of their variances by likelihood."""
-    import numpy as np
-
-    known = ~np.isnan(y)
-    n = int(known.sum())
-    if n < 2:
-        return np.where(known, y, np.nan if n == 0 else y[known][0])
-    best = None
-    for q in ratios:
-        level, var = np.empty(len(y)), np.empty(len(y))
-        a, p, loglik, scale = y[known][0], 1e7, 0.0, 0.0
-        for t, v in enumerate(y):
-            if known[t]:
-                f = p + 1
-                if p < 1e6:  # the first value only sets the level
-                    loglik += np.log(f)
-                    scale += (v - a) ** 2 / f
-                a, p = a + p / f * (v - a), p / f
-            level[t], var[t] = a, p
-            p += q
-        deviance = loglik + (n - 1) * np.log(max(scale / (n - 1), 1e-300))
-        if best is None or deviance < best[0]:
-            best = deviance, q, level, var
-    _, q, level, var = best
-    for t in range(len(y) - 2, -1, -1):
-        level[t] += var[t] / (var[t] + q) * (level[t + 1] - level[t])
-    return level
-
-
 def fill_kalman(panel: DataFrame, ratios: tuple[float, ...] = (0.001, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 100.0)) -> DataFrame:
     """Gaps take the smoothed local level of the series; series without gaps, or without any value, stay as they are.
 
-    The signal-to-noise ratio with the highest likelihood of ``ratios`` is taken. One task reads one series.
+    The signal-to-noise ratio with the highest likelihood of ``ratios`` is taken (see ``local_level``).
     """
-    gaps = panel.groupBy("series_id").agg(F.count_if(F.col("y").isNull()).alias("gaps"))
-    marked = panel.join(gaps, "series_id")
-
-    def fill(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values("t")
-        y = pdf["y"].to_numpy(dtype=float, copy=True)
-        level = _smoothed(y, ratios)
-        pdf["y"] = np.where(np.isnan(y), level, y)
-        return pdf
-
-    filled = marked.where("gaps > 0").drop("gaps").groupBy("series_id").applyInPandas(fill, panel.schema)
-    return filled.withColumn("y", F.when(~F.isnan("y"), F.col("y"))).unionByName(marked.where("gaps = 0").drop("gaps"))
+    gaps = panel.where("y IS NULL").select("series_id").distinct()
+    levels = local_level.smoothed(panel.join(gaps, "series_id", "left_semi"), ratios)
+    own = levels.select(F.col("series_id").alias("s"), F.col("t").alias("u"), "level")
+    filled = panel.join(own, (F.col("series_id") == F.col("s")) & (F.col("t") == F.col("u")), "left")
+    return filled.withColumn("y", F.coalesce("y", "level")).select(*panel.columns)
 
 
 FILLS = {"kalman": lambda p, m: fill_kalman(p), "seasonal": fill_seasonal, "forward": lambda p, m: fill_forward(p), "zero": lambda p, m: fill_zero(p), "linear": lambda p, m: interpolate(p)}

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from itertools import groupby
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -19,7 +21,7 @@ def folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return Path(tempfile.mkdtemp(prefix="spark-")).as_uri()
 
@@ -86,17 +88,23 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
 def alert_sink(alerts: DataFrame, path: str, checkpoint: str, deliver: Callable[[list[dict]], None] | None = None, most: int = 1000):
     """Starts a stream of alerts into a table, by batch; a batch that is written again after a failure replaces itself.
 
-    ``deliver`` gets up to ``most`` alerts of a batch as dictionaries. If it fails, the batch is still stored, with
-    ``delivered`` false.
+    ``deliver`` gets all alerts of a batch as dictionaries, up to ``most`` at a time, of which the driver holds no more.
+    Where it fails, those alerts are still stored, with ``delivered`` false, and the others go on. A batch that runs again
+    after a failure delivers again. Without ``deliver`` nothing counts as delivered.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        told = deliver is not None
+        rows = batch.withColumn("_chunk", F.floor(F.monotonically_increasing_id() / most))
+        failed: list[int] = []
         if deliver is not None:
-            try:
-                deliver([r.asDict(recursive=True) for r in batch.limit(most).collect()])
-            except Exception:  # whatever the user's callback raises must not stop the stream
-                told = False
-        _put(batch.withColumns({"delivered": F.lit(told), "batch": F.lit(number)}), path, "batch")
+            rows = kept(rows)  # chunks are told apart once, whatever is read again
+            for chunk, found in groupby(rows.sort("_chunk").toLocalIterator(), key=lambda r: r["_chunk"]):
+                try:
+                    deliver([{k: v for k, v in r.asDict(recursive=True).items() if k != "_chunk"} for r in found])
+                except Exception:  # whatever the user's callback raises must not stop the stream
+                    failed.append(chunk)
+        lost = batch.sparkSession.createDataFrame([(c,) for c in failed], "_failed long")
+        told = rows.join(lost, F.col("_chunk") == F.col("_failed"), "left").withColumn("delivered", F.col("_failed").isNull() & F.lit(deliver is not None))
+        _put(told.drop("_chunk", "_failed").withColumn("batch", F.lit(number)), path, "batch")
 
     return alerts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

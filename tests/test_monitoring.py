@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foresift.operators import prepare, quality
+from foresift.operators import local_level, prepare, quality
 from foresift.sources import store
 
 
@@ -58,13 +58,54 @@ def test_fill_kalman(spark):
     assert low - 1 <= found["walk"][10] <= high + 1 and abs(found["walk"][50] - (walk[49] + walk[51]) / 2) < 0.5
 
 
-def test_local_level_is_the_posterior_mean():
+@pytest.mark.parametrize("block", [local_level.BLOCK, 3])
+def test_local_level_is_the_posterior_mean(spark, block):
     """Against the dense normal equations of the walk, for one ratio."""
     y, q = np.array([1.0, np.nan, 4.0, 2.0, np.nan, np.nan, 7.0]), 0.7
     known = ~np.isnan(y)
     d = np.diff(np.eye(len(y)), axis=0)
     want = np.linalg.solve(np.diag(known.astype(float)) + d.T @ d / q, np.where(known, y, 0))
-    assert prepare._smoothed(y, (q,)) == pytest.approx(want, abs=1e-5)
+    rows = panel(spark, {"a": [None if np.isnan(v) else v for v in y]})
+    got = {r["t"]: r["level"] for r in local_level.smoothed(rows, (q,), block).collect()}
+    assert got == pytest.approx({t: want[t] for t in (1, 4, 5)}, abs=1e-5)
+
+
+def filtered(y, ratios):
+    """The filter and the smoother value by value."""
+    known, best = ~np.isnan(y), None
+    for q in ratios:
+        level, var, a, p, deviance, scale = [], [], y[known][0], 1e7, 0.0, 0.0
+        for v, k in zip(y, known, strict=True):
+            if k:
+                if p < 1e6:
+                    deviance, scale = deviance + np.log(p + 1), scale + (v - a) ** 2 / (p + 1)
+                a, p = a + p / (p + 1) * (v - a), p / (p + 1)
+            level.append(a)
+            var.append(p)
+            p += q
+        n = known.sum()
+        deviance += (n - 1) * np.log(max(scale / (n - 1), 1e-300))
+        if best is None or deviance < best[0]:
+            best = deviance, q, level, var
+    _, q, level, var = best
+    for t in range(len(y) - 2, -1, -1):
+        level[t] += var[t] / (var[t] + q) * (level[t + 1] - level[t])
+    return np.array(level)
+
+
+@pytest.mark.parametrize("block", [local_level.BLOCK, 13, 64])
+def test_local_level_by_blocks(spark, block):
+    rng, ratios = np.random.default_rng(6), (0.01, 0.1, 1.0, 10.0)
+    series = {f"s{k}": np.cumsum(rng.normal(0, walk, 150)) + rng.normal(0, noise, 150) for k, (walk, noise) in enumerate(((1, 0.2), (0.1, 1), (0, 1), (1, 1)))}
+    for y in series.values():
+        y[rng.random(150) < 0.3] = np.nan
+        y[20:40] = np.nan
+    series["s0"][:15] = np.nan
+    series["s1"][-15:] = np.nan
+    rows = panel(spark, {k: [None if np.isnan(v) else v for v in y] for k, y in series.items()})
+    got = {(r["series_id"], r["t"]): r["level"] for r in local_level.smoothed(rows, ratios, block).collect()}
+    want = {(k, t): v for k, y in series.items() for t, v in enumerate(filtered(y, ratios)) if np.isnan(y[t])}
+    assert got == pytest.approx(want, abs=1e-6)
 
 
 @pytest.mark.parametrize("fill", sorted(prepare.FILLS))
@@ -127,3 +168,21 @@ def test_alert_sink(spark, tmp_path, fails):
     store.alert_sink(stream, str(tmp_path / "out"), str(tmp_path / "ck"), deliver).trigger(availableNow=True).start().awaitTermination(60)
     assert told == [{"feature": "a", "alert": "psi"}]
     assert [r["delivered"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [not fails]
+
+
+def test_alerts_beyond_one_call(spark, tmp_path):
+    """2,500 alerts of one batch, of which the second call fails: the others are delivered, and each row says so."""
+    spark.range(2500).select(F.col("id").cast("string").alias("feature")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    told, calls = [], []
+
+    def deliver(rows):
+        calls.append(len(rows))
+        if len(calls) == 2:
+            raise OSError("unreachable")
+        told.extend(r["feature"] for r in rows)
+
+    stream = spark.readStream.schema("feature string").parquet(str(tmp_path / "in"))
+    store.alert_sink(stream, str(tmp_path / "out"), str(tmp_path / "ck"), deliver).trigger(availableNow=True).start().awaitTermination(60)
+    kept = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(kept) == 2500 and len(calls) == 3 and max(calls) <= 1000
+    assert {r["feature"] for r in kept if r["delivered"]} == set(told) and len(told) == 2500 - calls[1]
