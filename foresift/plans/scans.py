@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foresift.operators import autoregression, segments
+from foresift.operators import autoregression, quantile_trees, segments
 from foresift.operators.folds import HOURLY
 from foresift.plans.common import query
 from foresift.sources import panels
@@ -50,3 +50,10 @@ def seasonal_ar(spark, sf_dir):
     """Orders up to five by AIC, with intervals."""
     rows = autoregression.seasonal_ar(panels.filled_hourly(spark, sf_dir), HOURLY)
     return rows.select("series_id", "fold", "h", *[F.round(c, 3).alias(c) for c in ("y_pred", "lo", "hi")], "order")
+
+
+@query("gbt_quantiles")
+def gbt_quantiles(spark, sf_dir):
+    """Forecast and 90 % band from boosted trees at three levels, fitted anew for every fold."""
+    rows = quantile_trees.forecast(panels.filled_hourly(spark, sf_dir), HOURLY)
+    return rows.select("series_id", "fold", "h", "t", *[F.round(F.get("quantiles", k), 6).alias(c) for k, c in ((1, "y_pred"), (0, "lo"), (2, "hi"))])
