@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foresift.operators import autoregression, quantile_trees, segments
+from foresift.operators import autoregression, forecasters, quantile_trees, segments, stacking
 from foresift.operators.folds import HOURLY
+from foresift.plans.backtests import forecasts
 from foresift.plans.common import query
 from foresift.sources import panels
 
@@ -57,3 +58,51 @@ def gbt_quantiles(spark, sf_dir):
     """Forecast and 90 % band from boosted trees at three levels, fitted anew for every fold."""
     rows = quantile_trees.forecast(panels.filled_hourly(spark, sf_dir), HOURLY)
     return rows.select("series_id", "fold", "h", "t", *[F.round(F.get("quantiles", k), 6).alias(c) for k, c in ((1, "y_pred"), (0, "lo"), (2, "hi"))])
+
+
+MEMBERS = ("recent_median", "seasonal_naive", "trend_profile")
+_X = """SELECT a.series_id, a.fold, a.h, a.y_true AS y, [m.m, a.y_pred, b.y_pred] AS x FROM fc a JOIN fc b ON b.series_id = a.series_id AND b.fold = a.fold AND b.h = a.h AND b.model = 'trend_profile'
+  JOIN (SELECT s.series_id, s.fold, quantile_cont(y, 0.5) AS m FROM splits s JOIN ehour e ON e.series_id = s.series_id AND t < te AND t >= te - 8 GROUP BY 1, 2) m ON m.series_id = a.series_id AND m.fold = a.fold WHERE a.model = 'seasonal_naive'"""
+
+
+def _members(spark, sf_dir):
+    """Both base models and the median of the last values."""
+    panel = panels.filled_hourly(spark, sf_dir)
+    flat = forecasters.recent_median(panel, HOURLY).join(panel.select("series_id", "t", F.col("y").alias("y_true")), ["series_id", "t"])
+    return forecasts(spark, sf_dir).select("model", "series_id", "fold", "h", "y_true", "y_pred").unionByName(flat.select(F.lit("recent_median").alias("model"), "series_id", "fold", "h", "y_true", "y_pred"))
+
+
+@query("stacking_lasso", f"""SELECT * FROM (WITH RECURSIVE x AS MATERIALIZED ({_X}), e AS MATERIALIZED (
+  SELECT f.series_id, f.fold, k, j, count(*) AS n, avg(y) AS my, avg(x[k]) AS mx, avg(x[k] * y) - avg(x[k]) * avg(y) AS c, avg(x[k] * x[j]) - avg(x[k]) * avg(x[j]) AS g
+  FROM splits f JOIN x ON x.series_id = f.series_id AND x.fold < f.fold, range(1, 4) a(k), range(1, 4) b(j) GROUP BY 1, 2, 3, 4
+), m AS MATERIALIZED (SELECT series_id, fold, any_value(my) AS my, list(mx ORDER BY k) AS mx, list(c ORDER BY k) AS c, list(g ORDER BY k) AS g FROM (
+  SELECT series_id, fold, k, any_value(my) AS my, any_value(mx) AS mx, any_value(c) AS c, list(g ORDER BY j) AS g FROM e GROUP BY 1, 2, 3) GROUP BY 1, 2
+), b AS (
+  SELECT series_id, fold, 0 AS i, [0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE] AS w, c, g FROM m UNION ALL
+  SELECT series_id, fold, i + 1, list_transform([1, 2, 3], lambda k: CASE WHEN k <> j THEN w[k] WHEN g[j][j] > 1e-9 THEN sign(rest) * greatest(abs(rest) - 1, 0) / g[j][j] ELSE 0 END), c, g FROM (
+    SELECT *, c[j] - list_sum(list_transform([1, 2, 3], lambda k: g[j][k] * w[k])) + g[j][j] * w[j] AS rest FROM (SELECT *, i % 3 + 1 AS j FROM b WHERE i < 120))
+) SELECT x.series_id, x.fold, x.h, round(my + list_sum(list_transform([1, 2, 3], lambda k: w[k] * (x.x[k] - mx[k]))), 4) AS y_pred FROM x JOIN m ON m.series_id = x.series_id AND m.fold = x.fold JOIN b ON b.series_id = x.series_id AND b.fold = x.fold AND b.i = 120)""")
+def stacking_lasso(spark, sf_dir):
+    rows = stacking.lasso(_members(spark, sf_dir), MEMBERS)
+    return rows.select("series_id", "fold", "h", F.round("y_pred", 4).alias("y_pred"))
+
+
+def _level(of: str) -> str:
+    """A level of the tree in SQL: rows of ``of`` with the node that the best split puts them in."""
+    cells = f"SELECT series_id, fo, node, k, b[k] AS bin, count(*) AS n, sum(e) AS s FROM {of}, range(1, 4) r(k) WHERE fold < fo GROUP BY 1, 2, 3, 4, 5"
+    cuts = f"SELECT *, sum(n) OVER u AS cn, sum(s) OVER u AS cs, sum(n) OVER w AS tn, sum(s) OVER w AS ts FROM ({cells}) WINDOW w AS (PARTITION BY series_id, fo, node, k), u AS (PARTITION BY series_id, fo, node, k ORDER BY bin)"
+    gain = "round(cs ^ 2 / cn + (ts - cs) ^ 2 / (tn - cn) - ts ^ 2 / tn, 4)"
+    best = f"SELECT series_id, fo, node, max({{gain: {gain}, k: -k, bin: -bin}}) AS best FROM ({cuts}) WHERE cn >= 8 AND tn - cn >= 8 AND {gain} > 0 GROUP BY 1, 2, 3"
+    return f"SELECT t.* EXCLUDE (node), t.node * 2 + CASE WHEN best IS NOT NULL AND b[-best.k] > -best.bin THEN 1 ELSE 0 END AS node FROM {of} t LEFT JOIN ({best}) s ON s.series_id = t.series_id AND s.fo = t.fo AND s.node = t.node"
+
+
+@query("stacking_tree", f"""SELECT * FROM (WITH x AS MATERIALIZED ({_X}), edges AS MATERIALIZED (
+  SELECT series_id, fo, list(lo ORDER BY k) AS lo, list(hi ORDER BY k) AS hi FROM (SELECT f.series_id, f.fold AS fo, k, min(x[k]) AS lo, max(x[k]) AS hi FROM splits f JOIN x ON x.series_id = f.series_id AND x.fold < f.fold, range(1, 4) r(k) GROUP BY 1, 2, 3) GROUP BY 1, 2
+), t0 AS MATERIALIZED (SELECT x.series_id, x.fold, x.h, d.fo, x.y - list_sum(x.x) / 3 AS e, list_sum(x.x) / 3 AS mean, 1::BIGINT AS node,
+    list_transform([1, 2, 3], lambda k: CASE WHEN hi[k] > lo[k] THEN least(greatest(floor((x.x[k] - lo[k]) / (hi[k] - lo[k]) * 8), 0), 7) ELSE 0 END) AS b
+  FROM x JOIN edges d ON d.series_id = x.series_id AND x.fold <= d.fo
+), t1 AS MATERIALIZED ({_level("t0")}), t2 AS MATERIALIZED ({_level("t1")})
+SELECT t.series_id, t.fold, t.h, round(t.mean + coalesce(move, 0), 4) AS y_pred, t.node AS leaf FROM t2 t LEFT JOIN (SELECT series_id, fo, node, avg(e) AS move FROM t2 WHERE fold < fo GROUP BY 1, 2, 3) v ON v.series_id = t.series_id AND v.fo = t.fo AND v.node = t.node WHERE t.fold = t.fo)""")
+def stacking_tree(spark, sf_dir):
+    rows = stacking.tree(_members(spark, sf_dir), MEMBERS)
+    return rows.select("series_id", "fold", "h", F.round("y_pred", 4).alias("y_pred"), "leaf")
