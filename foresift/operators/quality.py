@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foresift.operators import adaptive_window
+from foresift.operators import adaptive_window, ranks
+from foresift.sources.store import kept
 
 def violations(rows: DataFrame, spec: dict[str, dict]) -> DataFrame:
     """``column, rule, n_bad`` of declared rules (dtype, nonnull, min, max, in), all counted in one pass; a missing column or another type is one violation."""
@@ -24,43 +25,20 @@ def violations(rows: DataFrame, spec: dict[str, dict]) -> DataFrame:
     return rows.agg(F.array(*[F.struct(F.lit(n).alias("column"), F.lit(r).alias("rule"), x.alias("n_bad")) for n, r, x in found]).alias("x")).select(F.inline("x"))
 
 
-def _values(rows: DataFrame) -> DataFrame:
-    """Nulls and NaN are no values."""
-    return rows.where(F.col("x").isNotNull() & ~F.isnan(F.col("x").cast("double")))
-
-
 def psi(ref: DataFrame, cur: DataFrame, bins: int = 10) -> DataFrame:
     """``feature, psi`` of long tables ``feature, x``: bins by the reference's quantiles, open at the ends, shares of at least 1e-6. Nulls and NaN do not count."""
-    ref, cur = _values(ref), _values(cur)
-    edges = ref.groupBy("feature").agg(F.percentile("x", [k / bins for k in range(1, bins)]).alias("edges"))
-
-    def share(rows: DataFrame, name: str) -> DataFrame:
-        binned = rows.join(F.broadcast(edges), "feature").select("feature", F.size(F.filter("edges", lambda e: e <= F.col("x"))).alias("bin"))
-        n = binned.groupBy("feature", "bin").agg(F.count("*").alias("n"))
-        return n.select("feature", "bin", (F.col("n") / F.sum("n").over(Window.partitionBy("feature"))).alias(name))
-
-    grid = edges.select("feature", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    both = grid.join(share(ref, "p"), ["feature", "bin"], "left").join(share(cur, "q"), ["feature", "bin"], "left")
-    p, q = (F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(1e-6)) for c in ("p", "q"))
-    return both.groupBy("feature").agg(F.sum((q - p) * F.log(q / p)).alias("psi"))
+    return ranks.psi(ranks.compared(ref, cur), bins)
 
 
 def ks(ref: DataFrame, cur: DataFrame) -> DataFrame:
-    """``feature, ks, p``: the largest distance of the two distribution functions, and its asymptotic significance (1 where the series, which converges slowly there, is within 1e-9 of it). Nulls and NaN do not count."""
-    ref, cur = _values(ref), _values(cur)
-    n = ref.withColumn("a", F.lit(1)).withColumn("b", F.lit(0)).unionByName(cur.withColumn("a", F.lit(0)).withColumn("b", F.lit(1)))
-    steps = n.groupBy("feature", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    upto, every = Window.partitionBy("feature").orderBy("x"), Window.partitionBy("feature")
-    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(every) - F.sum("b").over(upto) / F.sum("b").over(every))
-    d = steps.select("feature", gap.alias("gap"), "a", "b").groupBy("feature").agg(F.max("gap").alias("ks"), F.sum("a").alias("n"), F.sum("b").alias("m"))
-    z = F.col("ks") * F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m")))
-    tail = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * F.col("z") * F.col("z")))
-    return d.withColumn("z", z).select("feature", "ks", F.when(F.col("z") < 0.2, 1.0).otherwise(F.greatest(F.least(tail, F.lit(1.0)), F.lit(0.0))).alias("p"))
+    """``feature, ks, p``: the largest distance of the two distribution functions, and its significance: exact for few values, else asymptotic. Nulls and NaN do not count."""
+    return ranks.ks(ranks.compared(ref, cur))
 
 
 def drift_report(ref: DataFrame, cur: DataFrame) -> DataFrame:
     """``feature, psi, ks, p, status``: drift above PSI 0.25 or below p 0.01, warn above PSI 0.10."""
-    both = psi(ref, cur).join(ks(ref, cur), "feature")
+    ranked = kept(ranks.compared(ref, cur))
+    both = ranks.psi(ranked).join(ranks.ks(ranked), "feature")
     status = F.when((F.col("psi") > 0.25) | (F.col("p") < 0.01), "drift").when(F.col("psi") > 0.10, "warn").otherwise("ok")
     return both.withColumn("status", status)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foresift.functions import metrics as M
 from foresift.functions.special import norm_cdf, norm_pdf
-from foresift.operators import compare, features, folds, forecasters, intermittent
+from foresift.operators import compare, features, folds, forecasters, intermittent, ranks
 from foresift.operators.folds import HOURLY, ROLLING, WEEKLY
 from foresift.plans.common import query, sql_norm_cdf
 from foresift.sources import panels
@@ -266,8 +266,9 @@ def error_by_horizon(spark, sf_dir):
 
 @query("error_dist", """SELECT model, round(quantile_cont(y_pred - y_true, 0.05), 6) AS p05, round(quantile_cont(y_pred - y_true, 0.5), 6) AS p50, round(quantile_cont(y_pred - y_true, 0.95), 6) AS p95 FROM fc GROUP BY 1""")
 def error_dist(spark, sf_dir):
-    q = F.percentile(M.p() - M.y(), F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return forecasts(spark, sf_dir).groupBy("model").agg(q.alias("q")).select("model", *[R6(F.get("q", F.lit(k))).alias(n) for k, n in enumerate(("p05", "p50", "p95"))])
+    errors = forecasts(spark, sf_dir).select(F.col("model").alias("feature"), (M.p() - M.y()).alias("x"))
+    found = ranks.percentiles(errors, [0.05, 0.5, 0.95])
+    return found.select(F.col("feature").alias("model"), *[R6(F.get("quantiles", F.lit(k))).alias(n) for k, n in enumerate(("p05", "p50", "p95"))])
 
 
 _D = """SELECT series_id, fold, h, row_number() OVER (ORDER BY series_id, fold, h) AS i, abs(b.y_true - b.y_pred) - abs(a.y_true - a.y_pred) AS d
