@@ -1,10 +1,11 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text's paragraphs (lines, and pieces of longer ones that end at punctuation) are digested to 64 bits, of which some check the others. Each digest
-goes into three cells of a sketch; a cell keeps how many it holds and the XOR of the digests. Subtracting two sketches
+A text's paragraphs (lines, and pieces of longer ones that end at punctuation, by one rule however long the text is) are digested to 64 bits,
+of which some check the others. Each digest goes into three cells of a sketch; a cell keeps how many it holds and the XOR of the digests. Subtracting two sketches
 leaves the digests that only one text has. A cell that is left with one digest names it; taking it out of its other
-cells exposes more. If cells remain in the end, larger sketches are tried: the digests are dealt to blocks, each a
-sketch of its own: sorted by block once and cut there, so that work stays near proportional to the text's length.
+cells exposes more. If cells remain in the end, the digests are dealt to blocks, sorted by block once and cut there: each
+is a small sketch of its own, tried again with more cells where it does not peel, so that work stays near proportional
+to the text's length.
 """
 
 from __future__ import annotations
@@ -14,15 +15,14 @@ from pyspark.sql import functions as F
 
 from foresift.llm.common import persist
 
-#: A sketch has this many cells for each of three hashes; peeling rounds.
-THIRD, ROUNDS = 12, 12
+#: Cells of each of three hashes: of a text's sketch, of a block's, and of a block's that is tried again. Peeling rounds.
+THIRD, SMALL, LARGE, ROUNDS = 8, 4, 16, 12
 #: Bits of a digest that check the others.
 CHECK_BITS = 24
-#: Differences that a block should hold on average.
-LOAD = 18
-#: A longer line is cut at the first punctuation from so many characters on, or else after as many as the second says:
-#: in texts below so many characters, and in others. The first kind keeps a short text's likeness from being all or nothing.
-SHORT, SHORT_PIECE, PIECE = 600, (40, 120), (320, 480)
+#: Digests that a block should hold on average.
+LOAD = 5
+#: A longer line is cut at the first punctuation from so many characters on, or else after as many as the second says.
+PIECE = (60, 120)
 #: Rows that a range of ids should hold, and the largest number of ranges.
 RANGE_ROWS, MAX_RANGES = 2000, 16_384
 
@@ -42,40 +42,36 @@ def digests(text: Column) -> Column:
     def digest(piece: Column) -> Column:
         return _let(F.xxhash64(piece), lambda h: h.bitwiseAND(F.lit(-(2**CHECK_BITS))).bitwiseOR(_check(h)))
 
-    pieces = lambda low, high: F.regexp_extract_all(text, F.lit(rf"[^\n]{{{low},{high - 1}}}?[.,;:!?](?=\s|$)|[^\n]{{1,{high}}}"), F.lit(0))
-    return F.array_distinct(F.transform(F.when(F.char_length(text) < SHORT, pieces(*SHORT_PIECE)).otherwise(pieces(*PIECE)), digest))
+    low, high = PIECE
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"[^\n]{{{low},{high - 1}}}?[.,;:!?](?=\s|$)|[^\n]{{1,{high}}}"), F.lit(0)), digest))
 
 
-def _item(d: Column, n: Column) -> Column:
+def _item(d: Column, n: Column, third: int) -> Column:
     """A digest with its three cells, one of each third, from bits of its own."""
-    cell = lambda k: (F.shiftrightunsigned(d, CHECK_BITS + 7 * k).bitwiseAND(F.lit(127)) % THIRD + k * THIRD).cast("int")
+    cell = lambda k: (F.shiftrightunsigned(d, CHECK_BITS + 7 * k).bitwiseAND(F.lit(127)) % third + k * third).cast("int")
     return F.struct(d.alias("d"), n.alias("n"), cell(0).alias("c0"), cell(1).alias("c1"), cell(2).alias("c2"))
 
 
-def _items(found: Column, n: int = 1) -> Column:
-    return F.transform(found, lambda d: _item(d, F.lit(n)))
-
-
-def sketch(items: Column) -> Column:
-    """The cells of an array of items: how many are in each, ``n``, and the XOR of their digests, ``keys``."""
+def sketch(items: Column, third: int) -> Column:
+    """The cells of an array of digests ``d`` that count ``n`` times: how many are in each, ``n``, and the XOR of their digests, ``keys``."""
     cell = lambda held: F.struct(F.aggregate(held, F.lit(0), lambda n, x: n + x["n"]).alias("n"), F.aggregate(held, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x["d"])).alias("keys"))
 
-    def third(k: int) -> Column:
-        return F.transform(F.sequence(F.lit(k * THIRD), F.lit((k + 1) * THIRD - 1)), lambda c: _let(F.filter(items, lambda x: x[f"c{k}"] == c), cell))
+    def part(items: Column, k: int) -> Column:
+        return F.transform(F.sequence(F.lit(k * third), F.lit((k + 1) * third - 1)), lambda c: _let(F.filter(items, lambda x: x[f"c{k}"] == c), cell))
 
-    return F.concat(third(0), third(1), third(2))
+    return _let(F.transform(items, lambda x: _item(x["d"], x["n"], third)), lambda own: F.concat(part(own, 0), part(own, 1), part(own, 2)))
 
 
 def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["keys"].bitwiseXOR(y["keys"]).alias("keys")))
 
 
-def peel(cells: Column) -> Column:
+def peel(cells: Column, third: int) -> Column:
     """``ok, found``: the digests of a difference of two sketches; ok if all were recovered."""
     single = lambda c: (F.abs(c["n"]) == 1) & (_check(c["keys"]) == c["keys"].bitwiseAND(F.lit(2**CHECK_BITS - 1)))
 
     def step(state: Column, _: Column) -> Column:
-        out = F.array_distinct(F.transform(F.filter(state["cells"], single), lambda c: _item(c["keys"], c["n"])))
+        out = F.array_distinct(F.transform(F.filter(state["cells"], single), lambda c: _item(c["keys"], c["n"], third)))
 
         def without(c: Column, at: Column) -> Column:
             here = lambda x: (x["c0"] == at) | (x["c1"] == at) | (x["c2"] == at)
@@ -92,36 +88,33 @@ def peel(cells: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, done)
 
 
-def _blocked(a: Column, b: Column, blocks: Column) -> Column:
-    """``ok, found`` by a sketch for each of so many blocks, into which one text's digests go and the other's come out."""
-    dealt = F.transform(F.concat(_items(a, 1), _items(b, -1)), lambda x: F.struct(F.pmod(F.shiftrightunsigned(x["d"], CHECK_BITS + 21), blocks).alias("block"), x.alias("item")))
+def _difference(items: Column) -> Column:
+    """The digests of a block that only one text has: by a small sketch, by a larger one where that does not peel, else by cancelling them one by one."""
+    one = lambda side: F.transform(F.filter(items, lambda x: x["n"] == side), lambda x: x["d"])
+    exact = _let(F.struct(one(1).alias("a"), one(-1).alias("b")), lambda s: F.concat(F.array_except(s["a"], s["b"]), F.array_except(s["b"], s["a"])))
+    large = _let(peel(sketch(items, LARGE), LARGE), lambda r: F.when(r["ok"], r["found"]).otherwise(exact))
+    return _let(peel(sketch(items, SMALL), SMALL), lambda r: F.when(r["ok"], r["found"]).otherwise(large))
+
+
+def _blocked(a: Column, b: Column) -> Column:
+    """The digests that only one of two arrays has, by a sketch for each of many blocks, into which one array's digests go and the other's come out."""
+    blocks = F.greatest(F.lit(2), F.ceil((F.size(a) + F.size(b)) / LOAD)).cast("long")
+    deal = lambda found, n: F.transform(found, lambda d: F.struct(F.pmod(F.shiftrightunsigned(d, CHECK_BITS + 21), blocks).alias("block"), F.struct(d.alias("d"), F.lit(n).alias("n")).alias("item")))
 
     def each(items: Column) -> Column:
         """The blocks that have items, from items in order of block."""
         begins = lambda k: (k == 0) | ~F.get(items, k)["block"].eqNullSafe(F.get(items, k - 1)["block"])
         starts = F.concat(F.filter(F.sequence(F.lit(0), F.size(items) - 1), begins), F.array(F.size(items)))
         part = lambda s, e: F.transform(F.slice(items, s + 1, e - s), lambda x: x["item"])
-        return _let(starts, lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 2), lambda k: peel(_let(part(F.get(s, k), F.get(s, k + 1)), sketch))))
+        return _let(starts, lambda s: F.flatten(F.transform(F.sequence(F.lit(0), F.size(s) - 2), lambda k: _let(part(F.get(s, k), F.get(s, k + 1)), _difference))))
 
-    both = F.when(F.size(a) + F.size(b) > 0, _let(F.array_sort(dealt), each)).otherwise(F.array())
-    return _let(both, lambda e: F.struct(F.forall(e, lambda x: x["ok"]).alias("ok"), F.flatten(F.transform(e, lambda x: x["found"])).alias("found")))
-
-
-def _blocks(a: Column, b: Column, k: int) -> Column:
-    return _blocked(a, b, F.greatest(F.lit(2), F.ceil((F.size(a) + F.size(b)) * 2**k / LOAD)).cast("long"))
+    return F.when(F.size(a) + F.size(b) > 0, _let(F.array_sort(F.concat(deal(a, 1), deal(b, -1))), each)).otherwise(F.array().cast("array<bigint>"))
 
 
 def compare(rows: DataFrame, a: str, b: str, a_cells: str, b_cells: str, to: str) -> DataFrame:
-    """Add ``to``: the digests that only one of the arrays ``a`` and ``b`` has.
-
-    Their sketches are tried first, then blocks by the number of digests, and larger ones. Digests that agree in all
-    cells and blocks never peel; what still has such after all tries is compared digest by digest.
-    """
-    x, y = F.col(a), F.col(b)
-    rows = rows.withColumn(to, _let(peel(subtract(F.col(a_cells), F.col(b_cells))), lambda r: F.when(r["ok"], r).otherwise(_blocks(x, y, 0))))
-    exact = F.concat(F.array_except(x, y), F.array_except(y, x))
-    last = _let(_blocks(x, y, 2), lambda r: F.when(r["ok"], r["found"]).otherwise(_let(_blocks(x, y, 4), lambda q: F.when(q["ok"], q["found"]).otherwise(exact))))
-    return rows.withColumn(to, F.when(F.col(to)["ok"], F.col(to)["found"]).otherwise(last))
+    """Add ``to``: the digests that only one of the arrays ``a`` and ``b`` has: from their sketches if those peel, else from blocks."""
+    found = _let(peel(subtract(F.col(a_cells), F.col(b_cells)), THIRD), lambda r: F.when(r["ok"], r["found"]).otherwise(_blocked(F.col(a), F.col(b))))
+    return rows.withColumn(to, found)
 
 
 def likeness(n_a: Column, n_b: Column, n_different: Column) -> Column:
@@ -188,7 +181,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _compared(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumns({f"{x}_cells": _let(_items(F.col(x)), sketch) for x in "abc"})
+    rows = rows.withColumns({f"{x}_cells": sketch(F.transform(x, lambda d: F.struct(d.alias("d"), F.lit(1).alias("n"))), THIRD) for x in "abc"})
     rows = compare(rows, "a", "b", "a_cells", "b_cells", "edited_changes")
     rows = compare(rows, "a", "c", "a_cells", "c_cells", "next_changes")
     near = lambda x, changes: likeness(F.size("a"), F.size(x), F.size(changes))

@@ -1,7 +1,7 @@
 """Removal of repeated passages by windows of lines.
 
-A passage is neighbouring whole lines of ``LONG`` words or more together. At each line starts, and at each line ends,
-the shortest window of lines with so many words; which lines it takes depends on nothing but their texts. So any
+A passage is neighbouring whole lines of ``LONG`` words or more together, the first and last of which hold words. At each
+line with words starts, and at each ends, the shortest window of lines with so many words; which lines it takes depends on nothing but their texts. So any
 passage that two texts share is covered, to its first and last line, by windows that they share. Shorter runs are found
 by content-defined chunks: every line is hashed, and a rolling hash over the last two line hashes decides after which
 lines a chunk ends. Windows, and chunks of several lines, that occur again anywhere in the table are removed but for
@@ -56,6 +56,8 @@ def spans(text: str) -> list[tuple[int, int]]:
     upto = [0, *itertools.accumulate(len(line.split()) for line in text.split("\n"))]
     last = start = 0  # of the windows that start at a line, and that end at one
     for k in range(len(upto) - 1):
+        if upto[k + 1] == upto[k]:  # however many lines without words follow each other, no window starts or ends at them
+            continue
         while last < len(upto) and upto[last] - upto[k] < LONG:
             last += 1
         if last < len(upto):

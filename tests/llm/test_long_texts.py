@@ -8,7 +8,7 @@ import pytest
 from foresift.llm import fingerprints, quotes
 
 def pieces(text):
-    low, high = fingerprints.SHORT_PIECE if len(text) < fingerprints.SHORT else fingerprints.PIECE
+    low, high = fingerprints.PIECE
     return set(re.findall(rf"[^\n]{{{low},{high - 1}}}?[.,;:!?](?=\s|$)|[^\n]{{1,{high}}}", text))
 
 
@@ -55,3 +55,27 @@ def test_long_reply_chain(spark):
     rows = [(1, k, "u", (f"> message number {k - 1}\n" if k else "") + f"message number {k}") for k in range(200)]
     found = {r["turn"]: (r["reply_to"], r["thread"], r["depth"]) for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert found == {k: (k - 1 if k else None, 0, k) for k in range(200)}
+
+
+def test_shared_pieces_count_in_texts_of_any_length(spark):
+    """Half of every text stays in its edited version: the likeness is above 0 on both sides of 600 characters, and beyond."""
+    rng, rows = random.Random(9), []
+    for k in range(60):
+        text = ""
+        while len(text) < 300 + 25 * k:
+            text += " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(4, 9))) + rng.choice([". ", "! ", ".\n"])
+        rows.append((k, text))
+    for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert 0 < r["near_edited"] < 1
+
+
+def test_many_line_feeds():
+    """A passage before a million line feeds: as many windows as lines with words, not as lines."""
+    import time
+
+    from foresift.llm import line_dedup
+
+    text = "\n".join(" ".join(f"w{k}{j}" for j in range(20)) for k in range(6)) + "\n" * 1_000_000 + "the end"
+    began = time.process_time()
+    found = line_dedup.spans(text)
+    assert time.process_time() - began < 20 and len(found) < 30 and sum(n for _, n in found) < 3_000_000
