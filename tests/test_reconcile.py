@@ -25,11 +25,25 @@ def dense(found, h):
     return np.array([[at[n, t] for n in NODES] for t in range(h)])
 
 
-def shrunk(e):
-    n, s, c = len(e), np.cov(e, rowvar=False), e - e.mean(0)
-    d = np.diag(np.diag(s))
-    lam = np.clip(((c**2).T @ c**2 / n - s**2).sum() / ((s - d) ** 2).sum(), 0, 1)
-    return lam * d + (1 - lam) * s
+def shrunk(errors):
+    """From the definition, pair by pair: w_ij = (1 - k) s_ij off the diagonal, with k the summed estimation variance of all s_ij over the summed squares off the diagonal."""
+    rows, nodes = errors.shape
+    mean = [sum(errors[t, i] for t in range(rows)) / rows for i in range(nodes)]
+    pairs = {}
+    for i in range(nodes):
+        for j in range(nodes):
+            products = [(errors[t, i] - mean[i]) * (errors[t, j] - mean[j]) for t in range(rows)]
+            s = sum(products) / (rows - 1)
+            pairs[i, j] = s, sum(x * x for x in products) / rows - s * s
+    k = sum(v for _, v in pairs.values()) / sum(s * s for (i, j), (s, _) in pairs.items() if i != j)
+    k = min(max(k, 0.0), 1.0)
+    return np.array([[pairs[i, j][0] * (1 if i == j else 1 - k) for j in range(nodes)] for i in range(nodes)])
+
+
+def test_shrinkage_by_hand(spark):
+    """Three rows of two nodes: (1, 2), (-1, 0), (0, -2). s = [[1, 1], [1, 4]]; mean squared products 2/3, 4/3, 4/3, 32/3 less s^2 sum to -5: no shrinkage is left. Doubled rows keep the sign, so k = 0."""
+    e = spark.createDataFrame([("a", 0, 1.0), ("a", 1, -1.0), ("a", 2, 0.0), ("b", 0, 2.0), ("b", 1, 0.0), ("b", 2, -2.0)], "node string, ds long, e double")
+    assert {(r["i"], r["j"]): r["w"] for r in reconcile.shrunk_covariance(e).collect()} == pytest.approx({("a", "a"): 1, ("a", "b"): 1, ("b", "a"): 1, ("b", "b"): 4})
 
 
 @pytest.mark.parametrize("method", reconcile.METHODS)
