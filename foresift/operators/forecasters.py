@@ -6,6 +6,8 @@ position te - 1. So the panel is windowed once, whatever the number of folds, an
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,12 @@ def base_forecasts(panel: DataFrame, p: Protocol, alpha: float = 0.1, folds: Dat
     return out.select("model", "series_id", "fold", "te", "h", "t", "y_pred", (F.col("y_pred") - F.col("band")).alias("lo"), (F.col("y_pred") + F.col("band")).alias("hi"))
 
 
+def score(panel: DataFrame, p: Protocol, horizon: int, least: int = 10, alpha: float = 0.1) -> DataFrame:
+    """Base forecasts beyond the end of every series with ``least`` rows or more, fitted on all of it."""
+    end = panel.groupBy("series_id").agg((F.max("t") + 1).alias("te"), F.count("*").alias("n")).where(F.col("n") >= least)
+    return base_forecasts(panel, replace(p, horizon=horizon), alpha, end.select("series_id", F.lit(0).cast("long").alias("fold"), "te"))
+
+
 def recent_median(panel: DataFrame, p: Protocol, rows: int = 8) -> DataFrame:
     """``series_id, fold, te, h, t, y_pred``: the median of the last rows before the fold, for every step."""
     by = by_series().rowsBetween(-rows + 1, 0)

@@ -80,3 +80,8 @@ def evaluate(ref: DataFrame, cur: DataFrame, nominal: float, most_mae: float | N
     alerts = F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in tests]))
     retrain = F.coalesce(F.col("psi") > serious, F.lit(False)) | (off > 2 * tolerance) | late | F.col("ph_drift") | F.col("adwin_drift") | moved
     return all_.select("feature", "psi", "mae", "coverage", "ph_drift", "adwin_drift", alerts.alias("alerts"), retrain.alias("retrain"))
+
+
+def due(report: DataFrame, panel: DataFrame, series: Column) -> DataFrame:
+    """The panel's rows of the series that ``evaluate`` wants fitted again; ``series`` names a report row's series."""
+    return panel.join(report.where("retrain").select(series.alias("series_id")).distinct(), "series_id", "left_semi")
