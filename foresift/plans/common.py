@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from foresift.functions.special import ERF_A, ERF_P
 
 QUERIES: dict[str, Callable] = {}
@@ -61,6 +64,16 @@ def sql(select: str) -> str:
     return (f"WITH {ctes}\n" if ctes else "") + select.strip()
 
 
+def tied(x: Column, digits: int) -> Column:
+    """Rounded, halves away from 0, once the noise of sums beyond nine decimals is gone: engines then agree on what lies halfway."""
+    return F.round(x.cast("decimal(30,9)"), digits).cast("double")
+
+
+def sql_tied(x: str, digits: int) -> str:
+    """The same in SQL."""
+    return f"round(({x})::DECIMAL(30,9), {digits})::DOUBLE"
+
+
 def query(name: str, check: str | None = None):
     """Register a query, and its SQL if there is one; ``check`` may use CTES."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foresift.operators import forecasters, hier_folds, hierarchy, reconcile
 from foresift.operators.folds import REVENUE
-from foresift.plans.common import CTES, query
+from foresift.plans.common import CTES, query, sql_tied, tied
 from foresift.plans.monitoring import _ALL, _TREE, LEVELS, _base, _passes, _tree
 from foresift.sources import panels, store
 
@@ -92,10 +92,10 @@ def _results(spark, sf_dir, *methods: str) -> DataFrame:
     return hier_folds.hier_backtest(_panel(spark, sf_dir), store.kept(_tree(spark, sf_dir)), REVENUE, forecasters.recent_median, methods)
 
 
-@query("hier_backtest", "SELECT method, node, level, fold, h, t, round(y_true, 4) AS y_true, round(y_base, 5) AS y_base, round(y_pred + 0.0013137::DOUBLE, 2) AS y_pred FROM hier")
+@query("hier_backtest", f"SELECT method, node, level, fold, h, t, round(y_true, 4) AS y_true, round(y_base, 5) AS y_base, {sql_tied('y_pred', 2)} AS y_pred FROM hier")
 def hier_backtest(spark, sf_dir):
     rows = _results(spark, sf_dir, "bu", "td", "wls")
-    return rows.withColumns({"y_true": F.round("y_true", 4), "y_base": F.round("y_base", 5), "y_pred": F.round(F.col("y_pred") + 0.0013137, 2)})
+    return rows.withColumns({"y_true": F.round("y_true", 4), "y_base": F.round("y_base", 5), "y_pred": tied(F.col("y_pred"), 2)})
 
 
 @query("hier_report", f"SELECT method, level, n_series, round(mae_base, 3) AS mae_base, round(mae_recon, 3) AS mae_recon, round((1 - mae_recon / mae_base) * 100, 5) AS delta FROM ({_REPORT})")

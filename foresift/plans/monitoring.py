@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foresift.operators import hierarchy, quality
-from foresift.plans.common import query
+from foresift.plans.common import query, sql_tied, tied
 from foresift.sources import panels, store
 
 LEVELS = ["region", "nation", "segment"]
@@ -36,8 +36,6 @@ def hier_rollup(spark, sf_dir):
     return hierarchy.aggregate(panels.weekly_revenue(spark, sf_dir), LEVELS).withColumn("y", F.round("y", 4))
 
 
-#: Values of four decimals tie when they are rounded to two; this moves them off.
-OFF = 0.00003
 _BASE = f"SELECT node, level, ds + INTERVAL 28 DAY AS ds, y * 1.01::DOUBLE ** level AS y_pred FROM ({_ALL})"
 
 
@@ -53,11 +51,11 @@ def recon_bu(spark, sf_dir):
     return hierarchy.bottom_up(base, _tree(spark, sf_dir)).withColumn("y", F.round("y", 2))
 
 
-@query("recon_td", f"""SELECT node, ds, round(p * y_pred + {OFF}::DOUBLE, 2) AS y FROM (SELECT t.node, sum(s) / (SELECT sum(y) FROM ({_BOTTOM})) AS p FROM ({_TREE}) t
+@query("recon_td", f"""SELECT node, ds, {sql_tied('p * y_pred', 2)} AS y FROM (SELECT t.node, sum(s) / (SELECT sum(y) FROM ({_BOTTOM})) AS p FROM ({_TREE}) t
   JOIN (SELECT bottom, sum(y) AS s FROM ({_BOTTOM}) GROUP BY 1) h USING (bottom) GROUP BY 1), (SELECT ds, y_pred FROM ({_BASE}) WHERE node = 'TOTAL')""")
 def recon_td(spark, sf_dir):
     nodes, base = _base(spark, sf_dir)
-    return hierarchy.top_down(base, _tree(spark, sf_dir), nodes).withColumn("y", F.round(F.col("y") + OFF, 2))
+    return hierarchy.top_down(base, _tree(spark, sf_dir), nodes).withColumn("y", tied(F.col("y"), 2))
 
 
 @query("coherence_gap", f"SELECT ds, round(max(abs(o - s)), 3) AS gap FROM (SELECT b.node, b.ds, any_value(b.y_pred) AS o, sum(c.y_pred) AS s FROM ({_BASE}) b JOIN ({_TREE}) t ON t.node = b.node JOIN ({_BASE}) c ON c.node = t.bottom AND c.ds = b.ds GROUP BY 1, 2) GROUP BY 1")

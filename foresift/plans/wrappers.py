@@ -11,7 +11,7 @@ from foresift.functions import metrics as M
 from foresift.operators import adaptive, prepare, quality
 from foresift.operators.folds import HOURLY
 from foresift.plans.backtests import forecasts
-from foresift.plans.common import query
+from foresift.plans.common import query, sql_tied, tied
 from foresift.plans.monitoring import _PSI, _SIDES
 from foresift.sources import panels, store
 
@@ -28,13 +28,13 @@ _FITS = f"""SELECT series_id, fold, phase, avg(m) AS y_pred FROM (SELECT d.serie
   JOIN ehour p ON p.series_id = d.series_id AND p.t = d.t GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3"""
 
 
-@query("enbpi", f"""SELECT s.series_id, s.fold, h, s.t, round(y_pred, 6) AS y_pred, round(y_pred - r + 0.0000013::DOUBLE, 5) AS lo, round(y_pred + r + 0.0000013::DOUBLE, 5) AS hi FROM steps s
+@query("enbpi", f"""SELECT s.series_id, s.fold, h, s.t, round(y_pred, 6) AS y_pred, {sql_tied('y_pred - r', 5)} AS lo, {sql_tied('y_pred + r', 5)} AS hi FROM steps s
 JOIN ({_FITS}) f ON f.series_id = s.series_id AND f.fold = s.fold AND phase = s.t % 24
 JOIN (SELECT c.series_id, c.fold, quantile_cont(abs(y - y_pred), 0.9) AS r FROM splits c JOIN ehour p ON p.series_id = c.series_id AND p.t >= te - 48 AND p.t < te JOIN ({_FITS}) g ON g.series_id = c.series_id AND g.fold = c.fold AND g.phase = p.t % 24
   GROUP BY 1, 2) r ON r.series_id = s.series_id AND r.fold = s.fold""")
 def enbpi(spark, sf_dir):
     rows = adaptive.enbpi(panels.filled_hourly(spark, sf_dir), HOURLY)
-    return rows.withColumns({"y_pred": F.round("y_pred", 6), "lo": F.round(F.col("lo") + 0.0000013, 5), "hi": F.round(F.col("hi") + 0.0000013, 5)})
+    return rows.withColumns({"y_pred": F.round("y_pred", 6), "lo": tied(F.col("lo"), 5), "hi": tied(F.col("hi"), 5)})
 
 
 _WIDE = """SELECT a.series_id, a.fold, a.h, a.y_true AS y, a.y_pred AS x1, b.y_pred AS x2, a.lo AS l1, b.lo AS l2, a.hi AS u1, b.hi AS u2 FROM fc a JOIN fc b USING (series_id, fold, h) WHERE a.model = 'seasonal_naive' AND b.model = 'trend_profile'"""
