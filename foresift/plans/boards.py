@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foresift.functions import metrics as M
+from foresift.functions import predictive
 from foresift.functions.special import norm_cdf, norm_pdf
 from foresift.operators import combine, compare, forecasters, quality, sampling
 from foresift.operators.folds import HOURLY
@@ -114,3 +115,40 @@ def grid_search_two(spark, sf_dir):
     found = combine.search(panels.filled_hourly(spark, sf_dir), HOURLY, GRID, BLENDS)
     best = found.groupBy("series_id").agg(F.min_by(F.struct("alpha", "blend"), F.round("mae", 7)).alias("b"), F.min("mae").alias("mae"))
     return best.select("series_id", "b.alpha", "b.blend", F.round("mae", 5).alias("mae"))
+
+
+_LAST = "SELECT f.series_id, fold, avg(y) AS m, stddev_samp(y) * sqrt(1.2::DOUBLE) AS s FROM splits f JOIN ehour e ON e.series_id = f.series_id AND t < te AND t >= te - 5 GROUP BY 1, 2"
+
+
+def _last(spark, sf_dir):
+    """Mean and predictive scale of the last five values before each fold."""
+    panel = panels.filled_hourly(spark, sf_dir)
+    by = forecasters.by_series().rowsBetween(-4, 0)
+    known = panel.select("series_id", (F.col("t") + 1).alias("te"), F.avg("y").over(by).alias("m"), (F.stddev_samp("y").over(by) * F.sqrt(F.lit(1.2))).alias("s"))
+    return sampling.splits(panel, HOURLY).join(known, ["series_id", "te"]).select("series_id", "fold", "m", "s")
+
+
+# Four degrees of freedom have a closed form: with a = 4 q (1 - q) and c = cos(acos(sqrt(a)) / 3) / sqrt(a), t is 2 sqrt(c - 1).
+_T4 = "2 * sqrt(cos(acos(sqrt(4 * %s * (1 - %s))) / 3) / sqrt(4 * %s * (1 - %s)) - 1)"
+
+
+@query("dist_student", f"""SELECT series_id, fold, round(m, 4) AS mean, round(m - s * a, 3) AS lo, round(m + s * a, 3) AS hi, round(m + s * b, 3) AS q75
+FROM ({_LAST}), (SELECT {_T4 % (("0.95::DOUBLE",) * 4)} AS a, {_T4 % (("0.75::DOUBLE",) * 4)} AS b)""")
+def dist_student(spark, sf_dir):
+    """Student predictions of the next value from the last five: mean, 90 % interval and a quantile."""
+    t = predictive.Student(F.col("m"), F.col("s"), F.lit(4.0))
+    lo, hi = t.interval(0.1)
+    return _last(spark, sf_dir).select("series_id", "fold", F.round(t.mean(), 4).alias("mean"), F.round(lo, 3).alias("lo"), F.round(hi, 3).alias("hi"), F.round(t.quantile(0.75), 3).alias("q75"))
+
+
+_U = "((('0x' || substr(md5(series_id || '-' || fold || '/' || i || '/%s'), 1, 12))::BIGINT + 0.5) / 281474976710656.0::DOUBLE)"
+
+
+@query("dist_sample", f"""SELECT series_id, fold, i AS draw, round(m + s * sqrt(-2 * ln({_U % "a"})) * cos(2 * pi() * {_U % "b"}), 3) AS gaussian, round(m + s * sqrt(4 * (pow({_U % "a"}, -0.5::DOUBLE) - 1)) * cos(2 * pi() * {_U % "b"}), 3) AS student
+FROM ({_LAST}), range(1, 9) r(i)""")
+def dist_sample(spark, sf_dir):
+    """Eight draws of the normal and of the Student prediction for each series and fold."""
+    key = F.concat_ws("-", "series_id", "fold")
+    normal, student = predictive.Gaussian(F.col("m"), F.col("s")), predictive.Student(F.col("m"), F.col("s"), F.lit(4.0))
+    rows = _last(spark, sf_dir).select("series_id", "fold", F.posexplode(F.arrays_zip(normal.sample(8, key).alias("gaussian"), student.sample(8, key).alias("student"))).alias("k", "x"))
+    return rows.select("series_id", "fold", (F.col("k") + 1).cast("long").alias("draw"), F.round("x.gaussian", 3).alias("gaussian"), F.round("x.student", 3).alias("student"))
