@@ -142,18 +142,27 @@ def fit(rows: DataFrame, p: Protocol, levels: tuple[float, ...], trees: int, see
     return model
 
 
+def _prepared(panel: DataFrame, p: Protocol) -> DataFrame:
+    """Stored rows of ``features`` with the training bounds of all folds of their series."""
+    bounds = splits(panel, p).groupBy(F.col("series_id").alias("s")).agg(F.array_sort(F.collect_list(F.struct("fold", "tr_lo", "te"))).alias("b"))
+    return kept(features(panel, p).join(bounds, F.col("series_id") == F.col("s")).withColumns({"los": F.col("b.tr_lo"), "tes": F.col("b.te")}).drop("s", "b"))
+
+
+def _tested(rows: DataFrame, p: Protocol, *columns: str) -> DataFrame:
+    """The rows that a fold forecasts, once for each such fold."""
+    return rows.select("series_id", "t", "mid", "scale", *columns, F.posexplode("tes").alias("fold", "te")).where((F.col("t") >= F.col("te")) & (F.col("t") < F.col("te") + p.horizon))
+
+
 def forecast(panel: DataFrame, p: Protocol, levels: tuple[float, ...] = LEVELS, trees: int = TREES, seed: int = 7) -> DataFrame:
     """``series_id, fold, h, t, quantiles``: the forecast at each of ascending ``levels``, by trees fitted for every fold on its training rows of all series.
 
     Quantiles that cross are put in order. Rows whose phase has fewer than two values a horizon before have no forecast.
     Null y is not learnt from.
     """
-    bounds = splits(panel, p).groupBy(F.col("series_id").alias("s")).agg(F.array_sort(F.collect_list(F.struct("fold", "tr_lo", "te"))).alias("b"))
-    rows = features(panel, p).join(bounds, F.col("series_id") == F.col("s")).withColumns({"los": F.col("b.tr_lo"), "tes": F.col("b.te")}).drop("s", "b")
-    rows = kept(rows)
+    rows = _prepared(panel, p)
     model = rows.sparkSession.sparkContext.broadcast(fit(rows, p, levels, trees, seed))
     names = [c for c in rows.columns if c[0] == "f" and c[1:].isdigit()]
-    tested = rows.select("series_id", "t", "mid", "scale", *names, F.posexplode("tes").alias("fold", "te")).where((F.col("t") >= F.col("te")) & (F.col("t") < F.col("te") + p.horizon))
+    tested = _tested(rows, p, *names)
 
     def predict(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -165,3 +174,40 @@ def forecast(panel: DataFrame, p: Protocol, levels: tuple[float, ...] = LEVELS,
             yield pd.DataFrame({"series_id": pdf["series_id"], "fold": fold, "h": pdf["t"] - pdf["te"] + 1, "t": pdf["t"], "quantiles": found.tolist()})
 
     return tested.mapInPandas(predict, "series_id string, fold long, h long, t long, quantiles array<double>")
+
+
+def importance(panel: DataFrame, p: Protocol, level: float = 0.5, trees: int = TREES, seed: int = 7, block: int = 256, threshold: float = 0.05, most: int | None = None) -> DataFrame:
+    """``feature, loss, share, chosen``: by how much the pinball loss of forecasts grows when a feature's values change places.
+
+    Values move within blocks of ``block`` rows of a series, in an order by hash, so that they stay plausible and no task
+    holds more than a block; all features are tried in one pass over the rows that the folds forecast. ``share`` is that of the
+    largest growth; features with a share of ``threshold`` or more are chosen, ``most`` of them at most, ties by name.
+    """
+    rows = _prepared(panel, p)
+    names = [c for c in rows.columns if c[0] == "f" and c[1:].isdigit()]
+    model = rows.sparkSession.sparkContext.broadcast(fit(rows, p, (level,), trees, seed))
+    tested = _tested(rows.where("y IS NOT NULL"), p, "y", *names).withColumn("block", F.floor(F.col("t") / block))
+    for name in names:
+        by = Window.partitionBy("series_id", "fold", "block").orderBy(F.xxhash64(F.lit(name), "t"), "t")
+        tested = tested.withColumn(f"moved_{name}", F.coalesce(F.lead(name).over(by), F.first(name).over(by)))
+
+    def losses(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(names) + 1)
+        for pdf in parts:
+            bins, fold, y = pdf[names].to_numpy(), pdf["fold"].to_numpy(), ((pdf["y"] - pdf["mid"]) / pdf["scale"]).to_numpy()
+            for f in np.unique(fold):
+                on = fold == f
+                for k in range(-1, len(names)):
+                    own = bins[on].copy()
+                    if k >= 0:
+                        own[:, k] = pdf[f"moved_{names[k]}"].to_numpy()[on]
+                    off = y[on] - model.value.of(own, f, 0)
+                    total[k + 1] += np.maximum(level * off, (level - 1) * off).sum()
+        yield pd.DataFrame({"feature": ["", *names], "loss": np.round(total, 6)})
+
+    summed = tested.drop("series_id", "block").mapInPandas(losses, "feature string, loss double").groupBy("feature").agg(F.sum("loss").alias("loss"))
+    whole = Window.partitionBy()  # a row a feature
+    grown = summed.withColumn("loss", F.col("loss") - F.max(F.when(F.col("feature") == "", F.col("loss"))).over(whole)).where("feature <> ''")
+    ranked = grown.withColumn("share", F.coalesce(F.try_divide(F.col("loss"), F.nullif(F.greatest(F.max("loss").over(whole), F.lit(0.0)), F.lit(0.0))), F.lit(0.0)))
+    place = F.row_number().over(Window.orderBy(F.desc("share"), "feature"))
+    return ranked.select("feature", "loss", "share", ((F.col("share") >= threshold) & (place <= (len(names) if most is None else most))).alias("chosen"))

@@ -106,3 +106,10 @@ SELECT t.series_id, t.fold, t.h, round(t.mean + coalesce(move, 0), 4) AS y_pred,
 def stacking_tree(spark, sf_dir):
     rows = stacking.tree(_members(spark, sf_dir), MEMBERS)
     return rows.select("series_id", "fold", "h", F.round("y_pred", 4).alias("y_pred"), "leaf")
+
+
+@query("feature_importance")
+def feature_importance(spark, sf_dir):
+    """What each feature of the boosted trees is worth to their median forecasts."""
+    rows = quantile_trees.importance(panels.filled_hourly(spark, sf_dir), HOURLY)
+    return rows.select("feature", F.round("loss", 3).alias("loss"), F.round("share", 5).alias("share"), "chosen")

@@ -58,3 +58,17 @@ def test_against_profile(spark):
     q = F.col("quantiles")
     mae, inside = rows.agg(F.avg(F.abs(F.col("y") - q[1])), F.avg(F.col("y").between(q[0], q[2]).cast("double"))).first()
     assert mae < base and abs(inside - 0.9) < 0.03
+
+
+def test_importance(spark):
+    """Deviations that carry over from season to season: the last season's value counts most, and is chosen first."""
+    rng, rows = np.random.default_rng(3), []
+    for k in range(4):
+        off = rng.normal(size=240)
+        for t in range(6, 240):
+            off[t] = 0.95 * off[t - 6] + 0.3 * off[t]
+        rows += [(f"s{k}", t, float(50 + 3 * np.sin(t * np.pi / 3) + 4 * off[t])) for t in range(240)]
+    p = Protocol(6, 6, 4, 6, 60)
+    found = quantile_trees.importance(spark.createDataFrame(rows, SCHEMA), p, most=2, block=64).orderBy(F.desc("share")).collect()
+    assert len(found) == 8 and found[0]["feature"] == "f0" and found[0]["share"] == 1.0 and found[0]["loss"] > 0
+    assert found[0]["chosen"] and sum(r["chosen"] for r in found) <= 2 and all(not r["chosen"] for r in found if r["share"] < 0.05)
