@@ -129,7 +129,7 @@ def text_of(cells: Column) -> Column:
 
 
 def with_next(texts: DataFrame) -> DataFrame:
-    """Add ``next``, the text of the row that follows by descending id (null ids last); the last row's is that of the first.
+    """Add ``next``, a struct of the other columns of the row that follows by descending id (null ids last); the last row's is that of the first.
 
     The rows are dealt to ranges of ids, in which a window finds the next one. The first rows of each range are dealt
     to the range above too. Rows of one id are in order of their text's hash.
@@ -156,9 +156,14 @@ def with_next(texts: DataFrame) -> DataFrame:
     places = F.when(F.col("above").isNull(), F.array(F.struct(F.col("range"), F.lit(False).alias("extra")))).otherwise(
         F.array(F.struct(F.col("range"), F.lit(False).alias("extra")), F.struct(F.col("above").alias("range"), F.lit(True).alias("extra")))
     )
-    placed = placed.select("id", "text", F.explode(places).alias("at")).select("id", "text", "at.range", "at.extra")
+    carried = [c for c in texts.columns if c != "id"]
+    placed = placed.select(*texts.columns, F.explode(places).alias("at")).select(*texts.columns, "at.range", "at.extra")
     order = Window.partitionBy("range").orderBy("extra", F.col("id").desc_nulls_last(), F.xxhash64("text"))
-    return placed.withColumn("next", F.lead("text").over(order)).where(~F.col("extra")).select("id", "text", "next")
+    return placed.withColumn("next", F.lead(F.struct(*carried)).over(order)).where(~F.col("extra")).select(*texts.columns, "next")
+
+
+def _cells(digests_: str) -> Column:
+    return sketch(F.transform(digests_, lambda d: F.struct(d.alias("d"), F.lit(1).alias("n"))), THIRD)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,16 +177,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     breaks or repeated paragraphs have equal fingerprints. A single row is its own next one. Repeated rows stay. An
     empty table gives an empty result. Only the two named columns are read.
     """
-    texts = with_next(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # digests and sketches of the texts themselves go along to the row before, which so need not make them again
+    texts = with_next(texts.withColumn("a", digests(F.col("text"))).withColumn("a_cells", _cells("a")))
     n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next", F.lit(1), half))
-    rows = texts.select("id", n.cast("long").alias("n_chars"), "text", "next", edited.alias("edited"))
-    rows = rows.select("id", "n_chars", "edited", digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("b"), digests(F.col("next")).alias("c"))
-    return _compared(rows)
-
-
-def _compared(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumns({f"{x}_cells": sketch(F.transform(x, lambda d: F.struct(d.alias("d"), F.lit(1).alias("n"))), THIRD) for x in "abc"})
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next.text", F.lit(1), half))
+    rows = texts.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "a", "a_cells", F.col("next.a").alias("c"), F.col("next.a_cells").alias("c_cells"))
+    rows = rows.withColumn("b", digests(F.col("edited"))).withColumn("b_cells", _cells("b"))
     rows = compare(rows, "a", "b", "a_cells", "b_cells", "edited_changes")
     rows = compare(rows, "a", "c", "a_cells", "c_cells", "next_changes")
     near = lambda x, changes: likeness(F.size("a"), F.size(x), F.size(changes))
