@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foresift.operators import autoregression, forecasters, quantile_trees, segments, stacking
 from foresift.operators.folds import HOURLY
 from foresift.plans.backtests import forecasts
-from foresift.plans.common import query
+from foresift.plans.common import query, sql_tied, tied
 from foresift.sources import panels
 
 
@@ -28,7 +28,7 @@ def changepoint_segments(spark, sf_dir):
     return segments.changepoints(panels.filled_hourly(spark, sf_dir), penalty=2.0).withColumn("gain", F.round("gain", 2))
 
 
-@query("seasonal_ar", """SELECT * FROM (WITH RECURSIVE d AS MATERIALIZED (
+@query("seasonal_ar", f"""SELECT * FROM (WITH RECURSIVE d AS MATERIALIZED (
   SELECT s.series_id, s.fold, s.te, e.t, e.d FROM splits s JOIN (SELECT series_id, t, y - lag(y, 24) OVER (PARTITION BY series_id ORDER BY t) AS d FROM ehour) e ON e.series_id = s.series_id AND e.t < s.te AND e.d IS NOT NULL
 ), x AS MATERIALIZED (SELECT series_id, fold, te, t, d - avg(d) OVER w AS x, avg(d) OVER w AS mean, count(*) OVER w AS n FROM d WINDOW w AS (PARTITION BY series_id, fold)
 ), c AS MATERIALIZED (
@@ -39,18 +39,18 @@ def changepoint_segments(spark, sf_dir):
   SELECT series_id, fold, n, c, k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - r * phi[k + 1 - j]), r), v * (1 - r * r) FROM (
     SELECT *, (c[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * c[k + 2 - j])), 0)) / v AS r FROM lev WHERE k < 5)
 ), best AS (
-  SELECT series_id, fold, arg_min({phi: phi, v: v, k: k}, n * ln(v) + 2 * k) AS b FROM lev GROUP BY 1, 2
+  SELECT series_id, fold, arg_min({{phi: phi, v: v, k: k}}, n * ln(v) + 2 * k) AS b FROM lev GROUP BY 1, 2
 ), go AS (
   SELECT series_id, fold, b.phi AS phi, b.v AS v, b.k AS ord, 0 AS h, past, [1.0::DOUBLE] AS psi, 0.0::DOUBLE AS off, 1.0::DOUBLE AS total
   FROM best JOIN (SELECT series_id, fold, list(x ORDER BY t DESC)[1:5] AS past FROM x WHERE t >= te - 5 GROUP BY 1, 2) p USING (series_id, fold) UNION ALL
   SELECT series_id, fold, phi, v, ord, h + 1, list_prepend(new, past)[1:5], list_prepend(w, psi)[1:5], new, CASE WHEN h = 0 THEN 1 ELSE total + psi[1] ^ 2 END FROM (
     SELECT *, coalesce(list_sum(list_transform(range(1, ord + 1), lambda j: phi[j] * past[j])), 0) AS new, coalesce(list_sum(list_transform(range(1, ord + 1), lambda j: phi[j] * coalesce(psi[j], 0))), 0) AS w FROM go WHERE h < 24)
-) SELECT g.series_id, g.fold, g.h::BIGINT AS h, round(a.y + m.mean + off, 3) AS y_pred, round(a.y + m.mean + off - 1.6448536269514715::DOUBLE * sqrt(v * total), 3) AS lo, round(a.y + m.mean + off + 1.6448536269514715::DOUBLE * sqrt(v * total), 3) AS hi, ord::BIGINT AS "order"
+) SELECT g.series_id, g.fold, g.h::BIGINT AS h, {sql_tied('a.y + m.mean + off', 3)} AS y_pred, {sql_tied('a.y + m.mean + off - 1.6448536269514715::DOUBLE * sqrt(v * total)', 3)} AS lo, {sql_tied('a.y + m.mean + off + 1.6448536269514715::DOUBLE * sqrt(v * total)', 3)} AS hi, ord::BIGINT AS "order"
 FROM go g JOIN (SELECT DISTINCT series_id, fold, te, mean FROM x) m USING (series_id, fold) JOIN ehour a ON a.series_id = g.series_id AND a.t = m.te - 24 + (g.h - 1) % 24 WHERE g.h > 0)""")
 def seasonal_ar(spark, sf_dir):
     """Orders up to five by AIC, with intervals."""
     rows = autoregression.seasonal_ar(panels.filled_hourly(spark, sf_dir), HOURLY)
-    return rows.select("series_id", "fold", "h", *[F.round(c, 3).alias(c) for c in ("y_pred", "lo", "hi")], "order")
+    return rows.select("series_id", "fold", "h", *[tied(F.col(c), 3).alias(c) for c in ("y_pred", "lo", "hi")], "order")
 
 
 @query("gbt_quantiles")
