@@ -161,7 +161,7 @@ def proportions(model: Model, texts: list[str]) -> np.ndarray:
     pi, fit = estimate(pi / pi.sum(axis=1, keepdims=True), 1)
     open_ = (pi > 0).sum(axis=1) > 1
     while open_.any():
-        least = np.where(pi > 0, pi, 2).argmin(axis=1)
+        least = n_langs - 1 - np.where(pi > 0, pi, 2)[:, ::-1].argmin(axis=1)  # of equal ones the last goes first
         fewer = pi.copy()
         fewer[open_, least[open_]] = 0
         fewer, fit2 = estimate(fewer / fewer.sum(axis=1, keepdims=True), NEXT)
