@@ -1,7 +1,7 @@
 """Quotation linking: conversations in reply order, without the quotes.
 
 A line's quote level is the number of ``>`` marks before it. Neighbouring lines of one level are a passage. Quoted
-passages and what each message says itself, whole and in runs of as many lines as the conversation's quotes have, are
+passages and what each message says itself, whole and in runs of as many sentences as the conversation's quotes have, are
 normalised and hashed; a quote's hash finds the message that said it first in the same conversation. The message
 replies to what it quotes at the lowest level.
 """
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from foresift.llm.common import persist
 
 MARKS = r"^((?:[ \t]*>)+)[ \t]?"
+#: Where a sentence ends: at the end of its line, or before white space after its last mark.
+ENDS = r"\n|(?<=[.!?])\s+"
 
 
 def _let(value: Column, body) -> Column:
@@ -50,13 +52,13 @@ def _digest(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
 
 
-def _lines(text: Column) -> Column:
-    """The normalised lines that are not empty."""
-    return F.filter(F.transform(F.split(text, "\n"), normalised), lambda x: x != "")
+def _sentences(text: Column) -> Column:
+    """The normalised sentences that are not empty."""
+    return F.filter(F.transform(F.split(text, ENDS), normalised), lambda x: x != "")
 
 
-def _windows(lines: Column) -> Column:
-    """Hashes of all windows of 1, 2, 4, ... neighbouring lines, an array for each size: each from two of half its size."""
+def _windows(parts: Column) -> Column:
+    """Hashes of all windows of 1, 2, 4, ... neighbouring parts, an array for each size: each from two of half its size."""
 
     def longer(found: Column, half: Column) -> Column:
         last = F.element_at(found, -1)
@@ -64,11 +66,11 @@ def _windows(lines: Column) -> Column:
         return F.concat(found, F.array(double))
 
     sizes = lambda x: F.filter(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda k: F.call_function("shiftleft", F.lit(1), k)), lambda half: 2 * half <= F.size(x))
-    return _let(F.transform(lines, lambda x: F.xxhash64(x)), lambda h: F.aggregate(sizes(h), F.array(h), longer))
+    return _let(F.transform(parts, lambda x: F.xxhash64(x)), lambda h: F.aggregate(sizes(h), F.array(h), longer))
 
 
-def _runs(lines: Column, lengths: Column) -> Column:
-    """Digests of all runs of neighbouring lines of the given lengths; each covered by two windows, whatever its length."""
+def _runs(parts: Column, lengths: Column) -> Column:
+    """Digests of all runs of neighbouring parts of the given lengths; each covered by two windows, whatever its length."""
 
     def run(windows: Column, n: Column, at: Column) -> Column:
         size = F.length(F.bin(n)) - 1
@@ -76,18 +78,19 @@ def _runs(lines: Column, lengths: Column) -> Column:
         return F.struct(F.get(of, at).alias("a"), F.xxhash64(n, F.get(of, at + n - F.call_function("shiftleft", F.lit(1), size))).alias("b"))
 
     def of(windows: Column) -> Column:
-        n_lines = F.size(F.get(windows, F.lit(0)))
-        return F.flatten(F.transform(F.filter(lengths, lambda n: (n > 0) & (n <= n_lines)), lambda n: F.transform(F.sequence(F.lit(0), n_lines - n), lambda at: run(windows, n, at))))
+        n_parts = F.size(F.get(windows, F.lit(0)))
+        return F.flatten(F.transform(F.filter(lengths, lambda n: (n > 0) & (n <= n_parts)), lambda n: F.transform(F.sequence(F.lit(0), n_parts - n), lambda at: run(windows, n, at))))
 
-    return _let(_windows(lines), of)
+    return _let(_windows(parts), of)
 
 
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``conv, turn, role, text, n_quotes, reply_to, thread, depth`` of every message.
 
     ``text`` is what the message says itself. A quote belongs to the earliest message before it in its conversation
-    whose own text, or a passage or neighbouring lines of that, is the same after normalising (lines of white space do
-    not count; equal 128-bit hashes are the same); a quote that ends within a line finds nothing. ``reply_to`` is the
+    whose own text, or a passage or neighbouring sentences of that, is the same after normalising (a sentence ends with its
+    line, or at ``.!?`` before white space; lines of white space do not count; equal 128-bit hashes are the same); a quote
+    that ends within a sentence finds nothing. ``reply_to`` is the
     turn of the message that is quoted at the lowest level that finds one (of several, the latest turn), else null.
     ``thread`` is the turn of the first message that replies lead to, ``depth`` the number of replies up to it; order by
     conversation, ``thread``, ``depth`` and turn is reply order: a message comes after what it replies to.
@@ -100,14 +103,14 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     )
     own = F.array_join(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["text"]), "\n")
     said = persist(said.select("conv", "turn", "role", F.trim(own).alias("text"), F.filter("passages", lambda p: p["level"] > 0).alias("quotes"), F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["text"]).alias("own")))
-    quoted = said.select("conv", "turn", F.explode("quotes").alias("q")).select("conv", "turn", "q.level", normalised(F.col("q.text")).alias("whole"), _lines(F.col("q.text")).alias("lines")).where("whole <> ''")
-    quoted = quoted.withColumn("n", F.size("lines"))
-    asked = quoted.select("conv", "turn", "level", F.explode(F.concat(F.array(_digest(F.col("whole"))), _runs(F.col("lines"), F.array("n")))).alias("key"))
+    quoted = said.select("conv", "turn", F.posexplode("quotes").alias("at", "q")).select("conv", "turn", "at", "q.level", normalised(F.col("q.text")).alias("whole"), _sentences(F.col("q.text")).alias("parts")).where("whole <> ''")
+    quoted = quoted.withColumn("n", F.size("parts"))
+    asked = quoted.select("conv", "turn", "at", "level", F.explode(F.concat(F.array(_digest(F.col("whole"))), _runs(F.col("parts"), F.array("n")))).alias("key"))
     wanted = quoted.groupBy("conv").agg(F.collect_set("n").alias("lengths"))
     whole = F.transform(F.concat(F.array("text"), F.col("own")), lambda x: _digest(normalised(x)))
-    stated = said.join(wanted, "conv").select("conv", "turn", F.explode(F.concat(whole, _runs(_lines(F.col("text")), F.col("lengths")))).alias("key"))
+    stated = said.join(wanted, "conv").select("conv", "turn", F.explode(F.concat(whole, _runs(_sentences(F.col("text")), F.col("lengths")))).alias("key"))
     stated = stated.groupBy("conv", "key").agg(F.min("turn").alias("origin"))
-    found = asked.join(stated, ["conv", "key"]).where("origin < turn")
+    found = asked.join(stated, ["conv", "key"]).where("origin < turn").groupBy("conv", "turn", "at", "level").agg(F.min("origin").alias("origin"))
     replies = persist(found.groupBy("conv", "turn").agg(F.min(F.struct("level", (-F.col("origin")).alias("less"))).alias("m")).select("conv", "turn", (-F.col("m.less")).alias("reply_to")))
     kept = said.select("conv", "turn", "role", "text", F.size("quotes").alias("n_quotes"))
     found = kept.join(_threads(replies), ["conv", "turn"], "left")
