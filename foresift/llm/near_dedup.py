@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foresift.llm.common import lean, persist, removed, slices, stored
-from foresift.llm.components import components
+from foresift.llm.common import lean, removed, slices, stored
+from foresift.llm.components import components, join, top
 
 WORDS, SIMILARITY = 5, 0.75
 #: Minwise values of a class; independent trees; members up to which a node is compared as a whole; levels below the first.
@@ -135,16 +135,9 @@ class _Group:
     def batch(self) -> pa.RecordBatch:
         """What was found, each tree as a star around its smallest class: it joins the same, in one step."""
         low: dict[bytes, bytes] = {}
-
-        def top(x: bytes) -> bytes:
-            while (up := low.setdefault(x, x)) != x:
-                low[x] = x = low.setdefault(up, up)
-            return x
-
         for x, y in self.found:
-            x, y = top(x), top(y)
-            low[max(x, y)] = min(x, y)
-        self.found = [(top(x), x) for x in list(low) if top(x) != x]
+            join(low, x, y)
+        self.found = [(top(low, x), x) for x in list(low) if top(low, x) != x]
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in self.found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
 
@@ -207,17 +200,23 @@ class _Join:
 
     def __init__(self, docs: DataFrame, features: DataFrame):
         self.texts = docs
+        self.made: list[DataFrame] = []
         some = features.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min(F.struct("id", "n", "sig", "nodes")).alias("m"))
-        self.classes = stored(some.select("cls", "m.*"))
+        self.classes = self.kept(some.select("cls", "m.*"))
         rows = self.classes.select("cls", F.explode("nodes").alias("node"))
         shared = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("cls").alias("low")).where("size > 1")
-        self.nodes = persist(rows.join(shared, "node").select("node", "cls", "low"))
+        self.nodes = self.kept(rows.join(shared, "node").select("node", "cls", "low"))
+
+    def kept(self, rows: DataFrame) -> DataFrame:
+        """Rows in files, of which later steps' tasks read as many at a time as Spark packs, until the join is done."""
+        self.made.append(stored(rows))
+        return self.made[-1]
 
     def stars(self) -> DataFrame:
         """Candidate pairs (``a, b``) of each node's members with its smallest."""
         pairs = _distinct_pairs(self.nodes.select(F.col("low").alias("a"), F.col("cls").alias("b")))
         a, b = self.classes.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a")), self.classes.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b"))
-        return persist(pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(lean(_screen), "a binary, b binary"))
+        return self.kept(pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(lean(_screen), "a binary, b binary"))
 
     @staticmethod
     def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -253,27 +252,26 @@ class _Join:
         columns = ["node", "part", "side", "cls", "component", "n", "sig"]
         one = F.lit(1).alias("weight")
         mixed = self._mixed(nodes.select("node", "cls", one), labels)
-        done, large = self._settled(persist(mixed.join(self.classes.select("cls", "sig", "n"), "cls")))
+        done, large = self._settled(self.kept(mixed.join(self.classes.select("cls", "sig", "n"), "cls")))
         done = done.select(columns)
         for _ in range(LEVELS):
             if large.isEmpty():
                 return done
-            child = large.select("node", "cls", "sig", "n").mapInArrow(lean(_children), "node long, cls binary, sig binary, n long").dropDuplicates(["node", "cls"])
-            more, large = self._settled(persist(self._mixed(child.withColumn("weight", one), labels)))
+            child = self.kept(large.select("node", "cls", "sig", "n").mapInArrow(lean(_children), "node long, cls binary, sig binary, n long").dropDuplicates(["node", "cls"]))
+            more, large = self._settled(self.kept(self._mixed(child.withColumn("weight", one), labels)))
             done = done.unionByName(more.select(columns))
         n = F.ceil(F.col("size") * 2 / SMALL).cast("int")
         own = F.pmod(F.xxhash64("cls"), n).cast("int")
         cells = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct((F.least(own, k) * n + F.greatest(own, k)).cast("long").alias("part"), F.when(own == k, 0).when(own < k, 1).otherwise(2).alias("side")))
         return done.unionByName(large.withColumn("at", F.explode(cells)).withColumns({"part": F.col("at.part"), "side": F.col("at.side")}).select(columns))
 
-    @staticmethod
-    def _grouped(rows: DataFrame, run) -> DataFrame:
-        return persist(rows.repartition("node", "part").sortWithinPartitions("node", "part").mapInArrow(lean(run), "a binary, b binary"))
+    def _grouped(self, rows: DataFrame, run) -> DataFrame:
+        return self.kept(rows.repartition("node", "part").sortWithinPartitions("node", "part").mapInArrow(lean(run), "a binary, b binary"))
 
     def clusters(self, nodes: DataFrame, labels: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
         """``key, component``: clusters of classes that candidate pairs of different components join, beside those that ``base`` joins; and the nodes' rows."""
         rows = self.small_nodes(nodes, labels)
-        return persist(components(self._grouped(rows, _candidates).union(base))), rows
+        return self.kept(components(self._grouped(rows, _candidates).union(base))), rows
 
     def sets(self, clusters: DataFrame) -> DataFrame:
         """``cls, n, set`` (the sorted shingles, eight bytes each) of the classes in clusters."""
@@ -289,7 +287,7 @@ class _Join:
 
         # rows that share an id may be of other classes
         found = own.mapInArrow(lean(run), "cls binary, n long, set binary").join(needed.select("cls"), "cls", "left_semi")
-        return stored(found.groupBy("cls").agg(F.first("n").alias("n"), F.first("set").alias("set")))
+        return self.kept(found.groupBy("cls").agg(F.first("n").alias("n"), F.first("set").alias("set")))
 
     def links(self, groups: DataFrame, sets: DataFrame) -> DataFrame:
         """Links (``a, b``) in groups (``node, part, side, cls, component``)."""
@@ -298,18 +296,18 @@ class _Join:
     def run(self) -> DataFrame:
         """``key, component`` of the classes that are linked with another."""
         stars = self.stars()
-        likely = persist(components(stars))
+        likely = self.kept(components(stars))
         clusters, _ = self.clusters(self.nodes, likely, likely)
         sets = self.sets(clusters)
         weighed = clusters.select(F.xxhash64("component").alias("node"), F.col("key").alias("cls")).join(self.classes.select("cls", (1 + F.floor(F.col("n") / HEAVY)).alias("weight")), "cls")
-        sized = persist(weighed.join(weighed.groupBy("node").agg(F.sum("weight").alias("size")), "node"))
+        sized = self.kept(weighed.join(weighed.groupBy("node").agg(F.sum("weight").alias("size")), "node"))
         alone = sized.where(F.col("size") <= SMALL).select("node", F.lit(0).cast("long").alias("part"), F.lit(0).alias("side"), "cls", F.col("cls").alias("component"))
         large = sized.where(F.col("size") > SMALL).select("cls", "weight")
         if large.isEmpty():
-            labels = persist(components(self.links(alone, sets)))
+            labels = stored(components(self.links(alone, sets)))
         else:
-            labels = self._large(large, persist(components(self.links(alone.unionByName(self._star_groups(stars, large)), sets))), sets)
-        removed(sets, self.classes)
+            labels = self._large(large, self.kept(components(self.links(alone.unionByName(self._star_groups(stars, large)), sets))), sets)
+        removed(*self.made)
         return labels
 
     def _star_groups(self, stars: DataFrame, large: DataFrame) -> DataFrame:
@@ -326,9 +324,9 @@ class _Join:
         nothing = labels.limit(0)
         clusters, rows = self.clusters(nodes, labels, nothing)
         members = clusters.select(F.xxhash64("component").alias("node"), F.col("key").alias("cls")).join(large, "cls")
-        ready, beyond = self._settled(persist(self._mixed(members, labels)))
+        ready, beyond = self._settled(self.kept(self._mixed(members, labels)))
         groups = ready.select("node", "part", "side", "cls", "component").unionByName(rows.join(beyond.select("cls"), "cls", "left_semi").select("node", "part", "side", "cls", "component"))
-        return persist(components(self.links(groups, sets).union(labels)))
+        return stored(components(self.links(groups, sets).union(labels)))
 
 
 def _decide(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -358,5 +356,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component those with its smallest id."""
-    lost = persist(_decide(docs, id_col, text_col).where("not kept").select(F.col("id").alias("__id"), F.col("version").alias("__version")).distinct())
+    lost = stored(_decide(docs, id_col, text_col).where("not kept").select(F.col("id").alias("__id"), F.col("version").alias("__version")).distinct())
     return docs.join(lost, docs[id_col].eqNullSafe(lost["__id"]) & (F.xxhash64(docs[text_col]) == lost["__version"]), "left_anti")
