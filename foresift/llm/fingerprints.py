@@ -66,25 +66,35 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["keys"].bitwiseXOR(y["keys"]).alias("keys")))
 
 
+def _places(d: Column, third: int) -> Column:
+    """A digest's three cells as bits."""
+    x = _item(d, F.lit(0), third)
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), x[f"c{k}"])
+    return bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2))
+
+
 def peel(cells: Column, third: int) -> Column:
-    """``ok, found``: the digests of a difference of two sketches; ok if all were recovered."""
+    """``ok, found``: the digests of a difference of two sketches; ok if all were recovered. Cells leave as they become empty."""
     single = lambda c: (F.abs(c["n"]) == 1) & (_check(c["keys"]) == c["keys"].bitwiseAND(F.lit(2**CHECK_BITS - 1)))
+    held = lambda c: (c["n"] != 0) | (c["keys"] != 0)
+    cell = lambda n, keys, at: F.struct(n.alias("n"), keys.alias("keys"), at.alias("at"))
 
     def step(state: Column, _: Column) -> Column:
-        out = F.array_distinct(F.transform(F.filter(state["cells"], single), lambda c: _item(c["keys"], c["n"], third)))
+        named = F.array_distinct(F.transform(F.filter(state["cells"], single), lambda c: F.struct(c["keys"].alias("d"), c["n"].alias("n"))))
+        out = F.transform(named, lambda x: F.struct(x["d"].alias("d"), x["n"].alias("n"), _places(x["d"], third).alias("at")))
 
-        def without(c: Column, at: Column) -> Column:
-            here = lambda x: (x["c0"] == at) | (x["c1"] == at) | (x["c2"] == at)
-            rest = lambda c, x: F.when(here(x), F.struct((c["n"] - x["n"]).alias("n"), c["keys"].bitwiseXOR(x["d"]).alias("keys"))).otherwise(c)
-            return F.when((c["n"] == 0) & (c["keys"] == 0), c).otherwise(F.aggregate(out, c, rest))
+        def without(c: Column, x: Column) -> Column:
+            return F.when(c["at"].bitwiseAND(x["at"]) != 0, cell(c["n"] - x["n"], c["keys"].bitwiseXOR(x["d"]), c["at"])).otherwise(c)
 
         def less(out: Column) -> Column:
-            return F.struct(F.transform(state["cells"], without).alias("cells"), F.concat(state["found"], F.transform(out, lambda x: x["d"])).alias("found"), (F.size(out) > 0).alias("more"))
+            cells = F.filter(F.transform(state["cells"], lambda c: F.aggregate(out, c, without)), held)
+            return F.struct(cells.alias("cells"), F.concat(state["found"], F.transform(out, lambda x: x["d"])).alias("found"), (F.size(out) > 0).alias("more"))
 
         return F.when(state["more"], _let(out, less)).otherwise(state)
 
-    start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("found"), F.lit(True).alias("more"))
-    done = lambda s: F.struct(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["keys"] == 0)).alias("ok"), s["found"].alias("found"))
+    full = F.filter(F.transform(cells, lambda c, at: cell(c["n"], c["keys"], F.call_function("shiftleft", F.lit(1).cast("long"), at))), held)
+    start = F.struct(full.alias("cells"), F.array().cast("array<bigint>").alias("found"), F.lit(True).alias("more"))
+    done = lambda s: F.struct((F.size(s["cells"]) == 0).alias("ok"), s["found"].alias("found"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, done)
 
 
