@@ -102,6 +102,29 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+#: Bits of a bitmap of wanted values at most: 16 MB.
+MOST_BITS = 1 << 27
+
+
+def likely(rows: DataFrame, col: str, wanted: DataFrame, count: int) -> DataFrame:
+    """The rows whose ``col`` may be one of the ``count`` values in the only column of ``wanted``: all that are, and few others.
+
+    A bitmap of the values' hashes, 16 to 32 bits a value, goes to every task, so that the other rows need no shuffle.
+    Beyond some eight million values its size stays, and ever more of the other rows pass.
+    """
+    bits = min(MOST_BITS, 1 << (16 * count).bit_length())
+
+    def at(key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(bits))
+
+    values = wanted.select(at(wanted[wanted.columns[0]]).alias("__at"))
+    marks = values.select(F.bitmap_bucket_number("__at").alias("__part"), F.bitmap_bit_position("__at").alias("__bit")).repartition("__part").groupBy("__part").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    hashed = rows.withColumn("__at", at(rows[col])).withColumn("__part", F.bitmap_bucket_number("__at"))
+    bit = F.bitmap_bit_position("__at")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return hashed.join(F.broadcast(marks), "__part").where(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1).select(*rows.columns)
+
+
 def hash60(key: Column) -> Column:
     """60 uniform bits of a key's text (null: the empty text) as a non-negative long, the same in any SQL engine with md5."""
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")

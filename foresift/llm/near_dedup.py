@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foresift.llm.common import lean, removed, slices, stored
+from foresift.llm.common import lean, likely, removed, slices, stored
 from foresift.llm.components import components, join, top
 
 WORDS, SIMILARITY = 5, 0.75
@@ -276,7 +276,9 @@ class _Join:
     def sets(self, clusters: DataFrame) -> DataFrame:
         """``cls, n, set`` (the sorted shingles, eight bytes each) of the classes in clusters."""
         needed = clusters.select(F.col("key").alias("cls")).join(self.classes.select("cls", "id"), "cls")
-        own = self.texts.join(needed.select(F.col("id").alias("wanted")).distinct(), F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+        wanted = needed.select(F.col("id").alias("wanted")).distinct()
+        # an inner join: Spark would move a semi join below the bitmap
+        own = likely(self.texts, "id", wanted, clusters.count()).join(wanted, F.col("id").eqNullSafe(F.col("wanted"))).select("text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
