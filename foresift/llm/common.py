@@ -102,17 +102,18 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-#: Bits of a bitmap of wanted values at most: 16 MB.
+#: Bits of a bitmap of wanted values at most: 16 MB. Values up to which it has 16 bits or more for each.
 MOST_BITS = 1 << 27
+REACH = MOST_BITS // 16
 
 
 def likely(rows: DataFrame, col: str, wanted: DataFrame, count: int) -> DataFrame:
     """The rows whose ``col`` may be one of the ``count`` values in the only column of ``wanted``: all that are, and few others.
 
-    A bitmap of the values' hashes, 16 to 32 bits a value, goes to every task, so that the other rows need no shuffle.
-    Beyond some eight million values its size stays, and ever more of the other rows pass.
+    A bitmap of the values' hashes, 64 to 128 bits a value, goes to every task, so that the other rows need no shuffle.
+    Beyond some two million values its size stays, and ever more of the other rows pass: one in 16 for ``REACH`` values.
     """
-    bits = min(MOST_BITS, 1 << (16 * count).bit_length())
+    bits = min(MOST_BITS, 1 << (64 * count).bit_length())
 
     def at(key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(bits))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foresift.llm.common import lean, likely, removed, slices, stored
+from foresift.llm.common import REACH, lean, likely, removed, slices, stored, tidy
 from foresift.llm.components import components, join, top
 
 WORDS, SIMILARITY = 5, 0.75
@@ -199,19 +199,27 @@ class _Join:
     """The state of one join: classes with their sketches, nodes, and the texts that their sets come from."""
 
     def __init__(self, docs: DataFrame, features: DataFrame):
+        """``features`` are read once, and their files deleted."""
         self.texts = docs
         self.made: list[DataFrame] = []
         some = features.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min(F.struct("id", "n", "sig", "nodes")).alias("m"))
         self.classes = self.kept(some.select("cls", "m.*"))
+        removed(features)
         rows = self.classes.select("cls", F.explode("nodes").alias("node"))
         shared = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("cls").alias("low")).where("size > 1")
         self.nodes = self.kept(rows.join(shared, "node").select("node", "cls", "low"))
 
     def kept(self, rows: DataFrame) -> DataFrame:
-        """Rows in files, of which later steps' tasks read as many at a time as Spark packs, until the join is done."""
+        """Rows in files, of which later steps' tasks read as many at a time as Spark packs, until the join is done. Shuffle files of the steps before go."""
         self.made.append(stored(rows))
+        tidy(rows.sparkSession)
         return self.made[-1]
 
+    def dropped(self, since: int) -> None:
+        """Delete what was kept after the first ``since`` tables, but for the last."""
+        removed(*self.made[since:-1])
+        del self.made[since:-1]
+
     def stars(self) -> DataFrame:
         """Candidate pairs (``a, b``) of each node's members with its smallest."""
         pairs = _distinct_pairs(self.nodes.select(F.col("low").alias("a"), F.col("cls").alias("b")))
@@ -274,11 +282,15 @@ class _Join:
         return self.kept(components(self._grouped(rows, _candidates).union(base))), rows
 
     def sets(self, clusters: DataFrame) -> DataFrame:
-        """``cls, n, set`` (the sorted shingles, eight bytes each) of the classes in clusters."""
-        needed = clusters.select(F.col("key").alias("cls")).join(self.classes.select("cls", "id"), "cls")
-        wanted = needed.select(F.col("id").alias("wanted")).distinct()
-        # an inner join: Spark would move a semi join below the bitmap
-        own = likely(self.texts, "id", wanted, clusters.count()).join(wanted, F.col("id").eqNullSafe(F.col("wanted"))).select("text")
+        """``cls, n, set`` (the sorted shingles, eight bytes each) of the classes in clusters, and of a few others.
+
+        Texts are not shuffled, only sets are: bitmaps of the wanted ids and classes let few others pass.
+        """
+        classes, count = clusters.select(F.col("key").alias("cls")), clusters.count()
+        wanted = classes.join(self.classes.select("cls", "id"), "cls").select(F.col("id").alias("wanted")).distinct()
+        own = likely(self.texts, "id", wanted, count)
+        if count > REACH:  # an inner join: Spark would move a semi join below the bitmap
+            own = own.join(wanted, F.col("id").eqNullSafe(F.col("wanted")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -287,9 +299,8 @@ class _Join:
                     columns = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary()), pa.array(list(map(len, found)), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["cls", "n", "set"])
 
-        # rows that share an id may be of other classes
-        found = own.mapInArrow(lean(run), "cls binary, n long, set binary").join(needed.select("cls"), "cls", "left_semi")
-        return self.kept(found.groupBy("cls").agg(F.first("n").alias("n"), F.first("set").alias("set")))
+        found = likely(own.select("text").mapInArrow(lean(run), "cls binary, n long, set binary"), "cls", classes, count)
+        return found.groupBy("cls").agg(F.first("n").alias("n"), F.first("set").alias("set"))
 
     def links(self, groups: DataFrame, sets: DataFrame) -> DataFrame:
         """Links (``a, b``) in groups (``node, part, side, cls, component``)."""
@@ -299,15 +310,18 @@ class _Join:
         """``key, component`` of the classes that are linked with another."""
         stars = self.stars()
         likely = self.kept(components(stars))
+        since = len(self.made)
         clusters, _ = self.clusters(self.nodes, likely, likely)
+        self.dropped(since)
         sets = self.sets(clusters)
         weighed = clusters.select(F.xxhash64("component").alias("node"), F.col("key").alias("cls")).join(self.classes.select("cls", (1 + F.floor(F.col("n") / HEAVY)).alias("weight")), "cls")
         sized = self.kept(weighed.join(weighed.groupBy("node").agg(F.sum("weight").alias("size")), "node"))
         alone = sized.where(F.col("size") <= SMALL).select("node", F.lit(0).cast("long").alias("part"), F.lit(0).alias("side"), "cls", F.col("cls").alias("component"))
         large = sized.where(F.col("size") > SMALL).select("cls", "weight")
         if large.isEmpty():
-            labels = stored(components(self.links(alone, sets)))
+            labels = stored(components(self.links(alone, sets)))  # the join meets the sets where they are grouped
         else:
+            sets = self.kept(sets)
             labels = self._large(large, self.kept(components(self.links(alone.unionByName(self._star_groups(stars, large)), sets))), sets)
         removed(*self.made)
         return labels
@@ -337,8 +351,9 @@ def _decide(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = texts.schema["id"].dataType.simpleString()
     read = texts.withColumn("version", F.xxhash64("text"))
     features = stored(read.mapInArrow(lean(_features), f"id {kind}, version long, n long, cls binary, nodes array<long>, sig binary"))
+    own = stored(features.select("id", "version", "n", "cls"))
     labels = _Join(texts, features).run().withColumnRenamed("key", "cls")
-    rows = features.select("id", "version", "n", "cls").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    rows = own.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("id").alias("component_id"))
     found = rows.join(least, "component", "left").withColumn("component_id", F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")))
     return found.select("id", "version", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

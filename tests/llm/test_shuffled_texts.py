@@ -36,6 +36,27 @@ def test_texts_beside_clusters_are_not_shuffled(spark):
     assert written < size / 4
 
 
+def test_sets_of_clusters_are_shuffled_twice(spark, monkeypatch):
+    """A hundred pairs of near copies: each set is moved to its class and to its group, and no text is; the same clusters where the bitmap is too full to be relied on."""
+    rng = random.Random(6)
+    rows = [(k, " ".join(f"{rng.getrandbits(64):x}" for _ in range(1200))) for k in range(100)]
+    rows += [(100 + k, text + " end") for k, text in rows]
+    docs = persist(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    sets = sum(8 * len(near_dedup.shingles(text)) for _, text in rows)
+    want = {k: k % 100 for k in range(200)}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        last, _ = moved(spark, 0)
+        assert {r["id"]: r["component_id"] for r in near_dedup.near_dedup(docs).collect()} == want
+        _, written = moved(spark, last + 1)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert written < 3 * sets
+    monkeypatch.setattr(near_dedup, "REACH", 0)
+    assert {r["id"]: r["component_id"] for r in near_dedup.near_dedup(docs).collect()} == want
+
+
 def test_a_bitmap_misses_no_wanted_key(spark, monkeypatch):
     """Whole columns come back, null keys and repeated rows too; a full bitmap lets everything pass."""
     rows = spark.range(20_000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.col("id").cast("string").alias("x"))
