@@ -34,7 +34,7 @@ MEMO = 72_000_000
 #: Pieces of more bytes are merged one by one.
 LONG = 48
 #: Text handled at a time within a batch, in bytes.
-SLICE = 2_500_000
+SLICE = 600_000
 
 # Fixed values of the public vocabulary format: white space by the Unicode property, and the splitting pattern.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
