@@ -12,6 +12,8 @@ other texts are split by the pattern first.
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import hashlib
 import heapq
 import json
@@ -68,54 +70,55 @@ class Vocabulary:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges.setdefault((ids[a] << 32) | ids[b], (rank, ids[a + b]))
             made.append(ids[a + b])
-        self.none, self.made = len(made), np.array([*made, 0], np.int64)
+        self.none, self.made = len(made), np.array([*made, 0], np.int32)
         self.pair_keys = np.array(sorted(self.merges), np.int64)
-        self.pair_ranks = np.array([self.merges[k][0] for k in self.pair_keys.tolist()], np.int64)
-        self.first_ids = np.array(self.byte_id, np.int64)
+        self.pair_ranks = np.array([self.merges[k][0] for k in self.pair_keys.tolist()], np.int32)
+        self.first_ids = np.array(self.byte_id, np.int32)
+        self.first_ranks = self._ranks(np.repeat(self.first_ids, 256), np.tile(self.first_ids, 256))
+        self.tokens = pa.array(self.bytes, pa.large_binary())
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Merge rank of each pair; ``none`` where there is no such merge."""
         if not self.none:
-            return np.zeros(a.shape, np.int64)
-        keys = (a << 32) | b
+            return np.zeros(a.shape, np.int32)
+        keys = (a.astype(np.int64) << 32) | b
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], self.none)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], np.int32(self.none))
 
-    def merge_many(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        """Packed ids of pieces of the splitting pattern.
+    def merge_many(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of the splitting pattern, one after the other, and how many each piece has.
 
-        Pieces of equal length advance together: in each round every one that has a merge left does its lowest-ranked,
-        leftmost one, so that they all stay of equal length.
+        ``raw`` has the bytes of all pieces, none of them empty, and ``starts`` where each begins. All pieces advance
+        together: in each round every one that has a merge left does its lowest-ranked, leftmost one.
         """
-        out, by_length = {}, {}
-        for p in pieces:
-            by_length.setdefault(len(p), []).append(p)
-        for n, group in by_length.items():
-            if n > LONG:
-                out |= {p: b"".join([self.packed[i] for i in self._merge_long([self.byte_id[b] for b in p])]) for p in group}
-                continue
-            ids = self.first_ids[np.frombuffer(b"".join(group), np.uint8).reshape(len(group), n)]
-            ranks, names = self._ranks(ids[:, :-1], ids[:, 1:]), np.arange(len(group))
-            while len(names):
-                width = ids.shape[1]
-                at = ranks.argmin(axis=1) if width > 1 else np.zeros(len(names), np.int64)
-                best = ranks[np.arange(len(names)), at] if width > 1 else np.full(len(names), self.none)
-                done = best == self.none
-                raw = ids[done].astype("<u4").tobytes()
-                for k, name in enumerate(names[done].tolist()):
-                    out[group[name]] = raw[4 * width * k : 4 * width * (k + 1)]
-                ids, ranks, names, at, best = ids[~done], ranks[~done], names[~done], at[~done], best[~done]
-                if not len(names):
-                    break
-                row = np.arange(len(names))
-                ids[row, at] = self.made[best]
-                cols = np.arange(width - 1)[None, :]
-                ids = np.take_along_axis(ids, cols + (cols > at[:, None]), axis=1)
-                ranks = np.take_along_axis(ranks, cols[:, :-1] + (cols[:, :-1] >= at[:, None]), axis=1)
-                left, right = at > 0, at < width - 2
-                ranks[row[left], at[left] - 1] = self._ranks(ids[row[left], at[left] - 1], ids[row[left], at[left]])
-                ranks[row[right], at[right]] = self._ranks(ids[row[right], at[right]], ids[row[right], at[right] + 1])
-        return out
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        sizes = np.diff(starts, append=len(raw))
+        ids = self.first_ids[raw]
+        ranks = np.append(self.first_ranks[(raw[:-1].astype(np.int32) << 8) | raw[1:]], np.int32(self.none))
+        ranks[starts[1:] - 1] = self.none
+        short = sizes <= LONG
+        for k in np.flatnonzero(~short).tolist():
+            merged = self._merge_long(ids[starts[k] : starts[k] + sizes[k]].tolist())
+            ids[starts[k] : starts[k] + sizes[k]] = merged + [-1] * (int(sizes[k]) - len(merged))
+        place = np.flatnonzero(np.repeat(short, sizes))  # of the bytes whose pieces go on, those that still begin a token
+        ranks, left = ranks[place], sizes[short]
+        while len(left):
+            upto = np.cumsum(left)
+            best = np.minimum.reduceat((ranks.astype(np.int64) << 32) | np.arange(len(ranks)), upto - left)
+            live = best < self.none << 32
+            keep = np.repeat(live, left)
+            best, begin, end, left = best[live], (upto - left)[live], upto[live], left[live] - 1
+            at, made = best & 0xFFFFFFFF, self.made[best >> 32]
+            ids[place[at]], ids[place[at + 1]] = made, -1
+            inner = at > begin
+            ranks[at[inner] - 1] = self._ranks(ids[place[at[inner] - 1]], made[inner])
+            inner = at + 2 < end
+            ranks[at] = self.none
+            ranks[at[inner]] = self._ranks(made[inner], ids[place[at[inner] + 2]])
+            keep[at + 1] = False
+            ranks, place = ranks[keep], place[keep]
+        return ids[ids >= 0], np.add.reduceat(ids >= 0, starts, dtype=np.int64)
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same by a heap of pairs over a linked list, for time near linear in the length."""
@@ -147,61 +150,83 @@ class Coder:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.split, self.odd = regex.compile(PATTERN).findall, regex.compile(rf" [{SPACE}]|[{SPACE}] |^[{SPACE}]|[{SPACE}]$").search
+        self.split = regex.compile(PATTERN).findall
+        self.odd, self.edge = regex.compile(rf" [{SPACE}]|[{SPACE}] ").search, regex.compile(rf"^[{SPACE}]|[{SPACE}]\Z").search
         special = "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))
         self.special = regex.compile(f"({special})") if special else None
         self.word, self.piece, self.held = {}, {}, 0
 
     def _learn(self, words: set[str], pieces: set[str]) -> None:
         """Put words (without the space before them) and pieces of the pattern into the memos, from the lexicon or else merged."""
-        if self.held > MEMO:
-            self.word.clear(), self.piece.clear()
-            self.held = 0
-        parts: dict[str, list[str]] = {}
-        for w in words - self.word.keys():
-            raw = " " + w
-            found = self.lexicon and self.lexicon.find(raw.encode())
-            if found is not None:
-                self._keep(self.word, w, found)
-            elif w.isalpha():  # one piece
-                parts[w] = [raw]
-            elif w[:-1].isalpha() and w[-1] in ".,;:!?":  # two
-                parts[w] = [raw[:-1], w[-1]]
-            else:
-                parts[w] = self.split(raw)
-        pieces = pieces - self.piece.keys()
-        merged = self.vocabulary.merge_many([p.encode() for p in pieces.union(*parts.values())])
-        for p in pieces:
-            self._keep(self.piece, p, merged[p.encode()])
-        for w, of in parts.items():
-            self._keep(self.word, w, b"".join([merged[p.encode()] for p in of]))
-
-    def _keep(self, memo: dict[str, bytes], key: str, ids: bytes) -> None:
-        memo[key] = ids
-        self.held += len(key) + len(ids) + 200  # what two objects and an entry take besides
+        words, pieces = list(words), list(pieces - self.piece.keys())
+        if self.lexicon and words:
+            raw = np.frombuffer((" " + " ".join(words)).encode(), np.uint8)
+            found = self.lexicon.find(raw, np.flatnonzero(raw == ord(" ")))
+            self._keep(self.word, [w for w, ids in zip(words, found, strict=True) if ids is not None], [ids for ids in found if ids is not None])
+            words = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        text = " " + " ".join(words) if words else ""
+        cut = pieces + self.split(text)  # words begin and end without white space, so they are split side by side as each alone
+        raw = np.frombuffer(("".join(pieces) + text).encode(), np.uint8)
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        starts = np.flatnonzero((raw & 0xC0) != 0x80)[np.cumsum(sizes) - sizes]
+        ids, counts = self.vocabulary.merge_many(raw, starts)
+        if words:
+            first = np.flatnonzero(raw[starts[len(pieces) :]] == ord(" "))  # the piece that begins a word has its space
+            counts = np.append(counts[: len(pieces)], np.add.reduceat(counts[len(pieces) :], first))
+        packed, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        merged = [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        self._keep(self.piece, pieces, merged[: len(pieces)])
+        self._keep(self.word, words, merged[len(pieces) :])
+
+    def _keep(self, memo: dict[str, bytes], keys: list[str], ids: list[bytes]) -> None:
+        memo.update(zip(keys, ids, strict=True))
+        self.held += sum(map(len, keys)) + sum(map(len, ids)) + 200 * len(keys)  # what two objects and an entry take besides
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts. Special tokens in them get their own ids."""
-        plans, words, pieces = [], set(), set()
+        if self.held > MEMO:
+            self.word.clear(), self.piece.clear()
+            self.held = 0
+        plans = []
         for text in texts:
-            plan = []
-            for k, part in enumerate(self.special.split(text) if self.special and self.special.search(text) else [text]):
-                if k % 2:
-                    plan.append(self.vocabulary.packed[self.vocabulary.special[part]])
-                    continue
-                first, *rest = [part] if not part or self.odd(part) else part.split(" ")
-                own = self.split(first)
-                pieces.update(own)
-                words.update(rest)
-                plan += [own, rest]
-            plans.append(plan)
-        self._learn(words, pieces)
-        word, piece = self.word.__getitem__, self.piece.__getitem__
-        return [b"".join([x if isinstance(x, bytes) else b"".join(map(word if k % 3 == 1 else piece, x)) for k, x in enumerate(plan)]) for plan in plans]
-
-    def decode(self, packed: bytes) -> str:
-        """The text of packed ids; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.vocabulary.bytes.__getitem__, memoryview(packed).cast("I").tolist())).decode("utf-8", "replace")
+            parts = self.special.split(text) if any(s in text for s in self.vocabulary.special) else [text]
+            plans.append([self.vocabulary.packed[self.vocabulary.special[part]] if k % 2 else part.split(" ") for k, part in enumerate(parts)])
+        runs = [x for plan in plans for x in plan if isinstance(x, list)]
+        words = set().union(*[x[1:] for x in runs]) - self.word.keys()
+        if words and self.odd(f" {' '.join(words)} "):
+            odd = {w for w in words if not w or self.edge(w)}
+            for x in runs:
+                if not odd.isdisjoint(x[1:]):
+                    x[:] = [" ".join(x)]
+            words = set().union(*[x[1:] for x in runs]) - self.word.keys()
+        firsts = []
+        for x in runs:
+            if len(x) > 1 and (not x[0] or self.edge(x[0])):
+                x[:] = [" ".join(x)]
+            firsts.append(self.split(x[0]))
+        self._learn(words, set().union(*firsts))
+        word, piece, first = self.word.__getitem__, self.piece.__getitem__, iter(firsts)
+        return [b"".join([x if isinstance(x, bytes) else b"".join([*map(piece, next(first)), *map(word, x[1:])]) for x in plan]) for plan in plans]
+
+    def decode(self, packed: list[bytes]) -> pa.Array:
+        """The texts of packed ids; bytes that are no UTF-8 become U+FFFD."""
+        tokens = self.vocabulary.tokens.take(pa.array(np.frombuffer(b"".join(packed), "<u4")))
+        _, ends, data = tokens.buffers()
+        upto = np.cumsum([0, *map(len, packed)]) // 4
+        ends = np.frombuffer(ends, np.int64)[upto] if len(tokens) else upto
+        if ends[-1] < 1 << 31:
+            texts = pa.StringArray.from_buffers(len(packed), pa.py_buffer(ends.astype(np.int32)), data)
+            with contextlib.suppress(pa.ArrowInvalid):
+                texts.validate(full=True)
+                return texts
+        data = memoryview(data or b"")
+        return pa.array([str(data[a:b], "utf-8", "replace") for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)], pa.string())
+
+
+@functools.lru_cache(maxsize=1)
+def _vocabulary(content: str) -> Vocabulary:
+    """A worker keeps the last one for its next tasks."""
+    return Vocabulary(content)
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text") -> list[str]:
@@ -238,13 +263,13 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
     vocabulary = spark.sparkContext.broadcast(content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(Vocabulary(vocabulary.value), Lexicon(SparkFiles.get(lexicon_name)))
+        coder = Coder(_vocabulary(vocabulary.value), Lexicon(SparkFiles.get(lexicon_name)))
         for batch in batches:
             for at, texts in slices(batch.column(1), SLICE):
                 ids = coder.encode(texts)
                 columns = [batch.column(0)[at : at + len(texts)], pa.array(ids, pa.binary())]
                 if decode:
-                    columns.append(pa.array([coder.decode(x) for x in ids], pa.string()))
+                    columns.append(coder.decode(ids))
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "decoded"][: len(columns)])
 
     kind = dict(texts.dtypes)["id"]

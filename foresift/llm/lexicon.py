@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import mmap
 from array import array
-from bisect import bisect_left
+
+import numpy as np
 
 
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
@@ -66,27 +67,34 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
 
 
 class Lexicon:
-    """Looks words up in the mapped file; all readers on a machine share its pages."""
+    """Looks words up in the mapped file, whose pages all readers on a machine share; only the arcs' keys are a reader's own."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        whole = memoryview(self.map).cast("i")
-        n_states, n_arcs, n_words, n_ids = whole[:4]
+        whole = np.frombuffer(self.map, "<i4")
+        n_states, n_arcs, n_words, n_ids = whole[:4].tolist()
         parts, at = [], 4
         for n in (n_states + 1, n_states, n_arcs, n_arcs, n_arcs, n_words + 1, n_ids):
             parts.append(whole[at : at + n])
             at += n
-        self.first, self.final, self.label, self.target, self.addend, self.start, self.ids = parts
+        first, self.final, label, self.target, self.addend, self.start, self.ids = parts
+        self.arcs = np.repeat(np.arange(n_states) << 8, np.diff(first)) | label  # in order, as every state's labels are
 
-    def find(self, word: bytes) -> bytes | None:
-        """The word's ids as little-endian 32-bit integers, or None."""
-        first, label, state, rank = self.first, self.label, 0, 0
-        for c in word:
-            end = first[state + 1]
-            arc = bisect_left(label, c, first[state], end)
-            if arc == end or label[arc] != c:
-                return None
-            rank += self.addend[arc]
-            state = self.target[arc]
-        return self.ids[self.start[rank] : self.start[rank + 1]].tobytes() if self.final[state] else None
+    def find(self, raw: np.ndarray, starts: np.ndarray) -> list[bytes | None]:
+        """The ids of each word as little-endian 32-bit integers, or None: ``raw`` has the words' bytes, and all words walk together."""
+        sizes = np.diff(starts, append=len(raw))
+        on, state, rank, found = np.arange(len(starts)), np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), [None] * len(starts)
+        for depth in range(int(sizes.max(initial=0)) + 1):
+            ended = sizes[on] == depth
+            for k, r in zip(on[ended & (self.final[state] == 1)].tolist(), rank[ended & (self.final[state] == 1)].tolist(), strict=True):
+                found[k] = self.ids[self.start[r] : self.start[r + 1]].tobytes()
+            on, state, rank = on[~ended], state[~ended], rank[~ended]
+            if not len(on) or not len(self.arcs):
+                break
+            key = (state << 8) | raw[starts[on] + depth]
+            arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            same = self.arcs[arc] == key
+            on, arc, rank = on[same], arc[same], rank[same]
+            state, rank = self.target[arc].astype(np.int64), rank + self.addend[arc]
+        return found
