@@ -32,7 +32,7 @@ from foresift.llm.lexicon import Lexicon, compile_lexicon
 #: Lexicon bounds: words, the summary's counters, bytes a word.
 WORDS, COUNTERS, WORD_BYTES = 10_000, 16_384, 48
 #: A worker's memos of merged words are emptied beyond so many bytes.
-MEMO = 72_000_000
+MEMO = 24_000_000
 #: Pieces of more bytes are merged one by one.
 LONG = 48
 #: Text handled at a time within a batch, in bytes.

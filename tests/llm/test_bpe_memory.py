@@ -26,3 +26,14 @@ def test_a_batch_is_encoded_in_little_memory():
         tracemalloc.stop()
     assert n == 2000
     assert peak < 20_000_000
+
+
+def test_memos_are_emptied_before_they_grow_large():
+    """200,000 words would take some 43 MB."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        coder = bpe.Coder(bpe.Vocabulary(f.read()))
+    most = 0
+    for k in range(40):
+        coder.encode([" ".join(f"w{5000 * k + j:x}" for j in range(5000))])
+        most = max(most, coder.held)
+    assert most < 30_000_000
